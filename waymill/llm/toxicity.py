@@ -182,12 +182,16 @@ def learn(rows: list[tuple[str, int]], chance: float = 0.05, most_stems: int = 4
             tail = sum(math.comb(total, j) * rate**j * (1 - rate) ** (total - j) for j in range(k, total + 1))
             if tail * len(df[1]) < chance:
                 fine[s] = k
-    # of a chain of stems: none that a shorter one covers with more documents, and the longest of equals
-    kept = {s: k for s, k in fine.items() if not any(fine.get(s[:i], 0) > k for i in range(STEM[0], len(s)))}
-    kept = {s: k for s, k in kept.items() if not any(len(x) > len(s) and x.startswith(s) and v == k for x, v in kept.items())}
-    odds = {s: math.log((k + 0.5) / (n[1] + 1)) - math.log((df[0][s] + 0.5) / (n[0] + 1)) for s, k in kept.items()}
-    best = sorted(odds, key=lambda s: (-kept[s], s))[:most_stems]
-    model = Model({s: min(1.0, odds[s] / 4) for s in best})
+    odds = {s: math.log((k + 0.5) / (n[1] + 1)) - math.log((df[0][s] + 0.5) / (n[0] + 1)) for s, k in fine.items()}
+    # of a chain of stems the one with the best evidence, a longer one if it is about as good
+    worth = {s: odds[s] * math.sqrt(k) * (1 + 0.02 * len(s)) for s, k in fine.items()}
+    taken: set[str] = set()
+    beginnings: set[str] = set()
+    for s in sorted(worth, key=lambda s: (-worth[s], s)):
+        if len(taken) < most_stems and s not in beginnings and not any(s[:i] in taken for i in range(STEM[0], len(s))):
+            taken.add(s)
+            beginnings |= {s[:i] for i in range(STEM[0], len(s))}
+    model = Model({s: min(1.0, odds[s] / 4) for s in sorted(taken)})
     x = np.array([(1.0, *model.features(t)) for t, _ in rows])
     y = np.array([label for _, label in rows], float)
     w = np.array(model.curve)
