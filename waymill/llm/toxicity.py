@@ -153,20 +153,22 @@ def stems_in(text: str) -> set[str]:
 
 
 def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """One of the rows that share their least shingle hash, under either of two hash functions."""
+    """One of the rows that agree in one of three bands of three least shingle hashes, as near copies do."""
+    odd = np.random.default_rng(5).integers(0, 2**63, 9).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     seen, out = set(), []
     for text, label in rows:
         words = text.lower().split()
-        shingles = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
-        own = {(seed, min(xxhash.xxh64_intdigest(s, seed) for s in shingles)) for seed in (1, 2, 3, 4)}
+        h = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
+        least = [int((h * k).min()) for k in odd]
+        own = {(b, *least[3 * b : 3 * b + 3]) for b in range(3)}
         if not own & seen:
             out.append((text, label))
         seen |= own
     return out
 
 
-def learn(rows: list[tuple[str, int]], chance: float = 0.05, most_stems: int = 4096) -> Model:
-    """rows: (text, label), in a fixed order."""
+def learn(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0), chance: float = 0.05, most_stems: int = 4096) -> Model:
+    """rows: (text, label), in a fixed order; weights: rows that one of the sample stands for, by label."""
     rows = without_copies(rows)
     n = Counter(y for _, y in rows)
     if not n[0] or not n[1]:
@@ -194,12 +196,15 @@ def learn(rows: list[tuple[str, int]], chance: float = 0.05, most_stems: int = 4
     model = Model({s: min(1.0, odds[s] / 4) for s in sorted(taken)})
     x = np.array([(1.0, *model.features(t)) for t, _ in rows])
     y = np.array([label for _, label in rows], float)
-    w = np.array(model.curve)
-    for _ in range(25):  # Newton steps of ridge logistic regression
+    each = np.array(weights)[y.astype(int)]
+    each = each / each.mean()
+    w = np.array((math.log((each * y).sum() / (each * (1 - y)).sum()), 0.0, 0.0))
+    for _ in range(60):  # Newton steps of ridge logistic regression, of length 1 at most
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + 0.5 * (w - np.array((-3.0, 4.0, 1.5)))
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 0.5 * np.eye(3)
-        w = w - np.linalg.solve(hess, grad)
+        grad = x.T @ (each * (p - y)) + 0.5 * (w - np.array((w[0], 4.0, 1.5)))
+        hess = (x * (each * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.5 * np.eye(3)
+        step = np.linalg.solve(hess, grad)
+        w = w - step / max(1.0, float(np.abs(step).max()))
     model.curve = tuple(float(v) for v in w)
     return model
 
@@ -227,7 +232,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, keep: list[str], text_c
     n = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, per_class / v))) for k, v in n.items()], F.lit(0.0))
     rows = own.filter(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).distinct().collect() if n else []
-    model = learn([(r.text, r.label) for r in sorted(rows, key=lambda r: (r.h, r.label, r.text))])
+    model = learn([(r.text, r.label) for r in sorted(rows, key=lambda r: (r.h, r.label, r.text))], tuple(max(1.0, n.get(k, 0) / per_class) for k in (0, 1)))
     src = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     schema = src.drop("_text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     return src.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
