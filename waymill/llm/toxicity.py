@@ -225,20 +225,24 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")), F.lit(5)) == 0, F.lit(False))
 
 
-def score_toxicity(docs: DataFrame, labelled: DataFrame, keep: list[str], text_col: str = "text", per_class: int = 1500) -> DataFrame:
-    """The columns to keep of docs, score and predicted; labelled: columns text and label (0 or 1)."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500) -> DataFrame:
+    """The columns to keep of docs, score and predicted; labels: columns id_col and label_col (0 or 1).
+
+    The sample is drawn from the labels alone, by a hash of the id; only its rows' texts are read for learning.
+    """
     spark = docs.sparkSession
-    own = labelled.select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label")).filter("text is not null and label in (0, 1)").withColumn("h", F.xxhash64("text"))
+    own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).filter("_id is not null and label in (0, 1)")
     n = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, per_class / v))) for k, v in n.items()], F.lit(0.0))
-    rows = own.filter(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).distinct().collect() if n else []
+    some = own.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000).distinct()  # about per_class rows of each label
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("text")).join(F.broadcast(some), "_id").filter("text is not null").select("label", "text", F.xxhash64("text").alias("h")).collect() if n else []
     model = learn([(r.text, r.label) for r in sorted(rows, key=lambda r: (r.h, r.label, r.text))], tuple(max(1.0, n.get(k, 0) / per_class) for k in (0, 1)))
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    src = docs.select(*keep, text.alias("_text"))
     schema = src.drop("_text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     return src.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = with_columns_free(docs, "score", "predicted", "held_out").withColumn("held_out", held_out())
-    known = docs.filter(~F.col("held_out")).select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").alias("label")).filter("label is not null"), "doc_id")
-    return score_toxicity(docs, known, ["doc_id", "held_out"])
+    return score_toxicity(docs, labels.filter(~held_out()), ["doc_id", "held_out"])
