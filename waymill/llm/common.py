@@ -53,6 +53,13 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def short_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Whole texts go to Python in batches of so many rows at most, which bounds a worker's memory however long a partition is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def with_columns_free(df: DataFrame, *names: str) -> DataFrame:
     """Drops columns of the input whose names an operator is about to add (in any case), so that results are unambiguous."""
     gone = {n.lower() for n in names}

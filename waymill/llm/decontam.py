@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import WORDS_AZ, with_columns_free
+from waymill.llm.common import WORDS_AZ, short_batches, with_columns_free
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -131,6 +131,7 @@ def _scan(tables):
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """docs with n_words, n_hit, hit_spans (of word numbers), hit_items (sorted) and contaminated."""
     spark = docs.sparkSession
+    short_batches(spark)
     docs = with_columns_free(docs, "n_words", "n_hit", "hit_spans", "hit_items", "contaminated", "_text", "_n", "_spans", "_items")
     out = docs.withColumns({"_text": F.col(text_col).cast("string"), "_n": F.lit(0).cast("long"), "_spans": F.array().cast("array<array<int>>"), "_items": F.array().cast("array<string>")})
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import with_columns_free
+from waymill.llm.common import short_batches, with_columns_free
 
 LETTERS = 64
 GRAMS = LETTERS + LETTERS**2 + LETTERS**3
@@ -126,6 +126,7 @@ def _predict(model, batch: int):
 def identify(docs: DataFrame, labelled: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = 120, batch: int = 128) -> DataFrame:
     """The columns to keep of docs, lang_pred and score; the model learns from text_col and lang_col of labelled."""
     spark = docs.sparkSession
+    short_batches(spark)
     own = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h")).filter("lang is not null and trim(text) <> ''")
     counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     model = None

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymill.llm.common import LOWER_AZ, sha256_of, staged, with_columns_free
+from waymill.llm.common import LOWER_AZ, sha256_of, short_batches, staged, with_columns_free
 
 WHITE = b" \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
@@ -136,6 +136,7 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, keys_a_shard: int = 20_000, least_shards: int = 512) -> DataFrame:
     """docs with kept_text, n_lines and n_dropped; text_col is as it was."""
     docs = with_columns_free(docs, "kept_text", "n_lines", "n_dropped", "_id", "_row", "_gone")
+    short_batches(docs.sparkSession)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     row = F.xxhash64(F.col(text_col))
     lines = staged(docs.select(ident, row, F.col(text_col).cast("string")).mapInArrow(_hashed_lines(min_chars), "id long, row long, line int, h long, f int, first int"), "lines")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import LOWER_AZ, staged, with_columns_free
+from waymill.llm.common import LOWER_AZ, short_batches, staged, with_columns_free
 from waymill.llm.graph import connected_components
 
 RADIUS = 4
@@ -61,6 +61,7 @@ def _fingerprints(batches):
 
 def with_fingerprint(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns to keep, and fp (the fingerprint's 64 bits as a long)."""
+    short_batches(docs.sparkSession)
     own = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     return own.mapInArrow(_fingerprints, own.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema)
 
@@ -146,19 +147,23 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _edges(radius: int):
+def _edges(radius: int, at_once: int = 1 << 17):
+    """Sorted rows come in short batches: gathers about at_once of them, and keeps back the last run, which may go on."""
+
     def run(batches):
-        left = None
+        held, rows = [], 0
         for b in batches:
-            cols = [np.concatenate((l, b.column(i).to_numpy(zero_copy_only=False))) if left is not None else b.column(i).to_numpy(zero_copy_only=False) for i, l in enumerate(left or [None] * 3)]
-            if not len(cols[0]):
+            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            rows += b.num_rows
+            if rows < at_once:
                 continue
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
             new = np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))
-            whole = int(np.flatnonzero(new)[-1])  # the last run may go on in the next batch
+            whole = int(np.flatnonzero(new)[-1])
             yield edges_of([c[:whole] for c in cols], radius)
-            left = [c[whole:] for c in cols]
-        if left is not None:
-            yield edges_of(left, radius)
+            held, rows = [[c[whole:] for c in cols]], len(cols[0]) - whole
+        if rows:
+            yield edges_of([np.concatenate(c) for c in zip(*held, strict=True)], radius)
 
     return run
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import with_columns_free
+from waymill.llm.common import short_batches, with_columns_free
 
 WORD_OR_STOP = re.compile(r"[^\W\d_]+|[.!?;:\n|]")
 
@@ -231,6 +231,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], id_col:
     The sample is drawn from the labels alone, by a hash of the id; only its rows' texts are read for learning.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).filter("_id is not null and label in (0, 1)")
     n = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, per_class / v))) for k, v in n.items()], F.lit(0.0))
