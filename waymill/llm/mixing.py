@@ -77,10 +77,10 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     src = F.col(source_col)
     named = docs.withColumns({"_src": F.coalesce(src.cast("string"), F.lit("\0null")), "_h": F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))})
     buckets = spark.createDataFrame([("\0null" if k is None else str(k), max(1, -(-n // bucket_rows)), slots[k]) for k, n in sizes.items()], "_src string, _parts int, _share int")
-    # the broadcast leaves the rows where they are, so that windows are dealt by source and bucket, never by source alone
+    # the broadcast (one row a source, made on the driver) leaves the rows where they are, so that windows are dealt by source and bucket, never by source alone
     # place in the source: rows before its hash bucket, and the place in the bucket; a large source has many buckets
     span = F.shiftrightunsigned("_h", 33).cast("double") / F.lit(float(1 << 31))
-    held = named.join(F.broadcast(buckets), "_src")  # one row a source, made on the driver.withColumn("_b", F.floor(span * F.col("_parts")).cast("int"))
+    held = named.join(F.broadcast(buckets), "_src").withColumn("_b", F.floor(span * F.col("_parts")).cast("int"))
     before = Window.partitionBy("_src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = staged(held.groupBy("_src", "_b").agg(F.count("*").alias("_n")), "mixcounts")
     starts = counts.withColumn("_n", F.coalesce(F.sum("_n").over(before), F.lit(0)))
