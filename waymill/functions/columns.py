@@ -32,7 +32,8 @@ def clock_minutes(c: Column, allow_24: bool = False) -> Column:
 def is_open(opens: Column, closes: Column, at: Column) -> Column:
     """Whether a place is open at a clock time; hours may cross midnight; bad text is closed."""
     o, c, q = clock_minutes(opens), clock_minutes(closes, True), clock_minutes(at)
-    return F.coalesce(F.when(o <= c, (q >= o) & (q <= c)).otherwise((q >= o) | (q <= c)), F.lit(False))
+    known = o.isNotNull() & c.isNotNull() & q.isNotNull()
+    return known & F.coalesce(F.when(o <= c, (q >= o) & (q <= c)).otherwise((q >= o) | (q <= c)), F.lit(False))
 
 
 def normalize_name(c: Column) -> Column:

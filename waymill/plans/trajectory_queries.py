@@ -8,7 +8,10 @@ from waymill.plans.base import STEPS, Queries, steps
 
 QUERIES = Queries()
 KEY, ORDER, TOOL = "user_id", ["ts", "event_id"], "event_type"
-W = Window.partitionBy("user_id").orderBy("step")
+
+
+def by_step():
+    return Window.partitionBy("user_id").orderBy("step")
 
 
 @QUERIES.add("a1_tool_coverage", "SELECT event_type, count(*) AS n_calls, count(*) FILTER (WHERE value > 10) AS n_supervised, count(DISTINCT user_id) AS n_samples, count(DISTINCT CASE WHEN value > 10 THEN user_id END) AS n_supervised_samples FROM events GROUP BY event_type")
@@ -95,13 +98,13 @@ def a9(t):
 
 @QUERIES.add("a10_consume_next", f"WITH {STEPS}, n AS (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY step) AS nxt FROM st) SELECT user_id, count(*) AS n_views, count(*) FILTER (WHERE nxt = 'click') AS n_consumed FROM n WHERE event_type = 'view' GROUP BY user_id")
 def a10(t):
-    s = steps(t("events")).withColumn("nxt", F.lead(TOOL).over(W)).filter("event_type = 'view'")
+    s = steps(t("events")).withColumn("nxt", F.lead(TOOL).over(by_step())).filter("event_type = 'view'")
     return s.groupBy(KEY).agg(F.count("*").alias("n_views"), F.count(F.when(F.col("nxt") == "click", 1)).alias("n_consumed"))
 
 
 @QUERIES.add("a11_removal_follows_review", f"WITH {STEPS}, n AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY step) AS prv FROM st) SELECT user_id, event_id, coalesce(prv = 'click', false) AS follows_review FROM n WHERE event_type = 'purchase'")
 def a11(t):
-    s = steps(t("events")).withColumn("prv", F.lag(TOOL).over(W)).filter("event_type = 'purchase'")
+    s = steps(t("events")).withColumn("prv", F.lag(TOOL).over(by_step())).filter("event_type = 'purchase'")
     return s.select(KEY, "event_id", F.coalesce(F.col("prv") == "click", F.lit(False)).alias("follows_review"))
 
 
@@ -135,7 +138,7 @@ SELECT user_id, step, before_tool, after_tool FROM n WHERE event_type = 'error'"
 @QUERIES.add("d5_invalid_action_context", D5)
 def d5(t):
     valid = F.when(F.col(TOOL) != "error", F.col(TOOL))
-    s = steps(t("events")).withColumns({"before_tool": F.last(valid, True).over(W.rowsBetween(Window.unboundedPreceding, -1)), "after_tool": F.first(valid, True).over(W.rowsBetween(1, Window.unboundedFollowing))})
+    s = steps(t("events")).withColumns({"before_tool": F.last(valid, True).over(by_step().rowsBetween(Window.unboundedPreceding, -1)), "after_tool": F.first(valid, True).over(by_step().rowsBetween(1, Window.unboundedFollowing))})
     return s.filter("event_type = 'error'").select(KEY, "step", "before_tool", "after_tool")
 
 
@@ -145,5 +148,5 @@ SELECT user_id, count(*) AS n, count(*) FILTER (WHERE prev_end IS NULL OR value
 
 @QUERIES.add("p6_chronology", P6)
 def p6(t):
-    prev = F.last(F.when(F.col(TOOL) != "error", F.col("value")), True).over(W.rowsBetween(Window.unboundedPreceding, -1))
+    prev = F.last(F.when(F.col(TOOL) != "error", F.col("value")), True).over(by_step().rowsBetween(Window.unboundedPreceding, -1))
     return steps(t("events")).withColumn("prev_end", prev).groupBy(KEY).agg(F.count("*").alias("n"), F.count(F.when(F.col("prev_end").isNull() | (F.col("value") >= F.col("prev_end")), 1)).alias("n_ordered"))
