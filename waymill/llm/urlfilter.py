@@ -87,7 +87,8 @@ def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=
     seeds = staged(counts.select("host", F.when(2 * F.col("a") > F.col("n"), F.col("a")).otherwise(0).cast("double").alias("good"), F.when(2 * F.col("b") > F.col("n"), F.col("b")).otherwise(0).cast("double").alias("bad")), "seeds")
     total = seeds.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     seeds = seeds.select("host", *[(F.col(c) / F.lit(total[c] or 1.0)).alias(c) for c in ("good", "bad")])
-    ranks = propagate(host_edges(named.select("host", F.col(html_col).cast("string").alias("html"))), seeds, rounds)
+    edges = staged(host_edges(named.select("host", F.col(html_col).cast("string").alias("html"))), "links")
+    ranks = propagate(edges, seeds, rounds)
     bad = ranks.filter(F.col("distrust") > F.lit(ratio) * F.col("trust")).select("host", F.lit(True).alias("_blocked"))
     out = named.join(bad, "host", "left").withColumn("verdict", F.coalesce("_rule.verdict", F.when(F.col("_blocked"), "block").otherwise("allow"))).withColumn("rule", F.col("_rule.rule"))
     return out.select(*pages.columns, "host", "path", "rule", "verdict")
