@@ -113,3 +113,33 @@ def w25(t):
     a, b = n.select(F.col("n_nationkey").alias("x"), F.col("n_name").alias("origin")), n.select(F.col("n_nationkey").alias("y"), F.col("n_name").alias("destination"))
     have = c.join(o, c.c_custkey == o.o_custkey).select(F.col("c_nationkey").alias("x"), (F.col("o_custkey") % 25).alias("y")).distinct()
     return a.join(F.broadcast(b), F.col("x") != F.col("y")).join(have, ["x", "y"], "left_anti").select("origin", "destination")
+
+
+@QUERIES.add("w5_hour_bounds", "SELECT p_partkey, p_size FROM part WHERE contains(lower(p_name), 'a') AND p_size BETWEEN 5 AND 20")
+def w5(t):
+    return t("part").filter(F.contains(F.lower("p_name"), F.lit("a")) & F.col("p_size").between(5, 20)).select("p_partkey", "p_size")
+
+
+@QUERIES.add("w7_hotel_search", "SELECT p_partkey, p_size % 4 AS room_type FROM part WHERE contains(lower(p_type), 'standard') AND p_size % 4 = 2")
+def w7(t):
+    return t("part").withColumn("room_type", F.col("p_size") % 4).filter(F.contains(F.lower("p_type"), F.lit("standard")) & (F.col("room_type") == 2)).select("p_partkey", "room_type")
+
+
+W22 = """WITH c AS (SELECT l_orderkey, l_partkey, l_extendedprice, (l_partkey * 7) % 1440 AS arrives FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice + 0.8 * arrives, l_partkey) AS place FROM c WHERE arrives <= 840)
+SELECT l_orderkey, l_partkey, place FROM r WHERE place <= 3"""
+
+
+@QUERIES.add("w22_transport_choice", W22)
+def w22(t):
+    c = t("lineitem").withColumn("arrives", (F.col("l_partkey") * 7) % 1440).filter("arrives <= 840")
+    w = Window.partitionBy("l_orderkey").orderBy(F.col("l_extendedprice") + 0.8 * F.col("arrives"), "l_partkey")
+    return c.select("l_orderkey", "l_partkey", F.row_number().over(w).alias("place")).filter("place <= 3")
+
+
+@QUERIES.add("w16_route_estimates", f"WITH {PLACES}, p AS (SELECT a.place_id AS origin, b.place_id AS destination, {DIST} AS km FROM pl a JOIN pl b ON b.place_id = a.place_id + 1) SELECT origin, destination, round(km, 6) AS km, CAST(ceil(round(km, 6) / 40 * 60) AS BIGINT) AS taxi_minutes, round(CASE WHEN km <= 3 THEN 13 ELSE 13 + 2.3 * (km - 3) END, 4) AS taxi_fare FROM p")
+def w16(t):
+    a, b = places(t), places(t).select((F.col("place_id") - 1).alias("place_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    j = a.join(b, "place_id").select(F.col("place_id").alias("origin"), (F.col("place_id") + 1).alias("destination"), km.alias("d"))
+    fare = F.when(F.col("d") <= 3, 13.0).otherwise(13 + 2.3 * (F.col("d") - 3))
+    return j.select("origin", "destination", F.round("d", 6).alias("km"), F.ceil(F.round("d", 6) / 40 * 60).alias("taxi_minutes"), F.round(fare, 4).alias("taxi_fare"))

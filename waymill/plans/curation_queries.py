@@ -82,3 +82,15 @@ def s9(t):
 def s10(t):
     h = F.xxhash64(*[F.col(c) for c in t("lineitem").columns])
     return t("lineitem").agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).alias("total"))
+
+
+@QUERIES.add("a13_question_uniqueness", "SELECT role, count(*) AS n, count(DISTINCT lower(trim(text))) AS n_distinct, min(conv_id) AS example FROM conversations GROUP BY role")
+def a13(t):
+    return t("conversations").groupBy("role").agg(F.count("*").alias("n"), F.countDistinct(F.lower(F.trim("text"))).alias("n_distinct"), F.min("conv_id").alias("example"))
+
+
+@QUERIES.add("d12_length_audit", "SELECT conv_id, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS BIGINT) AS loss_tokens, sum(n) > 400 AS over_limit FROM (SELECT conv_id, role, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS n FROM conversations) GROUP BY conv_id")
+def d12(t):
+    n = F.size(F.regexp_extract_all("text", F.lit("([^ \\t\\n\\r]+)"))).cast("long")
+    own = t("conversations").select("conv_id", "role", n.alias("n"))
+    return own.groupBy("conv_id").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0)).alias("loss_tokens"), (F.sum("n") > 400).alias("over_limit"))

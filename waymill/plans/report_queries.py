@@ -43,3 +43,15 @@ def e6(t):
 def e7(t):
     bad, low = F.col("toxic") == 1, F.col("quality") == 0
     return t("labels").groupBy(F.when(bad & low, "both").when(bad, "toxic").when(low, "quality").otherwise("none").alias("failed")).agg(F.count("*").alias("n"))
+
+
+E5 = """WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS k FROM c)
+SELECT count(*) AS n, min(n) AS min, CAST(sum(CAST(n AS DECIMAL(18,4))) / count(*) AS DOUBLE) AS mean, min(n) FILTER (WHERE i = CAST(round_even((k - 1) * 0.9, 0) AS BIGINT)) AS p90, max(n) AS max FROM r"""
+
+
+@QUERIES.add("e5_behaviour", f"SELECT n, min, round(mean, 4) AS mean, p90, max FROM ({E5})")
+def e5(t):
+    from waymill.operators.runs import nearest_rank
+
+    c = t("events").groupBy("user_id").agg(F.count("*").alias("steps"))
+    return nearest_rank(c, "steps", {"p90": 0.9}).withColumn("mean", F.round("mean", 4))

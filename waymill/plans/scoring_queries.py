@@ -65,9 +65,9 @@ def p22(t):
     return g.select("l_orderkey", F.col("spent").cast("double").alias("spent"), "n", ((F.col("n") > 0) & (F.coalesce("spent", F.lit(0)) <= 40000)).alias("passed"))
 
 
-@QUERIES.add("p24_entity_category", "SELECT p_partkey, contains(lower(p_type), 'brass') OR (contains(lower(p_type), 'small') AND contains(lower(p_name), 'e')) AS passed FROM part")
+@QUERIES.add("p24_entity_category", "SELECT p_partkey, contains(lower(p_type), 'promo') OR (contains(lower(p_type), 'small') AND contains(lower(p_name), 'e')) AS passed FROM part")
 def p24(t):
-    groups = [[("p_type", "brass")], [("p_type", "small"), ("p_name", "e")]]
+    groups = [[("p_type", "promo")], [("p_type", "small"), ("p_name", "e")]]
     fits = F.lit(False)
     for g in groups:
         own = F.lit(True)
@@ -117,3 +117,72 @@ def f4(t):
 @QUERIES.add("t7_bound_derivation", "SELECT o_custkey, count(*) AS n_plans, ceil(max(o_totalprice) * 1.12 / 100) * 100 AS budget FROM orders GROUP BY o_custkey")
 def t7(t):
     return t("orders").groupBy("o_custkey").agg(F.count("*").alias("n_plans"), (F.ceil(F.max("o_totalprice") * 1.12 / 100) * 100).cast("double").alias("budget"))
+
+
+@QUERIES.add("p26_room_type", "SELECT l_orderkey, round(avg(CASE WHEN l_linenumber % 4 = 2 THEN 1.0 ELSE 0.0 END), 6) AS score FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_orderkey")
+def p26(t):
+    return t("lineitem").filter("l_linestatus = 'O'").groupBy("l_orderkey").agg(F.round(F.avg(F.when(F.col("l_linenumber") % 4 == 2, 1.0).otherwise(0.0)), 6).alias("score"))
+
+
+P17 = """WITH d AS (SELECT o_orderkey, unnest(range(1, 4)) AS day FROM orders), s AS (SELECT l_orderkey, l_linenumber AS day, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL)
+SELECT o_orderkey, count(*) FILTER (WHERE coalesce(n, 0) = CASE WHEN d.day < 3 THEN 1 ELSE 0 END) AS n_nights_fine FROM d LEFT JOIN s ON o_orderkey = l_orderkey AND d.day = s.day GROUP BY o_orderkey"""
+
+
+@QUERIES.add("p17_overnight_coverage", P17)
+def p17(t):
+    d = t("orders").select("o_orderkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("day"))
+    s = t("lineitem").filter("l_returnflag = 'N'").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("day")).agg(F.count("*").alias("n"))
+    right = F.coalesce("n", F.lit(0)) == F.when(F.col("day") < 3, 1).otherwise(0)
+    return d.join(s, ["o_orderkey", "day"], "left").groupBy("o_orderkey").agg(F.count(F.when(right, 1)).alias("n_nights_fine"))
+
+
+@QUERIES.add("p28_time_window", "SELECT l_orderkey, bool_and((l_partkey * 7) % 1440 BETWEEN 360 AND 1320) AS passed, round(avg(CASE WHEN (l_partkey * 7) % 1440 BETWEEN 360 AND 1320 THEN 1.0 ELSE 0.0 END), 6) AS score FROM lineitem GROUP BY l_orderkey")
+def p28(t):
+    fine = ((F.col("l_partkey") * 7) % 1440).between(360, 1320)
+    return t("lineitem").groupBy("l_orderkey").agg(F.bool_and(fine).alias("passed"), F.round(F.avg(F.when(fine, 1.0).otherwise(0.0)), 6).alias("score"))
+
+
+@QUERIES.add("p34_contract_hash", "SELECT l_orderkey, sha256(string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR))) AS contract_hash FROM lineitem GROUP BY l_orderkey")
+def p34(t):
+    return t("lineitem").groupBy("l_orderkey").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))), ","), 256).alias("contract_hash"))
+
+
+@QUERIES.add("t8_category_actual", "SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) / 2 / greatest(1, count(*) FILTER (WHERE l_returnflag = 'N')) AS per_person_meal FROM lineitem GROUP BY l_orderkey")
+def t8(t):
+    own = F.col("l_returnflag") == "N"
+    n = F.greatest(F.lit(1), F.count(F.when(own, 1)))
+    return t("lineitem").groupBy("l_orderkey").agg((F.sum(F.when(own, money(F.col("l_extendedprice"))).otherwise(0)).cast("double") / 2 / n).alias("per_person_meal"))
+
+
+F1 = """SELECT l_orderkey, 'stop_count' AS kind, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY 1
+UNION ALL SELECT l_orderkey, 'total_cost', CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) FROM lineitem GROUP BY 1
+UNION ALL SELECT l_orderkey, 'attractions', CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) FROM lineitem GROUP BY 1"""
+
+
+@QUERIES.add("f1_preference_metrics", F1)
+def f1(t):
+    g = t("lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("stop_count"), F.sum(money(F.col("l_extendedprice"))).cast("double").alias("total_cost"), F.count(F.when(F.col("l_returnflag") == "A", 1)).cast("double").alias("attractions"))
+    return g.unpivot("l_orderkey", ["stop_count", "total_cost", "attractions"], "kind", "value")
+
+
+@QUERIES.add("p3_route_cost", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN CAST(ceil(l_quantity / 4) AS BIGINT) WHEN 'N' THEN CAST(l_quantity AS BIGINT) ELSE 1 END AS quantity FROM lineitem")
+def p3(t):
+    q = F.when(F.col("l_returnflag") == "A", F.ceil(F.col("l_quantity") / 4)).when(F.col("l_returnflag") == "N", F.col("l_quantity").cast("long")).otherwise(F.lit(1).cast("long"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q.alias("quantity"))
+
+
+P36 = """SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS plan FROM lineitem GROUP BY l_orderkey"""
+
+
+@QUERIES.add("p36_plan_export", P36)
+def p36(t):
+    g = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("a"))
+    return g.select("l_orderkey", F.array_join(F.transform("a", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(":"), x["l_partkey"].cast("string"))), ",").alias("plan"))
+
+
+P32 = """SELECT o_orderkey, CASE WHEN o_totalprice IS NULL THEN 'no_total' WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_totalprice > 200000 THEN 'too_dear' ELSE 'accepted' END AS reason FROM orders"""
+
+
+@QUERIES.add("p32_accept_filter", P32)
+def p32(t):
+    return t("orders").select("o_orderkey", F.when(F.col("o_totalprice").isNull(), "no_total").when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_totalprice") > 200000, "too_dear").otherwise("accepted").alias("reason"))

@@ -59,3 +59,13 @@ def x20(t):
 def t2(t):
     q = F.substring("text", 6, 10)
     return t("documents").filter(F.char_length("text") >= 15).select("doc_id", q.alias("quoted"), (F.position(q, F.col("text")) == 6).alias("first_here"))
+
+
+@QUERIES.add("x10_introduced_entities", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS n_entities FROM documents")
+def x10(t):
+    return t("documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{6,})")))).cast("long").alias("n_entities"))
+
+
+@QUERIES.add("x17_alignment_gates", "SELECT count(*) >= 100 AS enough, count(*) = count(DISTINCT doc_id) AS unique_ids, count(DISTINCT lang) = 4 AS all_languages, max(n_chars) <= 1000000 AS within_length FROM documents")
+def x17(t):
+    return t("documents").agg((F.count("*") >= 100).alias("enough"), (F.count("*") == F.countDistinct("doc_id")).alias("unique_ids"), (F.countDistinct("lang") == 4).alias("all_languages"), (F.max("n_chars") <= 1000000).alias("within_length"))
