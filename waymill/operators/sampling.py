@@ -25,3 +25,59 @@ def stratified_split(df: DataFrame, strata: list[str], key: str, holdout: int, s
     quotas = largest_remainder(df.groupBy(*strata).agg(F.count("*").alias("n")), strata, holdout, seed)
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy(stable_rank(seed, F.col(key)), key)))
     return ranked.join(quotas.drop("n"), strata).withColumn("split", F.when(F.col("_rank") <= F.col("quota"), "holdout").otherwise("train")).drop("_rank", "quota")
+
+
+def global_rank(df: DataFrame, order: str, rank: str = "rank") -> DataFrame:
+    """Adds the place (from 1) of each row in the order of a hex hash column, ties in any order. Ranks are counted inside the
+    hash's 4,096 leading values and shifted by the counts before them, so no task sees more than its share of the rows."""
+    own = df.withColumn("_b", F.conv(F.substring(order, 1, 3), 16, 10).cast("int"))
+    sizes = own.groupBy("_b").agg(F.count("*").alias("_n"))  # 4,096 rows at most
+    before = sizes.select("_b", (F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_b")) - F.col("_n")).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_b").orderBy(order))
+    return own.withColumn("_r", inner).join(F.broadcast(before), "_b").withColumn(rank, (F.col("_before") + F.col("_r")).cast("long")).drop("_b", "_r", "_before")
+
+
+def blended_prior(weights: DataFrame, weight: str = "weight", share: float = 0.65) -> DataFrame:
+    """Adds prior: the share of the weights mixed with equal parts. One row a value."""
+    w = Window.partitionBy(F.lit(1))
+    return weights.withColumn("prior", share * F.col(weight) / F.sum(weight).over(w) + (1 - share) / F.count("*").over(w))
+
+
+def balanced_repetitions(values: DataFrame, key: str, total: int, seed: str) -> DataFrame:
+    """Adds quota: equal parts of total, what is left one each to the values of the least hashes. One row a value."""
+    w = Window.partitionBy(F.lit(1))
+    n = F.count("*").over(w)
+    rank = F.row_number().over(w.orderBy(stable_rank(seed, F.col(key))))
+    return values.withColumn("quota", (F.floor(F.lit(total) / n) + (rank <= F.lit(total) % n).cast("long")).cast("long"))
+
+
+def exact_column(slots: DataFrame, quotas: DataFrame, value: str, key: str, seed: str) -> DataFrame:
+    """Gives every slot a value so that the counts equal the quotas (value, quota; a small table): slots in hash order take the
+    values in turn by running totals. Slots beyond the quotas' total get null."""
+    upper = F.sum("quota").over(Window.partitionBy(F.lit(1)).orderBy(value))
+    bounds = quotas.select(value, (upper - F.col("quota")).alias("_from"), upper.alias("_to"))
+    ranked = global_rank(slots.withColumn("_h", stable_rank(seed, F.col(key))), "_h", "_rank")
+    return ranked.join(F.broadcast(bounds), (F.col("_rank") > F.col("_from")) & (F.col("_rank") <= F.col("_to")), "left").drop("_h", "_rank", "_from", "_to")
+
+
+def round_robin(rows: DataFrame, group: list[str], key: str, values: list, seed: str, out: str = "assigned") -> DataFrame:
+    """Deals the values in turn over the rows of each group, in hash order: their counts in a group differ by one at most."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(stable_rank(seed, F.col(key))))
+    return rows.withColumn(out, F.get(F.array(*map(F.lit, values)), (rank - 1) % len(values)))
+
+
+def quota_drift(rows: DataFrame, quotas: DataFrame, value: str) -> DataFrame:
+    """(value, quota, n, drift) of all values of either side."""
+    n = rows.groupBy(value).agg(F.count("*").alias("n"))
+    own = quotas.select(value, "quota").join(n, value, "full").select(value, F.coalesce("quota", F.lit(0)).alias("quota"), F.coalesce("n", F.lit(0)).alias("n"))
+    return own.withColumn("drift", F.col("n") - F.col("quota"))
+
+
+def swap_violators(rows: DataFrame, key: str, column: str, violates, donates, seed: str) -> DataFrame:
+    """Rows that break a rule swap their value with the k-th row that may give, both in hash order; the column's counts stay.
+    Violators without a donor keep their value. violates and donates are conditions that exclude each other; keys are unique."""
+    rank = lambda cond: global_rank(rows.filter(cond).select(key, column).withColumn("_h", stable_rank(seed, F.col(key))), "_h", "_k")
+    a, b = rank(violates).select("_k", F.col(key).alias("_a"), F.col(column).alias("_va")), rank(donates).select("_k", F.col(key).alias("_b"), F.col(column).alias("_vb"))
+    pairs = a.join(b, "_k")
+    new = pairs.select(F.col("_a").alias(key), F.col("_vb").alias("_new")).unionByName(pairs.select(F.col("_b").alias(key), F.col("_va").alias("_new")))
+    return rows.join(new.withColumn("_hit", F.lit(True)), key, "left").withColumn(column, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column))).drop("_new", "_hit")

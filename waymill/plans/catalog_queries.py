@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymill.functions.columns import haversine_km, money
-from waymill.operators import spatial
+from waymill.operators import scenarios, spatial
 from waymill.plans.base import Queries
 
 QUERIES = Queries()
@@ -69,10 +69,10 @@ def places(t):
     return t("embeddings").select(F.col("vec_id").alias("place_id"), F.col("label").alias("city"), (30 + F.get("embedding", F.lit(0)).cast("double")).alias("lat"), (120 + F.get("embedding", F.lit(1)).cast("double")).alias("lon"))
 
 
-@QUERIES.add("w11_nearby", f"WITH {PLACES}, d AS (SELECT a.place_id AS anchor_id, b.place_id, {DIST} AS km FROM pl a JOIN pl b ON a.city = b.city AND a.place_id <> b.place_id WHERE a.place_id % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY km, place_id) AS place FROM d WHERE km <= 10) SELECT anchor_id, place_id, round(km, 3) AS km, place FROM r WHERE place <= 10")
+@QUERIES.add("w11_nearby", f"WITH {PLACES}, d AS (SELECT a.place_id AS anchor_id, b.place_id, {DIST} AS km FROM pl a JOIN pl b ON a.city = b.city AND a.place_id <> b.place_id), r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY km, place_id) AS place FROM d WHERE km <= 10) SELECT anchor_id, place_id, round(km, 3) AS km, place FROM r WHERE place <= 10")
 def w11(t):
     p = places(t)
-    return spatial.nearby(p, p.filter("place_id % 5 = 0"), 10.0, 10).withColumn("km", F.round("km", 3))
+    return spatial.nearby(p, p, 10.0, 10).withColumn("km", F.round("km", 3))
 
 
 @QUERIES.add("w12_haversine", f"WITH {PLACES} SELECT a.place_id, round({DIST}, 6) AS km FROM pl a, (SELECT 30.0 AS lat, 120.0 AS lon) b")
@@ -143,3 +143,51 @@ def w16(t):
     j = a.join(b, "place_id").select(F.col("place_id").alias("origin"), (F.col("place_id") + 1).alias("destination"), km.alias("d"))
     fare = F.when(F.col("d") <= 3, 13.0).otherwise(13 + 2.3 * (F.col("d") - 3))
     return j.select("origin", "destination", F.round("d", 6).alias("km"), F.ceil(F.round("d", 6) / 40 * 60).alias("taxi_minutes"), F.round(fare, 4).alias("taxi_fare"))
+
+
+@QUERIES.add("w6_restaurant_search", "SELECT p_partkey, p_type, p_retailprice FROM part WHERE contains(lower(p_type), 'promo') AND (contains(lower(p_name), 'a') OR contains(lower(p_name), 'o'))")
+def w6(t):
+    return t("part").filter(F.contains(F.lower("p_type"), F.lit("promo")) & (F.contains(F.lower("p_name"), F.lit("a")) | F.contains(F.lower("p_name"), F.lit("o")))).select("p_partkey", "p_type", "p_retailprice")
+
+
+W14 = f"""WITH {PLACES}, d AS (SELECT a.place_id AS anchor_id, b.place_id, {DIST} AS km FROM pl a JOIN pl b ON a.city = b.city AND a.place_id <> b.place_id), l(r) AS (VALUES (2), (5), (10), (20), (50)),
+k AS (SELECT place_id, r, row_number() OVER (PARTITION BY anchor_id, r ORDER BY km, place_id) AS place FROM d, l WHERE km <= r) SELECT place_id, min(r) AS radius FROM k WHERE place <= 10 GROUP BY place_id"""
+
+
+@QUERIES.add("w14_first_visible_radius", W14)
+def w14(t):
+    return spatial.first_visible_radius(places(t), places(t))
+
+
+W17 = """SELECT l_orderkey, l_returnflag, CASE l_returnflag WHEN 'A' THEN sum(q) <= 2 WHEN 'N' THEN sum(q) <= 80 ELSE sum(q) <= 40 AND coalesce(sum(q) FILTER (WHERE l_linestatus = 'O'), 0) <= 2 END AS real FROM (SELECT *, l_quantity AS q FROM lineitem) GROUP BY l_orderkey, l_returnflag"""
+
+
+@QUERIES.add("w17_route_realism", W17)
+def w17(t):
+    mode = F.when(F.col("l_returnflag") == "A", "walk").when(F.col("l_returnflag") == "N", "taxi").otherwise("metro")
+    g = t("lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.collect_list(F.struct(F.when(F.col("l_linestatus") == "O", "walk").otherwise("metro").alias("mode"), F.col("l_quantity").alias("km"))).alias("segments"))
+    return g.select("l_orderkey", "l_returnflag", scenarios.route_is_real(mode, F.col("segments")).alias("real"))
+
+
+W19 = """WITH s AS (SELECT n_nationkey AS slot, n_nationkey % 5 AS p FROM nation), j AS (SELECT slot, p, c_custkey AS place_id, c_acctbal AS price, kind, row_number() OVER (PARTITION BY slot ORDER BY sha256('w19' || chr(31) || slot || chr(31) || c_custkey)) AS effect, count(*) OVER (PARTITION BY slot) AS n
+ FROM s JOIN (SELECT *, ['attraction', 'hotel', 'transport', 'restaurant'][c_custkey % 4 + 1] AS kind FROM customer) ON c_nationkey = slot WHERE (p = 1 AND kind = 'attraction') OR (p = 2 AND kind = 'hotel') OR (p = 3 AND kind = 'transport') OR (p = 4 AND kind <> 'transport'))
+SELECT slot, effect, kind, place_id, CASE WHEN p = 4 THEN price END AS before, CASE WHEN p = 4 THEN round(price * 1.25, 2) END AS after FROM j WHERE effect <= CASE p WHEN 4 THEN 6 WHEN 3 THEN least(3, greatest(1, n // 10), n - 1) ELSE 5 END"""
+
+
+@QUERIES.add("w19_scenario_draw", W19)
+def w19(t):
+    profile = F.get(F.array(*map(F.lit, ("normal", "poi_closure", "hotel_unavailable", "transport_cancellation", "price_change"))), F.col("n_nationkey") % 5)
+    slots = t("nation").select(F.col("n_nationkey").alias("slot"), F.col("n_nationkey").alias("city"), profile.alias("profile"))
+    kind = F.get(F.array(*map(F.lit, ("attraction", "hotel", "transport", "restaurant"))), (F.col("c_custkey") % 4).cast("int"))
+    return scenarios.draw_effects(slots, t("customer").select(F.col("c_custkey").alias("place_id"), kind.alias("kind"), F.col("c_nationkey").alias("city"), F.col("c_acctbal").alias("price")), "w19")
+
+
+@QUERIES.add("w21_task_page_index", "SELECT c_custkey, (row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal, c_custkey) - 1) // 10 AS facet_page, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) - 1) // 10 AS price_page FROM customer")
+def w21(t):
+    page = lambda *k: F.floor((F.row_number().over(Window.partitionBy(*k).orderBy("c_acctbal", "c_custkey")) - 1) / 10)
+    return t("customer").select("c_custkey", page("c_nationkey", "c_mktsegment").alias("facet_page"), page("c_nationkey").alias("price_page"))
+
+
+@QUERIES.add("w23_candidate_ranking", f"WITH {PLACES}, n AS (SELECT a.city, a.place_id, count(b.place_id) AS n_neighbors FROM pl a LEFT JOIN pl b ON a.city = b.city AND a.place_id <> b.place_id AND {DIST} <= 5 GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY n_neighbors DESC, place_id) AS place FROM n) WHERE place <= 5")
+def w23(t):
+    return scenarios.rank_by_neighbors(places(t), spatial.within(places(t), places(t), 5.0), 5)

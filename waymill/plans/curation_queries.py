@@ -55,10 +55,9 @@ def d13(t):
     return t("conversations").groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_samples"), F.sum(F.char_length("text")).alias("chars"))
 
 
-@QUERIES.add("s3_union_splits", "WITH u AS (SELECT 'a' AS split, doc_id % 100 AS uid FROM documents WHERE doc_id < 150 UNION ALL SELECT 'b', doc_id % 100 FROM documents WHERE doc_id BETWEEN 150 AND 260), r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY split) AS rn FROM (SELECT DISTINCT split, uid FROM u)) SELECT CASE WHEN rn > 1 THEN split || ':' || CAST(uid AS VARCHAR) ELSE CAST(uid AS VARCHAR) END AS uid, CAST(uid AS VARCHAR) AS source_uid FROM r")
+@QUERIES.add("s3_union_splits", "WITH u AS (SELECT 'a' AS split, doc_id AS uid FROM documents UNION ALL SELECT 'b', doc_id FROM labels), r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY split) AS rn FROM (SELECT DISTINCT split, uid FROM u)) SELECT CASE WHEN rn > 1 THEN split || ':' || CAST(uid AS VARCHAR) ELSE CAST(uid AS VARCHAR) END AS uid, CAST(uid AS VARCHAR) AS source_uid FROM r")
 def s3(t):
-    d = t("documents")
-    u = d.filter("doc_id < 150").select(F.lit("a").alias("split"), (F.col("doc_id") % 100).alias("uid")).unionByName(d.filter("doc_id between 150 and 260").select(F.lit("b").alias("split"), (F.col("doc_id") % 100).alias("uid"))).distinct()
+    u = t("documents").select(F.lit("a").alias("split"), F.col("doc_id").alias("uid")).unionByName(t("labels").select(F.lit("b").alias("split"), F.col("doc_id").alias("uid"))).distinct()
     rn = F.row_number().over(Window.partitionBy("uid").orderBy("split"))
     own = F.col("uid").cast("string")
     return u.withColumn("rn", rn).select(F.when(F.col("rn") > 1, F.concat("split", F.lit(":"), own)).otherwise(own).alias("uid"), own.alias("source_uid"))

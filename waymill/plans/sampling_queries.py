@@ -77,3 +77,49 @@ def g7(t):
 @QUERIES.add("stable_rank_order", "SELECT c_custkey, sha256('s' || chr(31) || CAST(c_custkey AS VARCHAR)) AS rank_hash FROM customer")
 def rank(t):
     return t("customer").select("c_custkey", stable_rank("s", F.col("c_custkey")).alias("rank_hash"))
+
+
+SEG = "q(v, quota) AS (SELECT o, quota FROM (SELECT o_orderpriority AS o, count(*) AS n FROM orders GROUP BY 1), LATERAL (SELECT (n * (SELECT count(*) FROM customer)) // (SELECT count(*) FROM orders) AS quota)), bo AS (SELECT v, sum(quota) OVER (ORDER BY v) AS hi, quota FROM q)"
+G8 = f"""WITH {SEG}, r AS (SELECT c_custkey, row_number() OVER (ORDER BY sha256('g8' || chr(31) || CAST(c_custkey AS VARCHAR))) AS rk FROM customer)
+SELECT c_custkey, v AS priority FROM r LEFT JOIN bo ON rk > hi - quota AND rk <= hi"""
+
+
+def priority_quotas(t):
+    """Counts of priorities among orders, scaled to the number of customers and rounded down."""
+    o, c = t("orders"), t("customer").agg(F.count("*").alias("n_slots"))
+    n = o.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
+    total = o.agg(F.count("*").alias("total"))
+    return n.crossJoin(F.broadcast(c)).crossJoin(F.broadcast(total)).select("priority", F.floor(F.col("n") * F.col("n_slots") / F.col("total")).alias("quota"))
+
+
+@QUERIES.add("g8_exact_columns", G8)
+def g8(t):
+    return sampling.exact_column(t("customer").select("c_custkey"), priority_quotas(t), "priority", "c_custkey", "g8")
+
+
+@QUERIES.add("g9_blended_prior", "WITH w AS (SELECT c_mktsegment, count(*) AS weight FROM customer GROUP BY 1), n AS (SELECT count(*) AS k, sum(weight) AS s FROM w) SELECT c_mktsegment, weight, round(0.65 * weight / s + 0.35 / k, 8) AS prior, 103 // k + CASE WHEN row_number() OVER (ORDER BY sha256('g9' || chr(31) || c_mktsegment)) <= 103 % k THEN 1 ELSE 0 END AS quota FROM w, n")
+def g9(t):
+    w = t("customer").groupBy("c_mktsegment").agg(F.count("*").alias("weight"))
+    return sampling.balanced_repetitions(sampling.blended_prior(w), "c_mktsegment", 103, "g9").withColumn("prior", F.round("prior", 8))
+
+
+@QUERIES.add("g10_balanced_assignment", "SELECT c_custkey, c_nationkey, ['north', 'south', 'east'][(row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('g10' || chr(31) || CAST(c_custkey AS VARCHAR))) - 1) % 3 + 1] AS origin FROM customer")
+def g10(t):
+    return sampling.round_robin(t("customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], "c_custkey", ["north", "south", "east"], "g10", "origin")
+
+
+@QUERIES.add("g11_quota_drift", f"WITH {SEG}, n AS (SELECT o_orderpriority AS v, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT coalesce(q.v, n.v) AS priority, coalesce(quota, 0) AS quota, coalesce(n, 0) AS n, coalesce(n, 0) - coalesce(quota, 0) AS drift FROM q FULL JOIN n ON q.v = n.v")
+def g11(t):
+    return sampling.quota_drift(t("orders").filter("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("priority")), priority_quotas(t), "priority")
+
+
+G12 = """WITH h AS (SELECT p_partkey, p_brand, p_size, sha256('g12' || chr(31) || CAST(p_partkey AS VARCHAR)) AS h, p_brand < 'Brand#2' AND p_size > 25 AS bad, p_brand >= 'Brand#2' AND p_size <= 25 AS gives FROM part),
+a AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY h) AS k FROM h WHERE bad), b AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY h) AS k FROM h WHERE gives),
+s AS (SELECT a.p_partkey AS key, b.p_size AS new FROM a JOIN b USING (k) UNION ALL SELECT b.p_partkey, a.p_size FROM a JOIN b USING (k))
+SELECT p_partkey, p_brand, coalesce(new, p_size) AS p_size FROM part LEFT JOIN s ON p_partkey = key"""
+
+
+@QUERIES.add("g12_compatibility_swaps", G12)
+def g12(t):
+    low = F.col("p_brand") < "Brand#2"
+    return sampling.swap_violators(t("part").select("p_partkey", "p_brand", "p_size"), "p_partkey", "p_size", low & (F.col("p_size") > 25), ~low & (F.col("p_size") <= 25), "g12")

@@ -1,8 +1,10 @@
 """Text quality, reuse and diversity."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymill.functions.columns import normalize_question
+from waymill.operators import texts
 from waymill.plans.base import Queries
 
 QUERIES = Queries()
@@ -69,3 +71,58 @@ def x10(t):
 @QUERIES.add("x17_alignment_gates", "SELECT count(*) >= 100 AS enough, count(*) = count(DISTINCT doc_id) AS unique_ids, count(DISTINCT lang) = 4 AS all_languages, max(n_chars) <= 1000000 AS within_length FROM documents")
 def x17(t):
     return t("documents").agg((F.count("*") >= 100).alias("enough"), (F.count("*") == F.countDistinct("doc_id")).alias("unique_ids"), (F.countDistinct("lang") == 4).alias("all_languages"), (F.max("n_chars") <= 1000000).alias("within_length"))
+
+
+LITERALS = ["the", "und", "les", "una"]
+J = lambda a: F.array_join(a, ",")
+
+
+@QUERIES.add("x2_protected_literals", "SELECT doc_id, array_to_string(list_filter(['the', 'und', 'les', 'una'], lambda x: NOT contains(text, x)), ',') AS missing FROM documents")
+def x2(t):
+    return t("documents").select("doc_id", J(texts.missing_literals(F.col("text"), F.array(*map(F.lit, LITERALS)))).alias("missing"))
+
+
+@QUERIES.add("x3_name_guard", "SELECT doc_id, array_to_string(list_filter(['the', 'und', 'les', 'una'], lambda x: contains(text, x) AND x <> CASE lang WHEN 'en' THEN 'the' WHEN 'de' THEN 'und' WHEN 'fr' THEN 'les' ELSE 'una' END), ',') AS foreign_names FROM documents")
+def x3(t):
+    own = F.when(F.col("lang") == "en", "the").when(F.col("lang") == "de", "und").when(F.col("lang") == "fr", "les").otherwise("una")
+    return t("documents").select("doc_id", J(texts.foreign_names(F.col("text"), LITERALS, F.array(own))).alias("foreign_names"))
+
+
+@QUERIES.add("x5_mention_coverage", "SELECT doc_id, x AS literal, CAST((length(text) - length(replace(text, x, ''))) / length(x) AS BIGINT) AS n, strpos(text, x) AS first FROM documents, (VALUES ('the'), ('und'), ('les'), ('una')) v(x)")
+def x5(t):
+    return t("documents").select("doc_id", F.inline(texts.mentions(F.col("text"), F.array(*map(F.lit, LITERALS)))))
+
+
+@QUERIES.add("x6_polarity", "SELECT doc_id, CASE source WHEN 'web' THEN contains(text, 'not') OR contains(text, 'nicht') WHEN 'news' THEN contains(text, 'all') OR contains(text, 'tous') ELSE true END AS polarity_ok FROM documents")
+def x6(t):
+    return t("documents").select("doc_id", texts.polarity_ok(F.col("text"), F.col("source"), {"web": ["not", "nicht"], "news": ["all", "tous"]}).alias("polarity_ok"))
+
+
+@QUERIES.add("x9_number_forms", "SELECT conv_id, turn, role, turn % 100 AS n, count(*) FILTER (WHERE contains(text, CAST(turn % 100 AS VARCHAR)) OR (turn % 100 = 1 AND contains(text, '一'))) > 0 AS stated FROM conversations GROUP BY conv_id, turn, role")
+def x9(t):
+    c = t("conversations").withColumn("n", F.col("turn") % 100)
+    forms = texts.number_forms(c.sparkSession)
+    j = c.join(F.broadcast(forms), c.n == forms.value, "left")
+    return j.groupBy("conv_id", "turn", "role", "n").agg(F.coalesce(F.bool_or(F.contains("text", F.col("form"))), F.lit(False)).alias("stated"))
+
+
+X18 = """e AS (SELECT conv_id, turn, role, text, NOT length(text) BETWEEN 20 AND 400 AS a, len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: NOT list_contains(coalesce(seen, []), x))) > 0 AS b, NOT contains(text, 'a') AS c
+ FROM (SELECT *, flatten(list(regexp_extract_all(text, '[0-9]+')) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS seen FROM conversations) WHERE role = 'assistant'),
+f AS (SELECT *, regexp_matches(text, '(?i)\\b(result shows|results show|was found|returned)\\b') AS d FROM e)"""
+
+
+def rationales(t):
+    """Answers as rationales; the numbers of a conversation's earlier turns are the seen ones."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    c = t("conversations").withColumn("seen", F.flatten(F.collect_list(F.regexp_extract_all("text", F.lit("([0-9]+)"))).over(w)))
+    return c.filter("role = 'assistant'").select("conv_id", "turn", "text", texts.rationale_errors(F.col("text"), F.col("seen"), F.array(F.lit("a"))).alias("errors"))
+
+
+@QUERIES.add("x18_rationale_validation", f"WITH {X18} SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN a THEN 'length' END, CASE WHEN b THEN 'unseen_number' END, CASE WHEN d THEN 'premature_result' END, CASE WHEN c THEN 'missing_word' END], lambda x: x IS NOT NULL), ',') AS errors FROM f")
+def x18(t):
+    return rationales(t).select("conv_id", "turn", J(F.col("errors")).alias("errors"))
+
+
+@QUERIES.add("x19_rationale_choice", f"WITH {X18} SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE a OR b OR c OR d) AS n_template, CASE WHEN count(*) FILTER (WHERE a OR b OR c OR d) = 0 THEN 'accepted' WHEN count(*) FILTER (WHERE a OR b OR c OR d) < count(*) THEN 'partial' ELSE 'full' END AS outcome FROM f GROUP BY conv_id")
+def x19(t):
+    return texts.choose_rationale(rationales(t), "conv_id")
