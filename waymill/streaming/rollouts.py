@@ -40,3 +40,15 @@ def no_signal_streaks(groups: DataFrame, run: str = "run", order: str = "grp", o
     kinds = dict(groups.dtypes)
     schema = f"{run} {kinds[run]}, {order} {kinds[order]}, {outcome} string, streak long"
     return groups.groupBy(run).applyInPandasWithState(step, schema, "streak long", "append", GroupStateTimeout.NoTimeout)
+
+
+def ingest(rows: DataFrame, fault, good_path: str, reject_path: str, checkpoint: str, trigger: dict):
+    """Starts a stream that writes each micro-batch's valid rows and rejects to two tables. fault is a column: null for a valid
+    row. Batches are written by their id as a partition and replace it, so that a batch that is run again adds nothing."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        marked = batch.withColumns({"fault": fault, "batch_id": F.lit(batch_id)})
+        for part, path in ((marked.filter("fault is null").drop("fault"), good_path), (marked.filter("fault is not null"), reject_path)):
+            part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**trigger).start()
