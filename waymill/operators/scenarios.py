@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymill.functions.columns import stable_rank
+from waymill.functions.columns import money, stable_rank
 
 
 def draw_effects(slots: DataFrame, places: DataFrame, seed: str) -> DataFrame:
@@ -13,7 +13,7 @@ def draw_effects(slots: DataFrame, places: DataFrame, seed: str) -> DataFrame:
 
     slots: slot, city, profile; places: place_id, kind, city, price. poi_closure and hotel_unavailable close up to 5 attractions
     or hotels; transport_cancellation cancels min(3, max(1, n // 10), n - 1) of n transports; price_change raises 6 prices of
-    places by a quarter. Only places of the slot's city and of the kind that the profile asks for are ranked.
+    places by a quarter, in decimals, half a cent up. Only places of the slot's city and of the kind that the profile asks for are ranked.
     """
     wanted = F.when(F.col("profile") == "poi_closure", F.array(F.lit("attraction"))).when(F.col("profile") == "hotel_unavailable", F.array(F.lit("hotel"))).when(F.col("profile") == "transport_cancellation", F.array(F.lit("transport"))).when(F.col("profile") == "price_change", F.array(F.lit("attraction"), F.lit("restaurant"), F.lit("hotel")))
     j = slots.filter("profile <> 'normal'").withColumn("kind", F.explode(wanted)).join(places, ["city", "kind"]).filter((F.col("profile") != "price_change") | F.col("price").isNotNull())
@@ -22,7 +22,7 @@ def draw_effects(slots: DataFrame, places: DataFrame, seed: str) -> DataFrame:
     most = F.when(F.col("profile") == "price_change", 6).when(F.col("profile") == "transport_cancellation", F.least(F.lit(3), F.greatest(F.lit(1), F.floor(n / 10)), n - 1)).otherwise(5)
     ranked = j.withColumns({"effect": F.row_number().over(w.orderBy(stable_rank(seed, F.col("slot"), F.col("place_id")))), "_most": most}).filter("effect <= _most")
     dearer = F.col("profile") == "price_change"
-    return ranked.select("slot", "effect", "kind", "place_id", F.when(dearer, F.col("price")).alias("before"), F.when(dearer, F.round(F.col("price") * 1.25, 2)).alias("after"))
+    return ranked.select("slot", "effect", "kind", "place_id", F.when(dearer, F.col("price")).alias("before"), F.when(dearer, F.round(money(F.col("price")) * F.lit(1.25).cast("decimal(3,2)"), 2).cast("double")).alias("after"))
 
 
 def route_is_real(mode: Column, segments: Column) -> Column:

@@ -171,7 +171,7 @@ def w17(t):
 
 W19 = """WITH s AS (SELECT n_nationkey AS slot, n_nationkey % 5 AS p FROM nation), j AS (SELECT slot, p, c_custkey AS place_id, c_acctbal AS price, kind, row_number() OVER (PARTITION BY slot ORDER BY sha256('w19' || chr(31) || slot || chr(31) || c_custkey)) AS effect, count(*) OVER (PARTITION BY slot) AS n
  FROM s JOIN (SELECT *, ['attraction', 'hotel', 'transport', 'restaurant'][c_custkey % 4 + 1] AS kind FROM customer) ON c_nationkey = slot WHERE (p = 1 AND kind = 'attraction') OR (p = 2 AND kind = 'hotel') OR (p = 3 AND kind = 'transport') OR (p = 4 AND kind <> 'transport'))
-SELECT slot, effect, kind, place_id, CASE WHEN p = 4 THEN price END AS before, CASE WHEN p = 4 THEN round(price * 1.25, 2) END AS after FROM j WHERE effect <= CASE p WHEN 4 THEN 6 WHEN 3 THEN least(3, greatest(1, n // 10), n - 1) ELSE 5 END"""
+SELECT slot, effect, kind, place_id, CASE WHEN p = 4 THEN price END AS before, CASE WHEN p = 4 THEN CAST(round(CAST(price AS DECIMAL(18,2)) * CAST(1.25 AS DECIMAL(3,2)), 2) AS DOUBLE) END AS after FROM j WHERE effect <= CASE p WHEN 4 THEN 6 WHEN 3 THEN least(3, greatest(1, n // 10), n - 1) ELSE 5 END"""
 
 
 @QUERIES.add("w19_scenario_draw", W19)
