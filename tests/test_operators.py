@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from waymill.functions import columns as C
-from waymill.operators import rollouts, runs, sampling, spatial
+from waymill.operators import comparisons, rollouts, runs, sampling, spatial, texts
 
 
 def one(spark, col, **row):
@@ -69,3 +69,27 @@ def test_nearby_equals_all_pairs(spark):
     b = df.select(*[F.col(c).alias(f"b_{c}") for c in df.columns])
     want = df.crossJoin(b).filter("place_id <> b_place_id").filter(C.haversine_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) <= 3.0)
     assert got == {(r.place_id, r.b_place_id) for r in want.collect()}
+
+
+def test_logic_shape(spark):
+    rows = [("要有早餐和泳池", ["早餐", "泳池"]), ("要有早餐或泳池", ["早餐", "泳池"]), ("早餐泳池都要", ["早餐", "泳池"]), ("要有早餐", ["早餐", "泳池"]), ("要有早餐", ["早餐"])]
+    df = spark.createDataFrame(rows, "text string, o array<string>")
+    got = df.select(texts.logic_shape(F.col("text"), F.col("o"), "and").alias("a"), texts.logic_shape(F.col("text"), F.col("o"), "or").alias("b")).collect()
+    assert [tuple(r) for r in got] == [("ok", "changed"), ("changed", "ok"), ("ok", "changed"), ("missing", "missing"), ("ok", "ok")]
+    groups = spark.createDataFrame([("早餐和泳池，或者健身房", [["早餐", "泳池"], ["健身房"]]), ("早餐和健身房", [["早餐"], ["健身房"]])], "text string, g array<array<string>>")
+    assert [r[0] for r in groups.select(texts.any_of_kept(F.col("text"), F.col("g"))).collect()] == [True, False]
+
+
+def test_patch_clauses(spark):
+    rows = [("去杭州，住便宜酒店，坐地铁。", [("m", 6, 8)], {"m": "人均三百"}), ("住便宜酒店坐地铁。", [("m", 1, 3), ("n", 6, 8)], {"m": "普通"}), ("住便宜酒店。", [("m", 0, 3), ("n", 2, 5)], {"m": "x", "n": "y"}), ("无", [], {})]
+    df = spark.createDataFrame(rows, "text string, m array<struct<id string, start int, end int>>, c map<string, string>")
+    got = [tuple(r.r) for r in df.select(texts.patch_clauses(F.col("text"), F.col("m"), F.col("c")).alias("r")).collect()]
+    assert got == [("去杭州，人均三百，坐地铁。", False), ("住普通酒店坐地铁。", False), ("住便宜酒店。", True), ("无", False)]
+
+
+def test_alternatives_skip_runs_of_planned_places(spark):
+    places = spark.createDataFrame([(i, "hotel", 0, float(p)) for i, p in enumerate([10, 10, 20, 30, 30, 40])] + [(9, "hotel", 0, None)], "candidate_id long, entity_type string, city int, price double")
+    items = spark.createDataFrame([(1, 0), (1, 2), (1, 3), (2, 3), (2, 5), (3, 2), (3, 9)], "plan_id long, candidate_id long")
+    limits = spark.createDataFrame([(3, "hotel", 25.0), (3, "hotel", 90.0)], "plan_id long, entity_type string, max_price double")
+    got = {(r.plan_id, r.candidate_id): r.alternative_id for r in comparisons.comparable_alternatives(items, places, limits).collect()}
+    assert got == {(1, 0): 4, (1, 2): 4, (1, 3): 5}

@@ -58,3 +58,59 @@ def choose_rationale(df: DataFrame, key: str) -> DataFrame:
     fine = F.size("errors") == 0
     outcome = F.when(F.bool_and(fine), "accepted").when(F.bool_or(fine), "partial").otherwise("full")
     return df.groupBy(key).agg(F.count("*").alias("n"), F.count(F.when(~fine, 1)).alias("n_template"), outcome.alias("outcome"))
+
+
+# The connectors of a disjunction and a conjunction, and the words that make a whole text one or the other.
+CONNECTORS = {"or": ["或", "或者"], "or_anywhere": ["任选", "任一", "其中一种", "二选一"], "and": ["和", "与", "及", "以及", "、", "并且"], "and_anywhere": ["分别", "同时", "各", "都", "均"]}
+
+
+def _holds(text: Column, markers: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(text, m))
+
+
+def _gaps(text: Column, spans: Column) -> Column:
+    """What stands between each of the spans (an array of structs with at, 1-based, and upto) and the next in order."""
+    s = F.array_sort(spans)
+    i = F.when(F.size(s) > 1, F.sequence(F.lit(0), F.size(s) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.transform(i, lambda k: F.substr(text, F.get(s, k)["upto"], F.greatest(F.get(s, k + 1)["at"] - F.get(s, k)["upto"], F.lit(0))))
+
+
+def logic_shape(text: Column, operands: Column, expected: str, words: dict[str, list[str]] | None = None) -> Column:
+    """Whether a text joins the operands (an array of texts) as expected, by "and" or by "or": ok, changed, or missing if it lacks
+    one. Every two neighbours must stand around a connector of that kind and none of the other, or the text has a word for it."""
+    w = words or CONNECTORS
+    spans = F.transform(operands, lambda o: F.struct(F.position(o, text).alias("at"), o.alias("o"), (F.position(o, text) + F.length(o)).alias("upto")))
+    if expected == "and":
+        kept = lambda b: ~_holds(b, w["or"]) & (_holds(b, w["and"]) | _holds(text, w["and_anywhere"]))
+    else:
+        kept = lambda b: ~_holds(b, w["and"]) & (_holds(b, w["or"]) | _holds(text, w["or_anywhere"]))
+    return F.when(F.exists(operands, lambda o: ~F.contains(text, o)), "missing").when(F.forall(_gaps(text, spans), kept), "ok").otherwise("changed")
+
+
+def any_of_kept(text: Column, groups: Column, words: dict[str, list[str]] | None = None) -> Column:
+    """Whether the groups of operands (an array of arrays, all of them in the text) are still alternatives of each other."""
+    w = words or CONNECTORS
+    at = lambda o: F.position(o, text)
+    spans = F.transform(groups, lambda g: F.struct(F.array_min(F.transform(g, at)).alias("at"), F.array_max(F.transform(g, lambda o: at(o) + F.length(o))).alias("upto")))
+    return F.forall(_gaps(text, spans), lambda b: ~_holds(b, w["and"]) & (_holds(b, w["or"]) | _holds(text, w["or_anywhere"])))
+
+
+def patch_clauses(text: Column, mentions: Column, clauses: Column, boundaries: str = "，；。！？：\n") -> Column:
+    """(text, conflict): every mention that has a new clause is replaced together with the rest of its clause, up to the boundary
+    signs on both sides; only the mention itself if another mention lies in that stretch. Where replaced stretches overlap nothing
+    is replaced and conflict is true. mentions: an array of id, start, end (from 0, end exclusive); clauses: a map from id."""
+    stop = boundaries[-1]
+    cut = lambda s: F.translate(s, boundaries, stop * len(boundaries))
+    before = lambda m: F.length(F.substring_index(cut(F.substr(text, F.lit(1), m["start"])), stop, -1))
+    after = lambda m: F.length(F.substring_index(cut(F.substr(text, m["end"] + 1)), stop, 1))
+    wide = F.transform(F.filter(mentions, lambda m: F.map_contains_key(clauses, m["id"])), lambda m: F.struct(m["id"].alias("id"), m["start"].alias("start"), m["end"].alias("end"), (m["start"] - before(m)).alias("from"), (m["end"] + after(m)).alias("to")))
+
+    def stretch(m: Column) -> Column:
+        shared = F.exists(mentions, lambda o: (o["id"] != m["id"]) & (o["start"] < m["to"]) & (o["end"] > m["from"]))
+        return F.struct(F.when(shared, m["start"]).otherwise(m["from"]).alias("from"), F.when(shared, m["end"]).otherwise(m["to"]).alias("to"), F.element_at(clauses, m["id"]).alias("clause"))
+
+    spans = F.array_sort(F.transform(wide, stretch))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"), F.lit(False).alias("conflict"))
+    step = lambda a, s: F.struct(s["to"].cast("long").alias("at"), F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), F.greatest(s["from"].cast("long") - a["at"], F.lit(0)).cast("int")), s["clause"]).alias("out"), (a["conflict"] | (s["from"] < a["at"])).alias("conflict"))
+    done = lambda a: F.struct(F.when(a["conflict"], text).otherwise(F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int")))).alias("text"), a["conflict"].alias("conflict"))
+    return F.aggregate(spans, start, step, done)
