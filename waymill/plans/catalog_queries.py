@@ -87,7 +87,7 @@ def w13(t):
     return p.select("place_id").join(n, "place_id", "left").select("place_id", F.coalesce("n", F.lit(0)).alias("n_neighbors"))
 
 
-@QUERIES.add("w15_route_anchors", "SELECT n_name, CAST(avg(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS centroid, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+@QUERIES.add("w15_route_anchors", "SELECT n_name, CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS centroid, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
 def w15(t):
     s, n = t("supplier"), t("nation")
     return s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).groupBy("n_name").agg((F.sum(money(F.col("s_acctbal"))).cast("double") / F.count("*")).alias("centroid"), F.count("*").alias("n"))

@@ -27,9 +27,10 @@ def r3(t):
     return ops.classify(rollouts(t("events")), GROUP).groupBy("outcome").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_rollouts"))
 
 
-@QUERIES.add("r4_component_means", f"WITH {ROLLOUTS} SELECT event_type, count(*) AS n, CAST(avg(CASE WHEN reward_valid THEN CAST(reward AS DECIMAL(18,4)) END) AS DOUBLE) AS mean_valid_reward FROM ro GROUP BY event_type")
+@QUERIES.add("r4_component_means", f"WITH {ROLLOUTS} SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN reward_valid THEN CAST(reward AS DECIMAL(18,4)) END) AS DOUBLE) / count(*) FILTER (WHERE reward_valid) AS mean_valid_reward FROM ro GROUP BY event_type")
 def r4(t):
-    return rollouts(t("events")).groupBy("event_type").agg(F.count("*").alias("n"), F.avg(F.when(F.col("reward_valid"), F.col("reward").cast("decimal(18,4)"))).cast("double").alias("mean_valid_reward"))
+    total = F.sum(F.when(F.col("reward_valid"), F.col("reward").cast("decimal(18,4)"))).cast("double")  # a decimal mean would be cut at eight places
+    return rollouts(t("events")).groupBy("event_type").agg(F.count("*").alias("n"), F.try_divide(total, F.count_if("reward_valid")).alias("mean_valid_reward"))
 
 
 R5 = f"""WITH {ROLLOUTS}, o AS (SELECT user_id, grp, CASE WHEN n <> 8 OR any_overflow THEN 'invalid' WHEN any_invalid THEN 'usable' ELSE 'zero_variance' END AS outcome FROM gr),
