@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from waymill.llm import decontam, fingerprint, htmltext, langid, linededup, mixing, pii, simhash, toxicity, urlfilter
+from waymill.llm import decontam, fingerprint, htmltext, langid, linededup, mixing, neardup, pii, simhash, toxicity, urlfilter
 from waymill.llm.graph import connected_components
 from waymill.llm.queries import QUERIES
 
@@ -305,3 +305,33 @@ def test_pipeline_equals_its_stages(spark):
     label = brute_components([kept[i] for i in ids])
     left = [i for n, i in enumerate(ids) if label[n] == n and not brute_hits(kept[i], items)[1]]
     assert sorted(out.doc_id) == left and dict(zip(out.doc_id, out.text, strict=True)) == {i: kept[i] for i in left}
+
+
+def jaccard_components(texts):
+    """By links of fingerprints within 4 bits, and of 5-word shingles with a similarity of 0.8 or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    fps = [simhash.fingerprint(t) for t in texts]
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4 or bool(sets[i]) and len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])
+    label = list(range(len(texts)))
+    for _ in range(6):
+        label = [min(label[j] for j in range(len(texts)) if near(i, j)) for i in range(len(texts))]
+    return label
+
+
+@pytest.mark.parametrize("limits", [{}, {"chunk_rows": 4, "most_broadcast": 0, "sample_rows": 30}])
+def test_near_copies_of_the_pipeline(spark, limits):
+    texts = list(EDGE)
+    for k in range(12):
+        texts.append(base := prose(100 + k, 200))
+        for changed in (1, 2, 3, 4, 5, 6, 9):
+            w = base.split()
+            for i in range(changed):
+                w[(i * 31 + 7 * k) % 200] = f"new{k}x{changed}x{i}"
+            texts.append(" ".join(w))
+    want = jaccard_components(texts)
+    assert want != brute_components(texts)
+    rows = docs(spark, texts)
+    got = {r.doc_id: r.component for r in neardup.components(rows, **limits).collect()}
+    assert len({(a, got[i]) for i, a in enumerate(want)}) == len(set(want)) == len(set(got.values()))
+    if not limits:
+        assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, SF).collect()) == sorted(set(want))
