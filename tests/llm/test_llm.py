@@ -335,3 +335,10 @@ def test_near_copies_of_the_pipeline(spark, limits):
     assert len({(a, got[i]) for i, a in enumerate(want)}) == len(set(want)) == len(set(got.values()))
     if not limits:
         assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, SF).collect()) == sorted(set(want))
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    a, b, c, d = (prose(200 + k, 50) for k in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, b), (None, b), (None, c), (None, c), (3, d), (None, d), (4, a)]
+    got = corpus_pipeline.near_dedup(spark, docs(spark, [t for _, t in rows], [i for i, _ in rows]), SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (1, b), (0, c), (3, d)])
