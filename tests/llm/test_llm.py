@@ -342,3 +342,17 @@ def test_near_dedup_keeps_one_row_of_a_group(spark):
     rows = [(1, a), (1, b), (1, b), (2, b), (None, b), (None, c), (None, c), (3, d), (None, d), (4, a)]
     got = corpus_pipeline.near_dedup(spark, docs(spark, [t for _, t in rows], [i for i, _ in rows]), SF).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (1, b), (0, c), (3, d)])
+
+
+def test_every_valid_span_has_a_mark():
+    for s in ("jane(at)mail.com", "jane (at) mail dot com", "jane [at] mail[dot]com", "jane at mail dot com", "jane  at  mail . com", "jane @ mail.com", "j.d at my-mail (dot) example (dot) org"):
+        assert pii.valid(0, s) and pii.stretches(f"{prose(1, 40)} {s} {prose(2, 40)}"), s
+    assert not pii.stretches(prose(1, 40) + " stays at home with them")
+
+
+def test_tagger_finds_written_addresses_without_digits():
+    texts = [personal(k * 10).replace("kate.", "kate.x").replace("mail", "post") for k in range(120)]
+    texts = [re.sub(r"kate\.x[0-9]+@post[0-9]", f"{WORDS[k % 12]}.{WORDS[k % 7]}@{WORDS[k % 5]}", t) for k, t in enumerate(texts)]
+    model = pii.Tagger().fit(*pii.training_windows(texts, 2400))
+    hidden = [f"{prose(k, 40)} {WORDS[k % 11]}.{WORDS[k % 9]}(at){WORDS[k % 5]}.example.com {prose(k + 1, 40)}" for k in range(40)]
+    assert sum(any(kind == 0 for kind, _, _ in s) for _, s in pii.all_spans(model, hidden)) >= 20

@@ -2,8 +2,8 @@
 
 The patterns give the base spans, which always stay. The tagger is trained in numpy from labelled spans: the base spans
 of a bounded sample of documents, as they are and in rewritten forms that the patterns miss (spelled separators, missing
-plus signs, dotted cards), among ordinary text, hex strings and numbers. A tagged span has to hold a digit or an @, so
-only windows with such a character can give one; all of those are scored. Windows overlap by half; the scores of a
+plus signs, dotted cards), among ordinary text, hex strings and numbers. A tagged span has to hold a digit, an @ or a
+written at (" at ", "(at)", "[at]") before a domain, so only windows with such a mark can give one; all of those are scored. Windows overlap by half; the scores of a
 character are averaged over its windows, by distance from their edges, and the whole stretch that the windows cover is
 then decoded at once by Viterbi, so that no window's edge decides a span. A tagged span is added if it passes the checks
 of its kind (Luhn, parts up to 255, numbers of digits) and touches no base span.
@@ -31,7 +31,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+SIGN = re.compile(r"[0-9@]")
+#: What every span that valid() accepts holds: a digit, an @, or a written at between a local part and a domain of two parts.
+TRIGGER = re.compile(r"[0-9@]|(?<=[A-Za-z0-9._%+-]) ?(?:\(at\)|\[at\]| at )(?= ?[A-Za-z0-9-]+ ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-])")
 
 
 def luhn(digits: str) -> bool:
@@ -259,8 +261,8 @@ def training_windows(texts: list[str], most: int, seed: int = 3) -> tuple[np.nda
         at = int(r.integers(0, len(t) - WINDOW))
         cut = int(r.integers(4, 40))
         left, right = t[at : at + cut], t[at + cut : at + WINDOW]
-        if any(TRIGGER.search(s) for s in (left, right)):
-            left, right = TRIGGER.sub("e", left), TRIGGER.sub("n", right)
+        if any(SIGN.search(s) for s in (left, right)):
+            left, right = SIGN.sub("e", left), SIGN.sub("n", right)
         if n % 6 == 5:
             s, kind = "", -1
         elif own:
@@ -286,7 +288,7 @@ EDGE = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.fl
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """(first window, end) of the runs of neighbouring windows with a digit or @; window g starts at g x STRIDE."""
+    """(first window, end) of the runs of neighbouring windows with a mark of TRIGGER; window g starts at g x STRIDE."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         p = m.start()
