@@ -139,24 +139,54 @@ def test_components_of_a_path(spark):
     assert {r.root for r in got} == {0} and len(got) == 200
 
 
-def test_mixing(spark):
-    rows = docs(spark, [prose(i, 5) for i in range(900)]).drop("block")
-    out = mixing.mix(rows, {"s0": 0.5, "s1": 0.3, "s2": 0.15, None: 0.05}, block_rows=4, period=100, bucket_rows=64).toPandas()
-    assert len(out) == 900 and out.doc_id.nunique() == 900
+def check_schedule(out, share, block_rows):
     assert ((out.slot >= out.release) & (out.slot < out.deadline)).all()
-    assert not out.duplicated(["slot", "place"]).any()
-    ends = out.groupby(out.source.fillna("null")).slot.max()
-    share = {"s0": 0.5, "s1": 0.3, "s2": 0.15, "null": 0.05}
+    assert not out.duplicated(["slot", "place"]).any() and out.place.max() < block_rows
+    name = out.source.fillna("null")
+    ends = out.groupby(name).slot.max()
     for t in range(1, int(ends.min())):
-        done = out[out.slot < t].groupby(out.source.fillna("null")).slot.nunique()
-        assert all(abs(done.get(s, 0) - w * t) < 1 for s, w in share.items())
+        done = out[out.slot < t].groupby(name[out.slot < t]).slot.nunique()
+        assert all(abs(done.get(s, 0) - w * t) < 1 + 1e-9 for s, w in share.items())
 
 
-def test_schedule_of_one_period():
-    slots = mixing.quantised({"a": 3, "b": 1, "c": 0.001}, 50)
-    assert sum(slots.values()) == 50 and slots["c"] == 1
-    plan = mixing.one_period(slots)
-    assert [p[2] for p in plan] == list(range(50)) and all(r <= t < d for _, _, t, r, d in plan)
+def test_mixing(spark):
+    rows = docs(spark, [prose(i, 5) for i in range(900)])
+    share = {"s0": 0.5, "s1": 0.3, "s2": 0.15, "null": 0.05}
+    out = mixing.mix(rows, {k if k != "null" else None: w for k, w in share.items()}, block_rows=4, frame=16, bucket_rows=64).toPandas()
+    assert len(out) == 900 and out.doc_id.nunique() == 900 and list(out.columns).count("block") == 1
+    check_schedule(out, share, 4)
+
+
+@pytest.mark.parametrize("weights", [[1, 1, 1], [10, 37**0.5, 5**0.5], [1e4, 1, 1], [1, 2]])
+def test_every_prefix_of_the_schedule_is_fair(weights):
+    w, most = mixing.shares(dict(enumerate(weights)), list(range(len(weights)))), 0
+    for frame in (0, 1, 2, 977, 10**6):  # to slot 10^9
+        had = mixing.had(w, frame * 1024)
+        for n, (k, i, t, release, due) in enumerate(mixing.one_frame(w, frame * 1024, 1024)):
+            assert t == frame * 1024 + n and release <= t < due and i == had[k]
+            had[k] += 1
+            most = max(most, *(abs(had[j] - w[j] * (t + 1)) for j in range(len(w))))
+        assert had == mixing.had(w, (frame + 1) * 1024)
+    assert most < 1
+
+
+def test_mixing_refuses_bad_weights_and_too_many_sources(spark):
+    for w in (0, -1, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.shares({"a": 1, "b": w}, ["a", "b"])
+    with pytest.raises(ValueError):
+        mixing.mix(docs(spark, ["x"] * 9), most_sources=2)
+
+
+def test_mixing_of_odd_rows(spark):
+    assert mixing.mix(docs(spark, [])).collect() == []
+    texts, ids = [*EDGE, *["same text"] * 70], [*[None] * 5, *range(5, len(EDGE)), *[7] * 60, *[None] * 10]
+    out = mixing.mix(docs(spark, texts, ids), {"s0": 1, "s1": 1, "s2": 1, None: 1, "absent": 3}, block_rows=4, bucket_rows=8).toPandas()
+    assert len(out) == len(texts) and out.text.isna().sum() == 1 and (out.text == "same text").sum() == 70
+    check_schedule(out, {"s0": 0.25, "s1": 0.25, "s2": 0.25, "null": 0.25}, 4)
+    again = mixing.mix(docs(spark, texts, ids), {"s0": 1, "s1": 1, "s2": 1, None: 1, "absent": 3}, block_rows=4, bucket_rows=8).repartition(3).toPandas()
+    key = ["doc_id", "text", "source", "slot", "place"]
+    assert sorted(map(str, out[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
 
 
 def test_base_spans():
@@ -211,32 +241,80 @@ def test_gradients_of_the_tagger():
 PAGE = "<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><nav><a>menu</a></nav><div class='cookie-notice'>we use cookies</div><article><h1>Head</h1><p>One &amp; two<br>three<p>Four  five</p><aside>side</aside></article><div id=comments><p>nice</p></div><footer>foot</footer>"
 
 
-def test_html_structure():
-    assert htmltext.main_texts([PAGE])[0] == "Head\nOne & two three\nFour five"
-    assert htmltext.main_texts(["", "<p>", "plain &am text"]) == ["", "", "plain &am text"]
-
-
-def test_html_repeated_runs(spark):
-    frame = "this text stands on every page of the host and says nothing at all"
-    pages = [f"<div>{frame}</div><div>{prose(i, 30)}</div>" for i in range(6)]
-    assert htmltext.main_texts(pages) == [prose(i, 30) for i in range(6)]
-    rows = [(i, "http://h.example/x", p, 1) for i, p in enumerate(pages)] + [(9, None, None, 1)]
-    got = {r.page_id: r.main_text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, main_text int"), ["page_id"]).collect()}
-    assert got == {**{i: prose(i, 30) for i in range(6)}, 9: ""}
-
-
-def test_covered_equals_brute_force():
+def texts_of(spark, pages, **limits):
+    """pages: html, or (host, html)."""
+    rows = [(i, f"http://{p[0]}/x" if isinstance(p, tuple) else "http://h.example/x", p[1] if isinstance(p, tuple) else p, "x", "y") for i, p in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, main_text string, _host string").repartition(3)
+    got = {r.page_id: r.main_text for r in htmltext.extract(frame, ["page_id"], **limits).collect()}
+    return [got[i] for i in range(len(pages))]
+
+
+def test_html_structure(spark):
+    head = "<article><header class='entry-header'><h1>Head</h1></header><p>Text</p><footer>by us</footer></article><header>Site</header>"
+    plain = '<body class="single no-sidebar widget"><article class="post popular-science"><p>The story.</p></article>'
+    marked = '<main><div class="cookie-notice">c</div><div class="ad">a</div><div class="post-comments">n</div><p class="popular-science">Text</p></main>'
+    replies = '<main><p>Text</p></main><article class="comment">nice</article>'
+    assert texts_of(spark, [PAGE, "", None, "<p>", "plain &am text", head, plain, marked, replies]) == ["Head\nOne & two three\nFour five", "", "", "", "plain &am text", "Head\nText", "The story.", "Text", "Text"]
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string"), ["page_id"]).collect() == []
+
+
+FRAME = "this text stands on every page of the host and says nothing at all"
+
+
+@pytest.mark.parametrize("limits", [{}, {"most_broadcast": 0}, {"most_words": 1}])
+def test_html_repeated_runs(spark, limits):
+    plain = [f"<div>{FRAME}</div><div>{prose(i, 30)}</div>" for i in range(6)]
+    assert texts_of(spark, plain, **limits) == [prose(i, 30) for i in range(6)]
+    # the host's adverts go inside articles too, as whole blocks or as runs of one; copied articles and passages stay
+    passage = prose(77, 40)
+    own = [f"<p>{prose(50 + i, 30)}</p><p>{FRAME}</p><p>before {FRAME} after</p><p>{passage}</p>" for i in range(6)] * 2
+    pages = [f"<div>{FRAME}</div><article>{x}</article><div>{i}</div>" for i, x in enumerate(own)]
+    assert texts_of(spark, pages, **limits) == [f"{prose(50 + i, 30)}\nbefore after\n{passage}" for i in range(6)] * 2
+    # one page, or equal pages, or pages of other hosts are no evidence; a page that others hold wholly stays
+    assert texts_of(spark, [pages[0]] * 3 + [("other.example", plain[0])], **limits) == [f"{prose(50, 30)}\n{FRAME}\nbefore {FRAME} after\n{passage}"] * 3 + [f"{FRAME}\n{prose(0, 30)}"]
+    copies = [f"<p>{prose(9, 60)}</p><i>{i}</i>" for i in range(4)]
+    assert texts_of(spark, copies, **limits) == [f"{prose(9, 60)}\n{i}" for i in range(4)]
+
+
+def longest_repeats(streams, own):
+    """By a full suffix array with its LCPs: for each place, how many words from there on a stream of another page has too."""
+    suffixes = sorted((s[i:], own[k], k, i) for k, s in enumerate(streams) for i in range(len(s)))
+    lcp = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    out = [[0] * len(s) for s in streams]
+    for step in (1, -1):
+        order = suffixes[::step]
+        for n, (s, page, k, i) in enumerate(order):
+            for other, whose, _, _ in order[n + 1 :]:
+                if whose != page:
+                    out[k][i] = max(out[k][i], lcp(s, other))
+                    break
+    return out
+
+
+def test_runs_of_a_large_host_equal_a_full_suffix_array(spark):
+    """1,000 pages of one host in three batches or more, and the words that a full suffix array with LCPs covers."""
+    r = random.Random(8)
+    runs = [" ".join(r.choice(WORDS) for _ in range(r.randrange(5, 14))) for _ in range(25)]
+    bodies = [" ".join(f"w{n}x{k}" if r.random() < 0.8 else r.choice(runs) for k in range(25)) for n in range(1000)]
+    streams = [b.split() for b in bodies]
+    got = texts_of(spark, [f"<div>{b}</div>" for b in bodies])
+    reach = longest_repeats(streams, range(1000))
+    for s, lcp, text in zip(streams, reach, got, strict=True):
+        hit = [any(lcp[j] >= 8 and j + lcp[j] > i for j in range(i + 1)) for i in range(len(s))]
+        assert text == " ".join(w for w, x in zip(s, hit, strict=True) if not x)
+
+
+def test_suffix_ranks_equal_brute_force():
     r = np.random.default_rng(1)
-    streams = [r.integers(0, 3, int(n)) for n in r.integers(0, 60, 8)]
-    got = htmltext.covered(streams, np.arange(8), 5)
-    grams = lambda s: {tuple(s[i : i + 5]) for i in range(len(s) - 4)}
-    for k, s in enumerate(streams):
-        others = set().union(*(grams(x) for j, x in enumerate(streams) if j != k))
-        want = np.zeros(len(s), bool)
-        for i in range(len(s) - 4):
-            if tuple(s[i : i + 5]) in others:
-                want[i : i + 5] = True
-        assert (got[k][: len(s)] == want).all()
+    streams = [r.integers(0, 3, int(n)).astype(np.uint64) for n in r.integers(0, 60, 8)]
+    own = np.array([0, 1, 2, 3, 3, 4, 5, 6])
+    s, place, page, twice = htmltext.repeats(streams, own, 5)
+    want = {}
+    for k, x in enumerate(streams):
+        for i in range(len(x) - 4):
+            want.setdefault(tuple(x[i : i + 5]), set()).add(own[k])
+    got = {tuple(streams[a][b : b + 5]): (c, d) for a, b, c, d in zip(s, place, page, twice, strict=True)}
+    assert got == {g: (min(v), len(v) > 1) for g, v in want.items()}
 
 
 def test_sketches(spark):

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
+import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ LOWER_AZ = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrst
 #: Lower-cases A-Z and turns every other ASCII byte that is no digit or letter into a space; bytes of non-ASCII letters stay.
 WORDS_AZ = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-#: Hadoop path strings that staged() wrote in this process.
+#: Sessions and the Hadoop path strings that staged() wrote for them in this process.
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -21,13 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the cluster names none is a local one set, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir, or the one that was set on the context.
+
+    A folder of this machine is taken only under a local master, where driver and executors are one process.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
-        named = "file:///tmp/waymill-checkpoints"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder: set it to one that all executors share")
+        named = f"file://{tempfile.gettempdir()}/waymill-checkpoints"
         spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -41,23 +50,34 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended before; the cluster clears its checkpoint folder
-            return
+def drop_staged(spark: SparkSession | None = None) -> None:
+    """Deletes what staged() wrote for a session (or all): once a query's result is written, and when the process ends.
+
+    Works after the session has been stopped too, with the configuration that the JVM finds by itself.
+    """
+    jvm = SparkContext._jvm
+    for own, path in [x for x in _written if spark is None or x[0] is spark]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        live = own.sparkContext._jsc
+        p.getFileSystem(live.hadoopConfiguration() if live else jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+        _written.remove((own, path))
 
 
-atexit.register(_clean)
+@atexit.register
+def _clean() -> None:
+    with contextlib.suppress(Exception):  # the JVM has ended before; the cluster clears its checkpoint folder
+        drop_staged()
+
 
+def short_batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
+    """For applications (registered queries, the pipeline): texts go to Python in batches of so many rows and bytes at most.
 
-def short_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Whole texts go to Python in batches of so many rows at most, which bounds a worker's memory however long a partition is."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, rows)
+    It bounds a worker's memory however long the texts of a partition are. Operators leave the session's settings alone.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        had = int(spark.conf.get(name).removesuffix("b"))
+        if had <= 0 or had > most:
+            spark.conf.set(name, most)
 
 
 def with_columns_free(df: DataFrame, *names: str) -> DataFrame:

@@ -1,97 +1,139 @@
 """Mixing of sources to target weights by Pfair scheduling.
 
-The rows of a source are dealt, in a hashed order, into blocks of ``block_rows``. A source of weight w releases its block
-i (from 0) at slot floor(i / w) and has it due by slot ceil((i + 1) / w); each slot runs the released block with the
-earliest deadline. Weights are multiples of 1 / period that add up to 1, so the schedule repeats after ``period`` slots:
-one period is worked out on the driver (its length is a parameter, no data), and a block's slot is the number of its
-period times the period plus its slot within it. At every slot each source has had its share to less than one block.
+The rows of a source are dealt, in a hashed order, into blocks of ``block_rows``. A source of weight w (its share, an exact
+fraction) releases its block i (from 0) at slot floor(i / w) and has it due by slot ceil((i + 1) / w); each slot runs the
+released block with the earliest deadline, so at every slot each source has had its share to less than one block.
+
+Slots come in frames of ``frame`` slots. Before slot T the sources have had floor(C T) - floor(C' T) blocks, where C and C'
+are the sums of the weights up to and before a source: each to less than one block its share, together T. The blocks of a
+frame, with releases and deadlines cut at the frame's ends, never ask for more slots of a stretch than it has, so earliest
+deadline first schedules every frame on its own: frames are a table, worked out by Spark's tasks, and no weight is rounded.
 A source that has run out leaves its slots empty, so that the others keep their proportions; no row is dropped or repeated.
 
-Defined results: null sources are one source with the name null; ties in the hashed order fall by id and text hash;
-repeated rows keep their own places; an empty table gives an empty result; other columns pass through.
+Defined results: null sources are one source; ties in the hashed order fall by id and text hash; rows without an id are
+dealt by their other columns; repeated rows keep their own places; an empty table gives an empty result; columns with the
+names of the new ones are replaced, others pass through. Weights must be positive and finite (sources may be named that the
+table lacks), a source without one gets the mean weight, and more than ``most_sources`` sources are refused: they are a
+table of the driver.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymill.llm.common import staged, with_columns_free
-
-
-def quantised(weights: dict, period: int) -> dict:
-    """Weights as whole numbers of slots, one at least, that add up to the period (largest remainders)."""
-    total = sum(weights.values())
-    exact = {k: Fraction(w).limit_denominator(10**9) * period / Fraction(total).limit_denominator(10**9) for k, w in weights.items()}
-    slots = {k: max(1, int(x)) for k, x in exact.items()}
-    order = sorted(exact, key=lambda k: (exact[k] - int(exact[k]), str(k)), reverse=True)
-    i = 0
-    while (short := period - sum(slots.values())) != 0:
-        k = order[i % len(order)] if short > 0 else max(slots, key=lambda k: (slots[k] - exact[k], slots[k], str(k)))
-        if short > 0 or slots[k] > 1:
-            slots[k] += 1 if short > 0 else -1
-        i += 1
-    return slots
-
-
-def one_period(slots: dict) -> list[tuple]:
-    """(source, block within the period, slot, release, deadline) of a period under earliest deadline first."""
-    period = sum(slots.values())
-    names = sorted(slots, key=lambda k: (k is None, str(k)))
-    release = lambda k, i: i * period // slots[k]
-    due = lambda k, i: -(-(i + 1) * period // slots[k])
-    later = [(0, rank, 0) for rank in range(len(names))]  # by release
+from waymill.llm.common import shuffle_parts, staged, with_columns_free
+
+NEW = ("block", "slot", "release", "deadline", "place")
+
+
+def shares(weights: dict, sources: list) -> list[Fraction]:
+    """The exact share of each source; they add up to 1."""
+    if bad := [k for k, w in weights.items() if not (math.isfinite(w) and w > 0)]:
+        raise ValueError(f"weights must be positive and finite: {bad}")
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    mean = sum(exact.values()) / len(exact)
+    own = [exact.get(k, mean) for k in sources]
+    return [w / sum(own) for w in own]
+
+
+def floor_div(a: int, w: Fraction) -> int:
+    return a * w.denominator // w.numerator
+
+
+def had(w: list[Fraction], t: int) -> list[int]:
+    """Blocks of each source before slot t, a multiple of the frame."""
+    upto, out, before = Fraction(0), [], 0
+    for x in w:
+        upto += x
+        now = upto.numerator * t // upto.denominator
+        out.append(now - before)
+        before = now
+    return out
+
+
+def one_frame(w: list[Fraction], start: int, frame: int) -> list[tuple[int, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of the slots from start on, by earliest deadline first; ties by source."""
+    first, last = had(w, start), had(w, start + frame)
+    release = lambda k, i: floor_div(i, w[k])
+    due = lambda k, i: -floor_div(-(i + 1), w[k])
+    later = [(max(start, release(k, first[k])), k, first[k]) for k in range(len(w)) if first[k] < last[k]]
     heapq.heapify(later)
     ready: list = []
     out = []
-    for t in range(period):
+    for t in range(start, start + frame):
         while later and later[0][0] <= t:
-            _, rank, i = heapq.heappop(later)
-            heapq.heappush(ready, (due(names[rank], i), rank, i))
-        deadline, rank, i = heapq.heappop(ready)
-        out.append((names[rank], i, t, release(names[rank], i), deadline))
-        if i + 1 < slots[names[rank]]:
-            heapq.heappush(later, (max(t + 1, release(names[rank], i + 1)), rank, i + 1))
+            _, k, i = heapq.heappop(later)
+            heapq.heappush(ready, (min(due(k, i), start + frame), k, i))
+        _, k, i = heapq.heappop(ready)
+        out.append((k, i, t, release(k, i), due(k, i)))
+        if i + 1 < last[k]:
+            heapq.heappush(later, (max(t + 1, release(k, i + 1)), k, i + 1))
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", tie_col: str = "text", block_rows: int = 16, period: int = 1000, seed: int = 1, bucket_rows: int = 512, power: float = 0.5) -> DataFrame:
+def _frames(shared, frame: int):
+    """The slots of the frames that come, of blocks that there are."""
+
+    def run(batches):
+        w, blocks = shared.value
+        for b in batches:
+            for n in b.column(0).to_pylist():
+                rows = [r for r in one_frame(w, n * frame, frame) if r[1] < blocks[r[0]]]
+                yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["_k", "block", "slot", "release", "deadline"])
+
+    return run
+
+
+def running(counts: DataFrame, coarse: int) -> DataFrame:
+    """_start: the rows of a source in the buckets before; in two steps, so that no window holds all buckets of a source."""
+    before = lambda part, by: Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_c", F.floor(F.col("_b") / coarse))
+    wide = counts.groupBy("_s", "_c").agg(F.sum("_n").alias("_m"))
+    wide = wide.withColumn("_m", F.coalesce(F.sum("_m").over(before(["_s"], "_c")), F.lit(0)))
+    own = F.coalesce(F.sum("_n").over(before(["_s", "_c"], "_b")), F.lit(0))
+    return counts.withColumn("_own", own).join(wide, ["_s", "_c"]).select("_s", "_b", "_n", (F.col("_own") + F.col("_m")).alias("_start"))
+
+
+def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", tie_col: str = "text", block_rows: int = 16, frame: int = 1024, seed: int = 1, bucket_rows: int = 512, power: float = 0.5, most_sources: int = 20_000) -> DataFrame:
     """docs with block, slot, release, deadline (in slots) and place (within the block).
 
-    weights: by source; a source without one gets none of the driver's choice but the mean weight. Without any, the
-    weights are the sources' sizes to the given power.
+    weights: by source. Without any, the weights are the sources' sizes to the given power.
     """
     spark = docs.sparkSession
-    docs = with_columns_free(docs, "block", "slot", "release", "deadline", "place", "_h", "_b", "_n", "_src", "_k", "_cycle")
-    sizes = {r[0]: r[1] for r in docs.groupBy(F.col(source_col)).count().collect()}  # one row a source
+    docs = with_columns_free(docs, *NEW, "_h", "_b", "_n", "_s", "_k", "_parts", "_start", "_plan", "_at")
+    sizes = docs.groupBy(F.col(source_col).alias("s")).count().limit(most_sources + 1).collect()  # one row a source
+    if len(sizes) > most_sources:
+        raise ValueError(f"over {most_sources} sources: mix by a coarser column")
     if not sizes:
-        empty = F.lit(None).cast("long")
-        return docs.withColumns({"block": empty, "slot": empty, "release": empty, "deadline": empty, "place": empty})
-    weights = weights or {k: n**power for k, n in sizes.items()}
-    mean = sum(weights.values()) / len(weights)
-    slots = quantised({k: weights.get(k, mean) for k in sizes}, max(period, 4 * len(sizes)))
-    period = sum(slots.values())
-    src = F.col(source_col)
-    named = docs.withColumns({"_src": F.coalesce(src.cast("string"), F.lit("\0null")), "_h": F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))})
-    buckets = spark.createDataFrame([("\0null" if k is None else str(k), max(1, -(-n // bucket_rows)), slots[k]) for k, n in sizes.items()], "_src string, _parts int, _share int")
-    # the broadcast (one row a source, made on the driver) leaves the rows where they are, so that windows are dealt by source and bucket, never by source alone
-    # place in the source: rows before its hash bucket, and the place in the bucket; a large source has many buckets
+        return docs.withColumns({c: F.lit(None).cast("long") for c in NEW})
+    sizes = sorted(((r[0], r[1]) for r in sizes), key=lambda r: (r[0] is None, str(r[0])))
+    w = shares(weights or {k: n**power for k, n in sizes}, [k for k, _ in sizes])
+    frame = max(frame, 4 * len(w))
+    blocks = [-(-n // block_rows) for _, n in sizes]
+    slots = max(-floor_div(-b, x) for b, x in zip(blocks, w, strict=True))
+    simple = [c for c, kind in docs.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
+    # without an id, equal hashes are left to rows that are equal in all plain columns
+    hashed = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), *simple)).otherwise(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)))
+    known = spark.createDataFrame([(k, i, max(1, -(-n // bucket_rows))) for i, (k, n) in enumerate(sizes)], docs.select(F.col(source_col).alias("_src")).schema.add("_s", "integer").add("_parts", "long"))
+    # the broadcast (one row a source, most_sources at most) leaves the rows where they are: windows are dealt by source and bucket, never by source alone
     span = F.shiftrightunsigned("_h", 33).cast("double") / F.lit(float(1 << 31))
-    held = named.join(F.broadcast(buckets), "_src").withColumn("_b", F.floor(span * F.col("_parts")).cast("int"))
-    before = Window.partitionBy("_src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = staged(held.groupBy("_src", "_b").agg(F.count("*").alias("_n")), "mixcounts")
-    starts = counts.withColumn("_n", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    within = Window.partitionBy("_src", "_b").orderBy("_h", F.col(id_col), F.xxhash64(F.col(tie_col)))
-    ranked = held.withColumn("_k", F.row_number().over(within) - 1).join(starts, ["_src", "_b"]).withColumn("_k", F.col("_k") + F.col("_n"))
-    blocks = ranked.withColumns({"block": F.floor(F.col("_k") / block_rows), "place": F.pmod("_k", F.lit(block_rows)).cast("long")})
-    blocks = blocks.withColumns({"_cycle": F.floor(F.col("block") / F.col("_share")), "_i": F.pmod("block", F.col("_share").cast("long"))})
-    plan = spark.createDataFrame([("\0null" if k is None else str(k), i, t, r, d) for k, i, t, r, d in one_period(slots)], "_src string, _i long, _t long, _r long, _d long")
-    at = lambda c: F.col("_cycle") * period + F.col(c)
-    out = blocks.join(F.broadcast(plan), ["_src", "_i"])  # one row a slot of the period
-    return out.select(*docs.columns, "block", at("_t").alias("slot"), at("_r").alias("release"), at("_d").alias("deadline"), "place")
+    held = docs.withColumn("_h", hashed).join(F.broadcast(known), F.col(source_col).eqNullSafe(F.col("_src"))).drop("_src").withColumn("_b", F.floor(span * F.col("_parts")))
+    starts = running(staged(held.groupBy("_s", "_b").agg(F.count("*").alias("_n")), "mixcounts"), 1024)
+    frames = spark.range(-(-slots // frame), numPartitions=max(1, min(4 * shuffle_parts(spark), -(-slots // frame))))
+    plan = frames.mapInArrow(_frames(spark.sparkContext.broadcast((w, blocks)), frame), "_k long, block long, slot long, release long, deadline long")
+    # the blocks that a bucket reaches into, in order: a few for each bucket
+    reach = starts.withColumn("block", F.explode(F.sequence(F.floor(F.col("_start") / block_rows), F.floor((F.col("_start") + F.col("_n") - 1) / block_rows))))
+    planned = reach.join(plan.withColumnRenamed("_k", "_s"), ["_s", "block"]).groupBy("_s", "_b").agg(F.first("_start").alias("_start"), F.array_sort(F.collect_list(F.struct("block", "slot", "release", "deadline"))).alias("_plan"))
+    within = Window.partitionBy("_s", "_b").orderBy("_h", F.col(id_col), F.xxhash64(F.col(tie_col)))
+    ranked = held.withColumn("_k", F.row_number().over(within) - 1).join(planned, ["_s", "_b"]).withColumn("_k", F.col("_k") + F.col("_start"))
+    own = F.get("_plan", (F.floor(F.col("_k") / block_rows) - F.floor(F.col("_start") / block_rows)).cast("int"))
+    return ranked.withColumn("_at", own).select(*docs.columns, *[F.col(f"_at.{c}").alias(c) for c in NEW[:4]], F.pmod("_k", F.lit(block_rows)).cast("long").alias("place"))
 
 
 def query(docs: DataFrame) -> DataFrame:

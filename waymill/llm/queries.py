@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from waymill.llm import decontam, fingerprint, htmltext, langid, linededup, mixing, pii, simhash, toxicity, urlfilter
-from waymill.llm.common import table
+from waymill.llm.common import short_batches, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_pii, op3_decontamination, op4_html, op5_fingerprints, op6_language_id, op7_url_filter, op8_line_dedup, op9_toxicity, op10_simhash, pipeline)}
+def bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        short_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: bounded(f) for f in (op1_mixing, op2_pii, op3_decontamination, op4_html, op5_fingerprints, op6_language_id, op7_url_filter, op8_line_dedup, op9_toxicity, op10_simhash, pipeline)}
 
 SQL: dict[str, str] = {"op3_decontamination": decontam.SQL, "op8_line_dedup": linededup.SQL}
