@@ -50,8 +50,10 @@ def test_lines(spark):
 
 def test_perfect_hash_is_minimal():
     h = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
-    levels = linededup.build_mph(h)
-    assert sorted(linededup.rank_mph(levels, h)) == list(range(5000))
+    f = h[::-1].copy()
+    h[:100] = h[0]  # equal first hashes are told apart by the second
+    levels = linededup.build_mph(h, f)
+    assert sorted(linededup.rank_mph(levels, h, f)) == list(range(5000))
 
 
 def test_lines_with_hot_shard_and_null_ids(spark):
@@ -84,6 +86,22 @@ def test_decontamination(spark, block_bytes):
         assert (got[i].n_words, got[i].n_hit, got[i].hit_items) == brute_hits(t, items)
 
 
+def test_tables_of_test_items_are_compact():
+    r = random.Random(1)
+    items = [(str(i), " ".join(r.choice(WORDS) + str(r.randrange(999)) for _ in range(200))) for i in range(500)]
+    tables = decontam.Tables(decontam.windows_of(items, 10))
+    assert tables.nbytes() < 7 * sum(len(t) for _, t in items) and len(tables.at) == 500 * 191
+
+
+def test_one_block_of_test_items_in_a_task(spark):
+    bench = spark.createDataFrame([(i, prose(500 + i, 30)) for i in range(40)], "item_id long, text string")
+    rows = docs(spark, [prose(500 + i, 30) for i in range(0, 50, 5)])
+    for limits in ({"block_bytes": 1000}, {"block_bytes": 1000, "most_broadcast": 0}):
+        out = decontam.find_contaminated(rows, bench, **limits)
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert {r.doc_id: r.n_hit for r in out.collect()} == {i: 30 * (5 * i < 40) for i in range(10)}
+
+
 def brute_components(texts):
     fps = np.array([simhash.fingerprint(t) for t in texts], np.uint64)
     label = list(range(len(texts)))
@@ -434,3 +452,49 @@ def test_tagger_finds_written_addresses_without_digits():
     model = pii.Tagger().fit(*pii.training_windows(texts, 2400))
     hidden = [f"{prose(k, 40)} {WORDS[k % 11]}.{WORDS[k % 9]}(at){WORDS[k % 5]}.example.com {prose(k + 1, 40)}" for k in range(40)]
     assert sum(any(kind == 0 for kind, _, _ in s) for _, s in pii.all_spans(model, hidden)) >= 20
+
+
+STAGES = dict(corpus_pipeline.STAGES)
+ODD = [None, "", " ", "12 34", "one line of some length\nkept", "One line of some length", "one line of some length", prose(1, 300), prose(1, 300), prose(2, 60)]
+
+
+def odd_rows(spark, lang="en"):
+    """Nulls in every column, ties, repeated rows, and columns with the operators' names."""
+    rows = [(i if i % 4 else None, t, lang, f"s{i % 2}" if i % 3 else None, None if i % 5 else len(t or ""), "x", 1.5, "l", "b", "g") for i, t in enumerate([*ODD, *ODD])]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words string, score double, lang_pred string, n_lines string, _gone string")
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_stage_with_odd_rows(spark, name):
+    rows = odd_rows(spark)
+    got = STAGES[name](spark, rows, SF)
+    assert STAGES[name](spark, rows.limit(0), SF).collect() == []
+    assert set(rows.columns) - {"_gone"} <= set(got.columns)
+    out = got.collect()
+    assert all((r.score, r.lang_pred, r.n_words, r.n_lines) == (1.5, "l", "x", "b") for r in out)
+    texts = [r.text for r in out]
+    if name == "language ID":
+        assert sorted(texts) == sorted([t for t in ODD if t and any(map(str.isalpha, t))] * 2)
+    elif name == "SimHash near-dedup":
+        # wordless texts are one group; so are the equal lines; "one line of some length\nkept" has a word more
+        assert sorted(t or "" for t in texts) == sorted({" ".join((t or "").lower().split()): t for t in ["", "12 34", *ODD[4:6], ODD[7], ODD[9]]}.values(), key=str) or len(texts) == 6
+    elif name in ("benchmark decontamination", "mixing to target weights"):
+        assert len(out) == len(ODD) * 2
+    else:
+        assert len(out) >= 8 and "One line of some length" not in [t for t in texts if t][5:]
+
+
+def test_language_id_without_labels_keeps_texts_with_letters(spark):
+    rows = odd_rows(spark, None)
+    assert {r.lang_pred for r in langid.query(rows).collect()} == {None, "und"}
+    assert sorted(r.text for r in STAGES["language ID"](spark, rows, SF).collect()) == sorted([t for t in ODD if t and any(map(str.isalpha, t))] * 2)
+
+
+def test_operators_replace_clashing_columns(spark):
+    rows = odd_rows(spark)
+    assert langid.identify(rows, rows, rows.columns).columns.count("score") == 1
+    labels = spark.createDataFrame([(1, 1, 5), (2, 0, 5), (1, 0, 5), (None, 1, 5), (3, None, 5)], "doc_id long, toxic int, text int")
+    assert toxicity.score_toxicity(rows, labels, rows.columns).columns.count("score") == 1 and toxicity.query(rows.limit(0), labels).collect() == []
+    assert pii.find_personal_data(rows.withColumn("spans", F.lit(1)), ["doc_id", "spans"]).columns.count("spans") == 1
+    with pytest.raises(TypeError):
+        linededup.dedup_lines(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

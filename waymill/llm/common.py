@@ -86,6 +86,32 @@ def with_columns_free(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in gone])
 
 
+def whole_numbers(df: DataFrame, col: str) -> None:
+    if (kind := dict(df.dtypes)[col]) not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{col} must hold whole numbers, not {kind}")
+
+
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with underscores before it until no column of df is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return tuple(out)
+
+
+def held(cols: list[str], df: DataFrame) -> list[str]:
+    """Those of the columns that df has."""
+    return [c for c in cols if c in df.columns]
+
+
+def without(keep: list[str], *names: str) -> list[str]:
+    """The columns to keep that do not clash (in any case) with those that an operator adds."""
+    gone = {n.lower() for n in names}
+    return [c for c in keep if c.lower() not in gone]
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

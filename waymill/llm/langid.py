@@ -7,8 +7,9 @@ them in closed form. A batch of documents is scored by three matrix products: pr
 
 The model is fitted on at most ``per_lang`` labelled texts of each language, the rows with the smallest hash of their id;
 every document is scored from its whole text. Defined results: null texts and texts without a letter are ``und`` with
-score 0; null languages teach nothing; without any labelled text all are ``und``; ties go to the first language by name;
-repeated rows and further columns pass through.
+score 0; null languages teach nothing; without any labelled text the language of a text with a letter is null (score 0);
+ties go to the first language by name; repeated rows pass, and further columns but those with the names of the new ones;
+an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import with_columns_free
+from waymill.llm.common import with_columns_free, without
 
 LETTERS = 64
 GRAMS = LETTERS + LETTERS**2 + LETTERS**3
@@ -103,14 +104,18 @@ def fit(texts: list[str], langs: list[str], landmarks_a_lang: int = 24, vocab: i
     return m
 
 
-def _predict(model, batch: int):
+def _predict(model, batch: int, names: tuple[str, str]):
     def run(batches):
         m = model.value
         for b in batches:
             at = b.schema.names.index("_text")
             texts = b.column(at).to_pylist()
+            rows = [i for i, t in enumerate(texts) if has_letter(t)]
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            rows = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
+            if m is None:
+                for i in rows:
+                    lang[i] = None
+                rows = []
             for k in range(0, len(rows), batch):
                 own = rows[k : k + batch]
                 s = m.scores([texts[i] for i in own])
@@ -118,13 +123,13 @@ def _predict(model, batch: int):
                 for i, j, v in zip(own, best, s[np.arange(len(own)), best], strict=True):
                     lang[i], score[i] = m.langs[j], float(min(1, max(0, (v + 1) / 2)))
             keep = [i for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*(b.schema.names[i] for i in keep), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*(b.schema.names[i] for i in keep), *names])
 
     return run
 
 
-def identify(docs: DataFrame, labelled: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = 120, batch: int = 128) -> DataFrame:
-    """The columns to keep of docs, lang_pred and score; the model learns from text_col and lang_col of labelled."""
+def identify(docs: DataFrame, labelled: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = 120, batch: int = 128, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns to keep of docs, the language and its score under these names; the model learns from text_col and lang_col of labelled."""
     spark = docs.sparkSession
     own = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h")).filter("lang is not null and trim(text) <> ''")
     counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
@@ -136,9 +141,9 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: list[str], text_col: st
         taken = [r for name in sorted(counts) for r in [r for r in rows if r.lang == name and has_letter(r.text)][:per_lang]]
         if taken:
             model = fit([r.text for r in taken], [r.lang for r in taken])
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = src.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return src.mapInArrow(_predict(spark.sparkContext.broadcast(model), batch), schema)
+    src = docs.select(*without(keep, *names, "_text"), F.col(text_col).cast("string").alias("_text"))
+    schema = src.drop("_text").withColumns({names[0]: F.lit(None).cast("string"), names[1]: F.lit(0.0)}).schema
+    return src.mapInArrow(_predict(spark.sparkContext.broadcast(model), batch, names), schema)
 
 
 def held_out(id_col: str = "doc_id"):

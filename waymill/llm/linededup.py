@@ -1,16 +1,17 @@
 """Line deduplication by sharded minimal perfect hashes.
 
 Every document is cut at \\n. A line's key is the line stripped of ASCII white space and with A-Z lower-cased; keys
-shorter than ``min_chars`` code points never count as repeated. The distinct keys (64-bit hash and a second 32-bit
-fingerprint) are dealt to shards; each shard holds a minimal perfect hash over its key hashes and, in its order, compact
-arrays of fingerprints, document counts and owners (the smallest doc_id with the line). The lines of the documents, as
+shorter than ``min_chars`` code points never count as repeated. The distinct keys (two 64-bit hashes, 128 bits in all) are
+dealt to shards; each shard holds a minimal perfect hash over its keys and, in its order, compact arrays of fingerprints
+(the second hash), document counts and owners (the smallest doc_id with the line). The lines of the documents, as
 16 bytes of hash each and never as text, are dealt to the shard that holds their key and probe its arrays; a line goes
 when its owner is a smaller doc_id. Shards that a frequent line makes hot are probed by several tasks, each with a copy
 of the shard's arrays.
 
 Defined results: a null or empty text is one empty line and stays as it is; lines within the owner itself all stay; a
 null doc_id is later than every other, and documents without an id keep the lines that only they hold; repeated rows
-with one doc_id are one document; an empty table gives an empty result; other columns pass through.
+with one doc_id are one document; an empty table gives an empty result; columns with the names of the new ones are replaced,
+others pass through. Ids are whole numbers; a column of another type is refused.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymill.llm.common import LOWER_AZ, sha256_of, staged, with_columns_free
+from waymill.llm.common import LOWER_AZ, sha256_of, staged, whole_numbers, with_columns_free
 
 WHITE = b" \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
+NEW = ("kept_text", "n_lines", "n_dropped")
 
 
 def keys_of(text: str, min_chars: int) -> list[tuple[int, bytes]]:
@@ -51,12 +53,12 @@ def _hashed_lines(min_chars: int):
                     rows.append(row)
                     lines.append(i)
                     hashes.append(h - (h >> 63 << 64))
-                    f = xxhash.xxh32_intdigest(key, seed=11)
-                    prints.append(f - (f >> 31 << 32))
+                    f = xxhash.xxh64_intdigest(key, seed=11)
+                    prints.append(f - (f >> 63 << 64))
                     firsts.append(0 if (h, f) in seen else 1)
                     seen.add((h, f))
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(lines, pa.int32()), pa.array(hashes, pa.int64()), pa.array(prints, pa.int32()), pa.array(firsts, pa.int32())],
+                [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(lines, pa.int32()), pa.array(hashes, pa.int64()), pa.array(prints, pa.int64()), pa.array(firsts, pa.int32())],
                 names=["id", "row", "line", "h", "f", "first"],
             )
 
@@ -71,24 +73,27 @@ def mix(h: np.ndarray, level: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def build_mph(h: np.ndarray, gamma: float = 2.0) -> list[np.ndarray]:
-    """Bit arrays by level: a key belongs to the first level at which no other key left shares its slot."""
-    levels, left = [], h.astype(np.uint64)
-    while len(left):
-        size = max(2, int(gamma * len(left)))
-        at = mix(left, len(levels)) % np.uint64(size)
-        bits = np.bincount(at.astype(np.int64), minlength=size) == 1
+def slot(h: np.ndarray, f: np.ndarray, level: int, size: int) -> np.ndarray:
+    return ((mix(h, 2 * level) ^ mix(f, 2 * level + 1)) % np.uint64(size)).astype(np.int64)
+
+
+def build_mph(h: np.ndarray, f: np.ndarray, gamma: float = 2.0) -> list[np.ndarray]:
+    """Bit arrays by level: a key (h, f) belongs to the first level at which no other key left shares its slot."""
+    levels = []
+    while len(h):
+        size = max(2, int(gamma * len(h)))
+        at = slot(h, f, len(levels), size)
+        bits = np.bincount(at, minlength=size) == 1
         levels.append(bits)
-        left = left[~bits[at.astype(np.int64)]]
+        h, f = h[~bits[at]], f[~bits[at]]
     return levels
 
 
-def rank_mph(levels: list[np.ndarray], h: np.ndarray) -> np.ndarray:
-    """The index of each key, or some index for a hash that was not among the keys; -1 where no level takes it."""
+def rank_mph(levels: list[np.ndarray], h: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """The index of each key, or some index for one that was not among the keys; -1 where no level takes it."""
     out, left, base = np.full(len(h), -1, np.int64), np.arange(len(h)), 0
-    h = h.astype(np.uint64)
     for n, bits in enumerate(levels):
-        at = (mix(h[left], n) % np.uint64(len(bits))).astype(np.int64)
+        at = slot(h[left], f[left], n, len(bits))
         hit, below = bits[at], np.cumsum(bits)
         out[left[hit]] = base + below[at[hit]] - 1
         left, base = left[~hit], base + int(below[-1])
@@ -96,11 +101,11 @@ def rank_mph(levels: list[np.ndarray], h: np.ndarray) -> np.ndarray:
 
 
 def _shard_arrays(pdf: pd.DataFrame) -> pd.DataFrame:
-    h = pdf["h"].to_numpy(np.int64).view(np.uint64)
-    levels = build_mph(h)
-    at = rank_mph(levels, h)
+    h, f = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("h", "f"))
+    levels = build_mph(h, f)
+    at = rank_mph(levels, h, f)
     arrays = {}
-    for name, kind in (("f", np.int32), ("n_docs", np.int32), ("owner", np.int64)):
+    for name, kind in (("f", np.int64), ("n_docs", np.int32), ("owner", np.int64)):
         own = np.empty(len(h), kind)
         own[at] = pdf[name].to_numpy(kind)
         arrays[name] = [own.tobytes()]
@@ -114,10 +119,11 @@ def _probe(shard: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
     sizes = list(s["sizes"])
     bits = np.unpackbits(np.frombuffer(s["bits"], np.uint8), count=sum(sizes)).astype(bool)
     levels = np.split(bits, np.cumsum(sizes)[:-1])
-    f, n_docs, owner = np.frombuffer(s["f"], np.int32), np.frombuffer(s["n_docs"], np.int32), np.frombuffer(s["owner"], np.int64)
-    at = rank_mph(levels, lines["h"].to_numpy(np.int64).view(np.uint64))
+    f, n_docs, owner = np.frombuffer(s["f"], np.int64), np.frombuffer(s["n_docs"], np.int32), np.frombuffer(s["owner"], np.int64)
+    own = lines["f"].to_numpy(np.int64)
+    at = rank_mph(levels, lines["h"].to_numpy(np.int64).view(np.uint64), own.view(np.uint64))
     ids = lines["id"].to_numpy(np.int64)
-    gone = (at >= 0) & (f[at] == lines["f"].to_numpy(np.int32)) & (n_docs[at] > 1) & (owner[at] != NO_ID) & ((owner[at] < ids) | (ids == NO_ID))
+    gone = (at >= 0) & (f[at] == own) & (n_docs[at] > 1) & (owner[at] != NO_ID) & ((owner[at] < ids) | (ids == NO_ID))
     return lines.loc[gone, ["id", "row", "line"]]
 
 
@@ -133,18 +139,15 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, keys_a_shard: int = 20_000, least_shards: int = 512) -> DataFrame:
-    """docs with kept_text, n_lines and n_dropped; text_col is as it was."""
-    docs = with_columns_free(docs, "kept_text", "n_lines", "n_dropped", "_id", "_row", "_gone")
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, keys_a_shard: int = 20_000, least_shards: int = 512, names: tuple[str, str, str] = NEW) -> DataFrame:
+    """docs with kept_text, n_lines and n_dropped under these names; text_col is as it was."""
+    docs = with_columns_free(docs, *names, "_id", "_row", "_gone", "_kept")
+    whole_numbers(docs, id_col)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     row = F.xxhash64(F.col(text_col))
-    lines = staged(docs.select(ident, row, F.col(text_col).cast("string")).mapInArrow(_hashed_lines(min_chars), "id long, row long, line int, h long, f int, first int"), "lines")
-    keys = staged(
-        lines.groupBy("h", "f").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("o"), F.sum("first").cast("int").alias("n_docs"), F.count("*").alias("n"))
-        # two keys with one 64-bit hash: the minimal perfect hash can hold only one, so they go to the one with more lines
-        .groupBy("h").agg(F.max_by(F.struct("f", F.coalesce("o", F.lit(NO_ID)).alias("owner"), "n_docs", "n"), F.struct("n", "f")).alias("k")).select("h", "k.*"),
-        "linekeys",
-    )
+    lines = staged(docs.select(ident, row, F.col(text_col).cast("string")).mapInArrow(_hashed_lines(min_chars), "id long, row long, line int, h long, f long, first int"), "lines")
+    owner = F.coalesce(F.min(F.when(F.col("id") != NO_ID, F.col("id"))), F.lit(NO_ID))
+    keys = staged(lines.groupBy("h", "f").agg(owner.alias("owner"), F.sum("first").cast("int").alias("n_docs"), F.count("*").alias("n")), "linekeys")
     shards = max(least_shards, 1 << (max(1, keys.count() // keys_a_shard) - 1).bit_length())
     shard = F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")
     loads = keys.groupBy(shard.alias("shard")).agg(F.sum("n").alias("load"))
@@ -157,7 +160,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = copies.groupBy("shard", "salt").cogroup(probes.groupBy("shard", "salt")).applyInPandas(_probe, "id long, row long, line int")
     gone = gone.groupBy("id", "row").agg(F.collect_set("line").alias("_gone")).withColumnsRenamed({"id": "_id", "row": "_row"})
     out = docs.withColumns({"_id": ident, "_row": row}).join(gone, ["_id", "_row"], "left").withColumn("_kept", _without(F.col(text_col).cast("string"), "_gone"))
-    return out.withColumns({"kept_text": F.col("_kept.kept"), "n_lines": F.col("_kept.n_lines"), "n_dropped": F.col("_kept.n_dropped")}).drop("_id", "_row", "_gone", "_kept")
+    return out.withColumns({n: F.col(f"_kept.{c}") for n, c in zip(names, ("kept", "n_lines", "n_dropped"), strict=True)}).drop("_id", "_row", "_gone", "_kept")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import with_columns_free
+from waymill.llm.common import with_columns_free, without
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -396,7 +396,7 @@ def find_personal_data(docs: DataFrame, keep: list[str], text_col: str = "text",
     texts = [r.t for r in sorted(rows, key=lambda r: (r.h, r.t))]
     x, y = training_windows(texts, windows)
     model = Tagger().fit(x, y) if len(x) else None
-    src = docs.select(*keep, text.alias("_text"))
+    src = docs.select(*without(keep, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "_text"), text.alias("_text"))
     counts = {f"n_{k}": F.lit(0).cast("long") for k in KINDS}
     schema = src.drop("_text").withColumns(counts | {"base_sha256": F.lit(""), "spans": F.lit("")}).schema
     return src.mapInArrow(_find(spark.sparkContext.broadcast(model)), schema)

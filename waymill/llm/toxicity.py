@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import with_columns_free
+from waymill.llm.common import with_columns_free, without
 
 WORD_OR_STOP = re.compile(r"[^\W\d_]+|[.!?;:\n|]")
 
@@ -238,7 +238,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], id_col:
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("text")).join(F.broadcast(some), "_id").filter("text is not null").select("label", "text", F.xxhash64("text").alias("h")).collect() if n else []
     model = learn([(r.text, r.label) for r in sorted(rows, key=lambda r: (r.h, r.label, r.text))], tuple(max(1.0, n.get(k, 0) / per_class) for k in (0, 1)))
-    src = docs.select(*keep, text.alias("_text"))
+    src = docs.select(*without(keep, "score", "predicted", "_text"), text.alias("_text"))
     schema = src.drop("_text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     return src.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
 
