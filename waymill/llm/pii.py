@@ -1,15 +1,18 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-The patterns give the base spans, which always stay. The tagger is trained in numpy from labelled spans: the base spans
-of a bounded sample of documents, as they are and in rewritten forms that the patterns miss (spelled separators, missing
-plus signs, dotted cards), among ordinary text, hex strings and numbers. A tagged span has to hold a digit, an @ or a
-written at (" at ", "(at)", "[at]") before a domain, so only windows with such a mark can give one; all of those are scored. Windows overlap by half; the scores of a
-character are averaged over its windows, by distance from their edges, and the whole stretch that the windows cover is
-then decoded at once by Viterbi, so that no window's edge decides a span. A tagged span is added if it passes the checks
-of its kind (Luhn, parts up to 255, numbers of digits) and touches no base span.
+The patterns give the base spans, which always stay. The tagger is trained in numpy from labelled spans: the base spans of a
+bounded sample of documents where they stand, and set among ordinary text in forms that the patterns miss (spelled
+separators, missing plus signs, dotted cards, addresses of other words), beside number-like strings that are none. A fifth
+kind, secret (a credential), has no base pattern and is only ever tagged; its labels are the quoted values after a name such
+as token. A tagged span has to pass the checks of its kind (``valid``: Luhn, parts up to 255, numbers of digits), so it holds
+a digit, an @ or a written at (" at ", "(at)", "[at]") before a domain: windows without such a mark can add nothing and are
+left out, all others are scored. Windows overlap by half; the scores of a character are averaged over its windows, by
+distance from their edges, and the whole stretch that the windows cover is then decoded at once by Viterbi, so that no
+window's edge decides a span. A tagged span is added if it touches no base span.
 
 Defined results: a null text is empty and has no span; repeated rows are each tagged; without any base span in the sample
-nothing is added; offsets are code points, end exclusive; other columns pass through; an empty table stays empty.
+nothing is added; offsets are code points, end exclusive; columns with the names of the new ones are replaced, others pass
+through; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -22,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import with_columns_free, without
+from waymill.llm.common import without
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that the tagger knows: those of the patterns, and credentials.
+TAGGED = (*KINDS, "secret")
+#: Labels of the fifth kind, for training alone.
+SECRET = re.compile(r"(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*\"([^\"\s]{16,})\"", re.I)
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -70,53 +77,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- the tagger
 
-#: Input classes: some characters have their own, the others share one by sort.
-OWN = " \n@.-+_%()/:,\"=#*&"
-TAGS = 1 + 2 * len(KINDS)  # 0 outside, 1 + 2k begin of kind k, 2 + 2k inside
+#: Input classes: digits are one, a-z and these characters have one each, other characters share one by sort.
+OWN = " \n@.-+_%()[]/:,\"'=#*&abcdefghijklmnopqrstuvwxyz"
+TAGS = 1 + 2 * len(TAGGED)  # 0 outside, 1 + 2k begin of kind k, 2 + 2k inside
 
 
 def _class_table() -> np.ndarray:
-    out = np.full(256, len(OWN) + 5, np.int64)
+    out = np.full(256, len(OWN) + 3, np.int64)
     for c in range(256):
         s = chr(c)
         if s in OWN:
             out[c] = OWN.index(s)
         elif "0" <= s <= "9":
             out[c] = len(OWN)
-        elif "a" <= s <= "f":
-            out[c] = len(OWN) + 1
-        elif "g" <= s <= "z":
-            out[c] = len(OWN) + 2
         elif "A" <= s <= "Z":
-            out[c] = len(OWN) + 3
+            out[c] = len(OWN) + 1
         elif s.isalpha():
-            out[c] = len(OWN) + 4
+            out[c] = len(OWN) + 2
     return out
 
 
 CLASSES = _class_table()
-PAD = len(OWN) + 6
+PAD = len(OWN) + 4
 N_CLASSES = PAD + 1
 
 
 def classes(text: str) -> np.ndarray:
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(cp < 256, CLASSES[np.minimum(cp, 255)], len(OWN) + 4)
+    return np.where(cp < 256, CLASSES[np.minimum(cp, 255)], len(OWN) + 2)
 
 
 def sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def logsumexp(x, axis):
-    m = x.max(axis, keepdims=True)
-    return np.log(np.exp(x - m).sum(axis)) + m.squeeze(axis)
-
-
 class Tagger:
     """Two LSTMs over character classes (forwards and backwards), linear scores and CRF transitions."""
 
-    def __init__(self, hidden: int = 16, seed: int = 0):
+    def __init__(self, hidden: int = 24, seed: int = 0):
         r, h = np.random.default_rng(seed), hidden
         self.h = h
         init = lambda *s: (r.standard_normal(s) * 0.3).astype(np.float32)
@@ -154,14 +152,18 @@ class Tagger:
         n, steps = x.shape
         hid, kf, kb = self.hidden(x, True)
         e, trans = (hid @ self.p["W"] + self.p["c"]).astype(np.float64), self.p["T"].astype(np.float64)
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = e[0]
-        for t in range(1, steps):
-            alpha[t] = e[t] + logsumexp(alpha[t - 1][:, :, None] + trans, 1)
+        # forwards and backwards over probabilities, scaled to add up to 1 at each step
+        most = e.max(2, keepdims=True)
+        own, step = np.exp(e - most), np.exp(trans)
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((steps, n, 1))
+        for t in range(steps):
+            alpha[t] = alpha[t - 1] @ step * own[t] if t else own[0]
+            scale[t] = alpha[t].sum(1, keepdims=True)
+            alpha[t] /= scale[t]
         for t in range(steps - 2, -1, -1):
-            beta[t] = logsumexp(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = logsumexp(alpha[-1], 1)
-        de = np.exp(alpha + beta - z[:, None])
+            beta[t] = (own[t + 1] * beta[t + 1]) @ step.T / scale[t + 1]
+        z = (np.log(scale) + most).sum((0, 2))
+        de = alpha * beta
         rows = np.arange(n)
         gold, dt = 0.0, np.zeros_like(trans)
         for t in range(steps):
@@ -169,8 +171,8 @@ class Tagger:
             de[t, rows, y[:, t]] -= 1
             if t:
                 gold += trans[y[:, t - 1], y[:, t]].sum()
-                dt += np.exp(alpha[t - 1][:, :, None] + trans + (e[t] + beta[t])[:, None, :] - z[:, None, None]).sum(0)
-                np.subtract.at(dt, (y[:, t - 1], y[:, t]), 1)
+                dt += step * (alpha[t - 1].T @ (own[t] * beta[t] / scale[t]))
+        np.subtract.at(dt, (y[:, :-1], y[:, 1:]), 1)
         de = (de / n).astype(np.float32)
         g = {"T": (dt / n).astype(np.float32), "W": np.einsum("tnh,tnk->hk", hid, de), "c": de.sum((0, 1))}
         dh = de @ self.p["W"].T
@@ -178,19 +180,20 @@ class Tagger:
         return (z.sum() - gold) / n, g
 
     def back(self, x, dh, kept, d):
-        h, gx, gu = self.h, np.zeros_like(self.p[f"X{d}"]), np.zeros_like(self.p[f"U{d}"])
+        h, steps, gu = self.h, x.shape[1], np.zeros_like(self.p[f"U{d}"])
         ds = dc = np.zeros((x.shape[0], h), np.float32)
-        for t in range(x.shape[1] - 1, -1, -1):
+        gates = np.empty((steps, len(x), 4 * h), np.float32)
+        for t in range(steps - 1, -1, -1):
             i, f, o, z, cell, tc, state = kept[t]
             ds = ds + dh[t]
             dc = dc + ds * o * (1 - tc * tc)
-            g = np.concatenate((dc * z * i * (1 - i), dc * cell * f * (1 - f), ds * tc * o * (1 - o), dc * i * (1 - z * z)), 1)
-            np.add.at(gx, x[:, t], g)
+            gates[t] = g = np.concatenate((dc * z * i * (1 - i), dc * cell * f * (1 - f), ds * tc * o * (1 - o), dc * i * (1 - z * z)), 1)
             gu += state.T @ g
             ds, dc = g @ self.p[f"U{d}"].T, dc * f
-        return {f"X{d}": gx, f"U{d}": gu}
+        seen = (x.T.reshape(-1, 1) == np.arange(N_CLASSES)).astype(np.float32)
+        return {f"X{d}": seen.T @ gates.reshape(-1, 4 * h), f"U{d}": gu}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 1):
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.03, seed: int = 1):
         r, m, v, step = np.random.default_rng(seed), {}, {}, 0
         for epoch in range(epochs):
             order = r.permutation(len(x))
@@ -202,7 +205,7 @@ class Tagger:
                     a = a * min(1.0, 5.0 / (norm + 1e-9))
                     m[key] = 0.9 * m.get(key, 0) + 0.1 * a
                     v[key] = 0.999 * v.get(key, 0) + 0.001 * a * a
-                    self.p[key] -= (rate * 0.7**epoch * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.p[key] -= (rate * 0.6**epoch * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
     def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -228,57 +231,92 @@ class Tagger:
 WINDOW, STRIDE = 64, 32
 
 
-def rewritten(kind: int, s: str, r: np.random.Generator) -> str:
-    """A form of the span that the patterns do not match, or the span itself."""
+def labelled(text: str) -> list[tuple[int, int, int]]:
+    """The spans that the tagger learns from, by start."""
+    return sorted([*base_spans(text), *((len(KINDS), *m.span(1)) for m in SECRET.finditer(text))], key=lambda x: x[1])
+
+
+def rewritten(kind: int, s: str, r: np.random.Generator, words: tuple[str, ...] = ()) -> str:
+    """A form of the span that the patterns do not match, or the span itself; an address may get other words."""
     k = int(r.integers(4))
     if kind == 0:
-        return s if k < 2 else s.replace("@", (" at ", " [at] ", "(at)", " @ ")[int(r.integers(4))]).replace(".", "." if k == 2 else " dot ")
+        if words and r.random() < 0.5:
+            pick = lambda: words[int(r.integers(len(words)))]
+            local = (pick(), pick(), f"{pick()}.{pick()}", f"{pick()}{int(r.integers(99))}")[int(r.integers(4))]
+            domain = (pick(), pick(), f"{pick()}.{pick()}", f"{pick()}{int(r.integers(99))}")[int(r.integers(4))]
+            s = f"{local}@{domain.lower()}.{('com', 'org', 'net', 'de', 'example.com')[int(r.integers(5))]}"
+        k = int(r.integers(5))
+        if k < 2:
+            return s
+        local, _, domain = s.partition("@")
+        return local + (" at ", " at ", " [at] ", "(at)", " @ ", " (at) ")[int(r.integers(6))] + (domain if k == 2 else domain.replace(".", (" dot ", " (dot) ", " . ")[int(r.integers(3))]))
     if kind == 1:
         return s if k < 3 else s.replace(".", (" . ", "[.]")[int(r.integers(2))])
     if kind == 2:
         d = ascii_digits(s)
         return s if k < 2 else ("." if k == 2 else " - ").join(d[i : i + 4] for i in range(0, len(d), 4))
-    return s if k < 2 else s.lstrip("+0123456789 ") or s if k == 2 else s.replace(" ", "/").replace("(", "").replace(")", "")
+    if kind == 3:
+        return s if k < 2 else s.lstrip("+0123456789 ") or s if k == 2 else s.replace(" ", "/").replace("(", "").replace(")", "")
+    n = len(s)
+    letters = "0123456789abcdef" if k < 2 else "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    return s if k == 0 else "".join(letters[i] for i in r.integers(0, len(letters), int(r.integers(min(20, n), n + 1))))
+
+
+#: How a credential stands in a text: its name, the sign between, and the quotes.
+NAMED = ('token = "{}"', "token: '{}'", 'api_key="{}"', 'secret = "{}"', "password: {}", 'access_key = "{}"')
 
 
 def number_like(r: np.random.Generator) -> str:
     """Strings with digits that are no personal data."""
-    pick, num = int(r.integers(6)), lambda n: "".join(map(str, r.integers(0, 10, n)))
-    return (f'"{"".join("0123456789abcdef"[i] for i in r.integers(0, 16, int(r.integers(20, 42))))}"', f"{num(1)}.{num(1)}.", num(int(r.integers(1, 6))), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"{num(1)}.{num(1)}.{num(2)}")[pick]
+    pick, num = int(r.integers(7)), lambda n: "".join(map(str, r.integers(0, 10, n)))
+    return (f'"{"".join("0123456789abcdef"[i] for i in r.integers(0, 16, int(r.integers(20, 42))))}"', f"{num(1)}.{num(1)}.", num(int(r.integers(1, 6))), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"{num(1)}.{num(1)}.{num(2)}", num(int(r.integers(9, 20))))[pick]
 
 
 def training_windows(texts: list[str], most: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of classes and tags: spans and number-like strings set among the texts' own words."""
+    """Windows of classes and tags: a quarter as they stand in the texts, the others spans and number-like strings set among the texts' own words."""
     r, x, y = np.random.default_rng(seed), [], []
-    spans = [(k, t[a:b]) for t in texts for k, a, b in base_spans(t) if b - a < 40]
-    kinds = [[s for k, s in spans if k == kind] for kind in range(len(KINDS))]
+    known = [(t, spans) for t in texts if (spans := [s for s in labelled(t) if s[2] - s[1] < WINDOW])]
+    kinds = [[(t[a:b], t, spans, a, b) for t, spans in known for k, a, b in spans if k == kind] for kind in range(len(TAGGED))]
     prose = [t for t in texts if len(t) > 2 * WINDOW]
-    if not spans or not prose:
+    if not known or not prose:
         return np.empty((0, WINDOW), np.int64), np.empty((0, WINDOW), np.int64)
+    words = tuple(sorted({w for t in prose[:200] for w in re.findall(r"[A-Za-z]{2,12}", t[:2000])}))
+
+    def put(whole: str, spans) -> None:
+        tags = np.zeros(max(WINDOW, len(whole)), np.int64)
+        for kind, a, b in spans:
+            tags[max(0, a) : max(0, b)] = 2 + 2 * kind
+            if a >= 0:
+                tags[a : a + 1] = 1 + 2 * kind
+        c = classes(whole[:WINDOW])
+        x.append(np.concatenate((c, np.full(WINDOW - len(c), PAD))))
+        y.append(tags[:WINDOW])
+
     for n in range(most):
-        own = kinds[n % 6] if n % 6 < len(KINDS) else None
+        own = kinds[n // 2 % len(TAGGED)]
+        if n % 4 == 0 and own:
+            _, t, spans, a, b = own[int(r.integers(len(own)))]
+            at = max(0, int(r.integers(max(0, b - WINDOW) - 4, a + 4)))
+            put(t[at : at + WINDOW], [(k, max(p - at, -1), q - at) for k, p, q in spans if p - at < WINDOW and q > at])
+            continue
         t = prose[int(r.integers(len(prose)))]
         at = int(r.integers(0, len(t) - WINDOW))
         cut = int(r.integers(4, 40))
-        left, right = t[at : at + cut], t[at + cut : at + WINDOW]
-        if any(SIGN.search(s) for s in (left, right)):
-            left, right = SIGN.sub("e", left), SIGN.sub("n", right)
-        if n % 6 == 5:
-            s, kind = "", -1
-        elif own:
-            kind = n % 6
-            s = rewritten(kind, own[int(r.integers(len(own)))], r)
+        left, right = (SIGN.sub("e", part) for part in (t[at : at + cut], t[at + cut : at + WINDOW]))
+        pick = n % 12
+        if pick == 11:
+            put(left + right, [])
+        elif pick in (5, 10) or not own:
+            put(f"{left} {number_like(r)} {right}", [])
         else:
-            s, kind = number_like(r), -1
-        whole = f"{left} {s} {right}" if s else left + right
-        tags = np.zeros(len(whole), np.int64)
-        if kind >= 0:
-            tags[len(left) + 1 : len(left) + 1 + len(s)] = 2 + 2 * kind
-            tags[len(left) + 1] = 1 + 2 * kind
-        c = classes(whole)
-        pad = max(0, WINDOW - len(c))
-        x.append(np.concatenate((c[:WINDOW], np.full(pad, PAD))))
-        y.append(np.concatenate((tags[:WINDOW], np.zeros(pad, np.int64))))
+            kind = n // 2 % len(TAGGED)
+            s = rewritten(kind, own[int(r.integers(len(own)))][0], r, words)
+            before, after = (NAMED[int(r.integers(len(NAMED)))] if kind == len(KINDS) else "{}").split("{}")
+            if kind != len(KINDS) and r.random() < 0.3:
+                before, after = (("", ","), ("(", ")"), ("", "."), ("<", ">"), ("", "###"))[int(r.integers(5))]
+            whole = f"{left} {before}{s}{after} {right}"
+            start = len(left) + 1 + len(before)
+            put(whole, [(kind, start, start + len(s))])
     return np.array(x), np.array(y)
 
 
@@ -309,54 +347,84 @@ def valid(kind: int, s: str) -> bool:
         return len(parts) == 4 and all(len(p) < 4 and int(p) <= 255 for p in parts) and re.fullmatch(r"[0-9. \[\]]+", s) is not None
     if kind == 2:
         return 16 <= len(d) <= 19 and luhn(d) and re.fullmatch(r"[0-9][0-9 ./-]+[0-9]", s) is not None
-    return 8 <= len(d) <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ()./-]+[0-9]", s) is not None and re.search(r"[ ()/-]", s) is not None
+    if kind == 3:
+        return 8 <= len(d) <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ()./-]+[0-9]", s) is not None and re.search(r"[ ()/-]", s) is not None
+    return bool(d) and re.fullmatch(r"[A-Za-z0-9+/_=-]{16,}", s) is not None and re.search("[A-Za-z]", s) is not None
 
 
 def tag(model: Tagger, texts: list[str], at_once: int = 2048) -> list[list[tuple[int, int, int]]]:
-    """Tagged spans of each text that pass the checks of their kind."""
+    """Tagged spans of each text that pass the checks of their kind.
+
+    Stretches of like length are decoded together, at_once windows at most unless one stretch has more: what a call holds
+    is in proportion to that number, or to the longest stretch.
+    """
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    todo = [(n, a, b) for n, t in enumerate(texts) for a, b in stretches(t)]
+    todo = sorted(((b - a, n, a, b) for n, t in enumerate(texts) for a, b in stretches(t)), reverse=True)
     k = 0
     while k < len(todo):
-        part, size = [], 0
-        while k < len(todo) and (not part or size + todo[k][2] - todo[k][1] <= at_once):
-            part.append(todo[k])
-            size += todo[k][2] - todo[k][1]
-            k += 1
-        decode(model, texts, part, out, at_once)
-    return out
-
-
-def decode(model: Tagger, texts: list[str], part: list[tuple[int, int, int]], out: list, at_once: int) -> None:
-    windows, spans = [], []
-    for n, a, b in part:
-        lo, hi = a * STRIDE, min(len(texts[n]), (b - 1) * STRIDE + WINDOW)
-        c = np.concatenate((classes(texts[n][lo:hi]), np.full(WINDOW, PAD)))
-        windows += [c[g * STRIDE : g * STRIDE + WINDOW] for g in range(b - a)]
-        spans.append((n, lo, hi))
-    x = np.array(windows)
-    e = np.concatenate([model.emissions(x[i : i + at_once]) for i in range(0, len(x), at_once)])
-    longest = max(hi - lo for _, lo, hi in spans)
-    score, w = np.zeros((len(spans), longest, TAGS), np.float32), 0
-    for i, (_, a, b) in enumerate(part):
-        length = spans[i][2] - spans[i][1]
-        sums, weight = np.zeros(((b - a) * STRIDE + WINDOW, TAGS), np.float32), np.full((b - a) * STRIDE + WINDOW, 1e-9, np.float32)
-        for g in range(b - a):
-            sums[g * STRIDE : g * STRIDE + WINDOW] += e[w + g] * EDGE[:, None]
+        longest, end = todo[k][0], k + 1
+        while end < len(todo) and 2 * todo[end][0] >= longest and (end + 1 - k) * longest <= at_once:
+            end += 1
+        for n, lo, tags in decode(model, texts, [t[1:] for t in todo[k:end]], at_once):
+            out[n] += spans_of(texts[n], lo, tags)
+        k = end
+    return [sorted(x, key=lambda s: s[1]) for x in out]
+
+
+def emissions_of(model: Tagger, c: np.ndarray, windows: int, at_once: int) -> np.ndarray:
+    """c: stretches x characters, padded. The scores of each character, averaged over its windows by distance from their edges."""
+    score = np.zeros((len(c), (windows - 1) * STRIDE + WINDOW, TAGS), np.float32)
+    weight = np.full(score.shape[1], 1e-9, np.float32)
+    step = max(1, at_once // len(c))
+    for first in range(0, windows, step):
+        some = range(first, min(windows, first + step))
+        e = model.emissions(np.concatenate([c[:, g * STRIDE : g * STRIDE + WINDOW] for g in some])).reshape(len(some), len(c), WINDOW, TAGS)
+        for g, own in zip(some, e, strict=True):
+            score[:, g * STRIDE : g * STRIDE + WINDOW] += own * EDGE[:, None]
             weight[g * STRIDE : g * STRIDE + WINDOW] += EDGE
-        w += b - a
-        score[i, :length] = (sums / weight[:, None])[:length]
-    tags = model.viterbi(score, np.array([hi - lo for _, lo, hi in spans]))
-    for (n, lo, _), row in zip(spans, tags, strict=True):
-        at = np.flatnonzero(row)
-        for run in np.split(at, np.flatnonzero((np.diff(at) > 1) | (row[at[1:]] % 2 == 1) | ((row[at[1:]] - 1) // 2 != (row[at[:-1]] - 1) // 2)) + 1) if len(at) else []:
-            a, b, kind = lo + int(run[0]), lo + int(run[-1]) + 1, int(row[run[0]] - 1) // 2
-            while a < b and texts[n][a] in " \n":
-                a += 1
-            while b > a and texts[n][b - 1] in " \n.,":
-                b -= 1
-            if b > a and valid(kind, texts[n][a:b]):
-                out[n].append((kind, a, b))
+    return score / weight[:, None]
+
+
+def decode(model: Tagger, texts: list[str], part: list[tuple[int, int, int]], at_once: int = 2048):
+    """part: (text, first window, end). Text, first character and tags of each stretch."""
+    windows = max(b - a for _, a, b in part)
+    spans = [(n, a * STRIDE, min(len(texts[n]), (b - 1) * STRIDE + WINDOW)) for n, a, b in part]
+    c = np.full((len(part), (windows - 1) * STRIDE + WINDOW), PAD)
+    for row, (n, lo, hi) in zip(c, spans, strict=True):
+        row[: hi - lo] = classes(texts[n][lo:hi])
+    lengths = np.array([hi - lo for _, lo, hi in spans])
+    tags = model.viterbi(emissions_of(model, c, windows, at_once)[:, : lengths.max()], lengths)
+    return [(n, lo, row) for (n, lo, _), row in zip(spans, tags, strict=True)]
+
+
+#: The characters of which the first and the last word of a span, by kind, are made: a span that cuts a word takes all of it.
+ENDS = (("[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"), ("[0-9]",) * 2, ("[0-9]",) * 2, ("[0-9]",) * 2, ("[A-Za-z0-9+/_=-]",) * 2)
+#: A further part of a written domain.
+PARTS = re.compile(r" ?(?:\(dot\)|\[dot\]|(?<! ) dot ) ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+")
+ENDS = tuple((re.compile(a), re.compile(b)) for a, b in ENDS)
+
+
+def spans_of(text: str, lo: int, row: np.ndarray) -> list[tuple[int, int, int]]:
+    """The runs of one kind that pass its checks; row: tags from character lo on."""
+    at, out = np.flatnonzero(row), []
+    new = (np.diff(at) > 1) | (row[at[1:]] % 2 == 1) | ((row[at[1:]] - 1) // 2 != (row[at[:-1]] - 1) // 2)
+    for run in np.split(at, np.flatnonzero(new) + 1) if len(at) else []:
+        a, b, kind = lo + int(run[0]), lo + int(run[-1]) + 1, int(row[run[0]] - 1) // 2
+        while a < b and text[a] in " \n":
+            a += 1
+        while b > a and text[b - 1] in " \n.,":
+            b -= 1
+        first, last = ENDS[kind]
+        while a < b and a > 0 and first.match(text[a]) and first.match(text[a - 1]) and (not out or a > out[-1][2]):
+            a -= 1
+        while a < b < len(text) and last.match(text[b - 1]) and last.match(text[b]):
+            b += 1
+        if kind == 0:
+            while b > a and (more := PARTS.match(text, b)):
+                b = more.end()
+        if b > a and valid(kind, text[a:b]):
+            out.append((kind, a, b))
+    return out
 
 
 def all_spans(model: Tagger | None, texts: list[str]) -> list[tuple[list, list]]:
@@ -367,7 +435,11 @@ def all_spans(model: Tagger | None, texts: list[str]) -> list[tuple[list, list]]
 
 
 def written(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+    return ",".join(f"{TAGGED[k]}:{a}:{b}" for k, a, b in spans)
+
+
+#: The columns that are added.
+NEW = (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans")
 
 
 def _find(model):
@@ -378,13 +450,13 @@ def _find(model):
             keep = [i for i in range(b.num_columns) if i != at]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
             digest = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *counts, digest, pa.array([written(s) for _, s in found], pa.string())], names=[*(b.schema.names[i] for i in keep), *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *counts, digest, pa.array([written(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64())], names=[*(b.schema.names[i] for i in keep), *NEW])
 
     return run
 
 
-def find_personal_data(docs: DataFrame, keep: list[str], text_col: str = "text", sample_rows: int = 1500, windows: int = 2400) -> DataFrame:
-    """The columns to keep of docs, the base counts, their digest, and all spans as text.
+def find_personal_data(docs: DataFrame, keep: list[str], text_col: str = "text", sample_rows: int = 1500, windows: int = 6000) -> DataFrame:
+    """The columns to keep of docs, the base counts, their digest, all spans as text, and their number.
 
     The tagger learns from about sample_rows documents at most that hold a digit, those with the smallest hash.
     """
@@ -396,11 +468,10 @@ def find_personal_data(docs: DataFrame, keep: list[str], text_col: str = "text",
     texts = [r.t for r in sorted(rows, key=lambda r: (r.h, r.t))]
     x, y = training_windows(texts, windows)
     model = Tagger().fit(x, y) if len(x) else None
-    src = docs.select(*without(keep, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "_text"), text.alias("_text"))
-    counts = {f"n_{k}": F.lit(0).cast("long") for k in KINDS}
-    schema = src.drop("_text").withColumns(counts | {"base_sha256": F.lit(""), "spans": F.lit("")}).schema
+    src = docs.select(*without(keep, *NEW, "_text"), text.alias("_text"))
+    schema = src.drop("_text").withColumns({c: F.lit("" if c in ("base_sha256", "spans") else 0).cast("string" if c in ("base_sha256", "spans") else "long") for c in NEW}).schema
     return src.mapInArrow(_find(spark.sparkContext.broadcast(model)), schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return find_personal_data(with_columns_free(docs, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"), ["doc_id"])
+    return find_personal_data(docs, ["doc_id"])
