@@ -419,6 +419,40 @@ def test_url_rules(spark):
     assert got[7].rule is None and got[7].verdict == "block" and got[9].verdict == "allow"
 
 
+@pytest.mark.parametrize("parents", [True, False])
+def test_propagation_equals_brute_force(spark, parents):
+    """A graph of real links with hubs, chains of 15 hosts, repeated links and hosts that nothing reaches."""
+    r = random.Random(4)
+    hosts = [f"h{i}.{'abc'[i % 3]}.org" for i in range(40)] + [f"c{i}.net" for i in range(15)] + ["ok.com", "www.example.com", "bad.example.com", "lone.info"]
+    links = {(a, b) for a in hosts[:40] for b in r.sample(hosts[:40], 2)} | {(f"c{i}.net", f"c{i + 1}.net") for i in range(14)} | {("c14.net", "bad.example.com"), ("h1.b.org", "bad.example.com"), ("h2.c.org", "bad.example.com"), ("ok.com", "h3.a.org"), ("ok.com", "h4.b.org")}
+    links = {(a, b) for a, b in links if a != b}
+    rows = [(n, f"http://{a}/{'en/' if a == 'bad.example.com' else ''}p", " ".join(f'<a HREF="//{b.upper()}/x">' for s, b in links if s == a) * 2, "x", "y") for n, a in enumerate(hosts)]
+    frame = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string, host string, _rule string")
+    got = {x.host: x.verdict for x in urlfilter.judge(frame, parents=parents, tolerance=1e-9).collect()}
+    w = {}
+    for a, b in links:
+        w[a, b] = w.get((a, b), 0) + (2 if a == hosts[0] else 1)  # its page stands twice
+    up = set()
+    for h in hosts if parents else ():
+        if h.count(".") > 1:
+            up |= {(h, h.partition(".")[2]), (h.partition(".")[2], h)}
+    for e in up:
+        w[e] = w.get(e, 0) + 1
+    names = sorted({*hosts, *(x for e in w for x in e)})
+    good, bad = ({n: float(n in s) / len(s) for n in names} for s in ({"ok.com", "www.example.com"}, {"bad.example.com"}))
+    trust, distrust = dict(good), dict(bad)
+    out_w, in_w = ({n: sum(x for e, x in w.items() if e[k] == n) for n in names} for k in (0, 1))
+    for _ in range(300):
+        t, d = {n: 0.15 * good[n] for n in names}, {n: 0.15 * bad[n] for n in names}
+        for (a, b), x in w.items():
+            t[b] += 0.85 * trust[a] * x / out_w[a]
+            d[a] += 0.85 * distrust[b] * x / in_w[b]
+        trust, distrust = t, d
+    want = {h: "block" if h == "bad.example.com" or (not h.endswith(".com") and distrust[h] > trust[h]) else "allow" for h in hosts}
+    assert got == want and {"allow", "block"} == {want[h] for h in hosts[:40]} and want["c0.net"] == "block" and want["lone.info"] == "allow"
+    assert urlfilter.judge(frame.limit(0)).collect() == []
+
+
 def test_toxicity(spark):
     bad = ["vexur", "vexurate", "vexuren"]
     texts = [prose(k, 60) + (f" {bad[k % 3]} {prose(k + 500, 3)} {bad[k % 2]}" if k % 4 == 0 else "") + "." for k in range(400)]
@@ -431,6 +465,27 @@ def test_toxicity(spark):
     assert len(toxicity.query(docs(spark, EDGE), labels).collect()) == len(EDGE)
 
 
+def test_composed_grammar_equals_its_machines_one_by_one():
+    r = random.Random(5)
+    for _ in range(300):
+        word = [r.choice(range(6)) for _ in range(30)]
+        state, states = 0, [0, 0, 0, 0]
+        for a in word:
+            state, factor = toxicity.GRAMMAR[state][a]
+            one = 1.0
+            for k, m in enumerate((toxicity.negation, toxicity.report, toxicity.target, toxicity.again)):
+                states[k], x = m[states[k]][a]
+                one *= x
+            assert abs(factor - one) < 1e-12
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = QUERIES["op9_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    caught, wrong = ([r.predicted for r in rows if r.toxic == y] for y in (1, 0))
+    assert sum(caught) >= 0.9 * len(caught) and sum(wrong) <= 0.01 * len(wrong)
+
+
 def test_pipeline_equals_its_stages(spark):
     out = corpus_pipeline.run(spark, SF).toPandas()
     d = spark.read.parquet(f"{SF}/documents.parquet").toPandas().sort_values("doc_id")
@@ -461,7 +516,7 @@ def jaccard_components(texts):
     return label
 
 
-@pytest.mark.parametrize("limits", [{}, {"chunk_rows": 4, "most_broadcast": 0, "sample_rows": 30}])
+@pytest.mark.parametrize("limits", [{}, {"run_rows": 5, "chunk_rows": 4, "most_broadcast": 0, "sample_rows": 30}])
 def test_near_copies_of_the_pipeline(spark, limits):
     texts = list(EDGE)
     for k in range(12):
@@ -480,6 +535,19 @@ def test_near_copies_of_the_pipeline(spark, limits):
         assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, SF).collect()) == sorted(set(want))
 
 
+def test_bitmaps_refuse_no_similar_pair():
+    r = np.random.default_rng(6)
+    sets = []
+    for _ in range(60):
+        s = r.integers(0, 2**63, int(r.integers(1, 300))).astype(np.uint64)
+        sets += [np.unique(s), np.unique(np.concatenate((s[: int(len(s) * r.uniform(0.7, 1))], r.integers(0, 2**63, 9).astype(np.uint64))))]
+    sets.sort(key=len)
+    bits = np.array([np.frombuffer(neardup.bitmap(s), np.uint64) for s in sets])
+    label = neardup.alike(np.zeros(len(sets)), np.array([len(s) for s in sets]), bits)
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    assert len(near) > 20 and all(label[i] == label[j] for i, j in near) and len(set(label)) > 50
+
+
 def test_near_dedup_keeps_one_row_of_a_group(spark):
     a, b, c, d = (prose(200 + k, 50) for k in range(4))
     rows = [(1, a), (1, b), (1, b), (2, b), (None, b), (None, c), (None, c), (3, d), (None, d), (4, a)]

@@ -5,15 +5,17 @@ learned word stems), THREAT, TARGET, NEGATION and REPORT (fixed word lists); all
 is the product of small transducers over these symbols: a negation before an insult or threat damps it for a few words, a
 report (said, wrote, called) damps what follows it in the clause, a target near an insult or threat raises it, and two
 insults in a clause raise each other. A clause's weight is the sum along its path; a document is scored from its heaviest
-clause and from the sum of all, by a logistic curve.
+clause, the sum of all and that sum by length, by a logistic curve.
 
 Insult stems and the curve are learned from a bounded sample of labelled rows (``per_class`` of each label at most, those
 with the smallest hash, near copies taken once): a stem counts if it is so often in toxic and so seldom in other documents
-that chance would hardly give one such stem (a binomial tail below ``chance`` after correction for all stems tried).
-Every document is scored over its whole text.
+that chance would hardly give one such stem (a binomial tail below ``chance`` after correction for all stems tried), and of a
+chain of stems the one that tells most about the label (by likelihood ratio) is taken. Every document is scored over its
+whole text.
 
 Defined results: null and empty texts have no clause and get the curve's value at zero; null labels teach nothing;
-without both labels the fixed lists and a fixed curve are used; repeated rows and further columns pass through.
+labels that contradict each other on one document both count; without both labels the fixed lists and a fixed curve are used;
+repeated rows pass, and further columns but those with the names of the new ones; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ REACH = 3
 DAMP_NEG, DAMP_REPORT, RAISE_TARGET, RAISE_AGAIN, W_THREAT = 0.3, 0.5, 1.3, 1.2, 0.8
 
 STEM = (3, 9)
+#: What the curve leans to without evidence: heaviest clause, logarithm of the sum, sum for 100 words.
+CURVE = (4.0, 1.5, 1.0)
 
 
 def machine(symbols, step):
@@ -87,7 +91,7 @@ GRAMMAR = compose(compose(negation, report), compose(target, again))
 @dataclass
 class Model:
     stems: dict[str, float]  # insult stem -> weight
-    curve: tuple[float, float, float] = (-4.0, 4.0, 1.5)  # at zero, by heaviest clause, by the sum's logarithm
+    curve: tuple[float, ...] = (-4.0, *CURVE)  # at zero, and by feature
 
     def __post_init__(self):
         self.trie: dict = {}
@@ -111,9 +115,9 @@ class Model:
         s = SYMBOL.get(word, SKIP)
         return s, W_THREAT if s == SYM_THREAT else 0.0
 
-    def clauses(self, text: str | None):
-        """(weight, start, end) of the clauses with any weight."""
-        state, weight, start, last = 0, 0.0, 0, 0
+    def scan(self, text: str | None) -> tuple[list[tuple[float, int, int]], int]:
+        """(weight, start, end) of the clauses with any weight, and the number of words."""
+        state, weight, start, last, words, out = 0, 0.0, 0, 0, 0, []
         known, symbol = self.known, self.symbol
         for m in WORD_OR_STOP.finditer((text or "").lower()):
             w = m[0]
@@ -125,23 +129,25 @@ class Model:
             s, x = got
             if s < 0:
                 if weight:
-                    yield weight, start, last
+                    out.append((weight, start, last))
                 state, weight, start = 0, 0.0, m.end()
             else:
                 state, factor = GRAMMAR[state][s]
                 weight += x * factor
                 last = m.end()
+                words += 1
         if weight:
-            yield weight, start, last
+            out.append((weight, start, last))
+        return out, words
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        w = [x for x, _, _ in self.clauses(text)]
-        return (max(w), math.log1p(sum(w))) if w else (0.0, 0.0)
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        found, words = self.scan(text)
+        total = sum(x for x, _, _ in found)
+        return (max(x for x, _, _ in found), math.log1p(total), 100 * total / (50 + words)) if found else (0.0, 0.0, 0.0)
 
     def score(self, text: str | None) -> float:
-        a, b, c = self.curve
-        x, y = self.features(text)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
+        z = self.curve[0] + sum(a * x for a, x in zip(self.curve[1:], self.features(text), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def stems_in(text: str) -> set[str]:
@@ -167,6 +173,12 @@ def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
+def told(k: int, c: int, n: Counter) -> float:
+    """The log-likelihood ratio of a stem in k toxic and c other documents."""
+    part = lambda x, m: (x * math.log(x / m) if x else 0.0) + ((m - x) * math.log((m - x) / m) if m > x else 0.0)
+    return part(k, n[1]) + part(c, n[0]) - part(k + c, n[0] + n[1])
+
+
 def learn(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0), chance: float = 0.05, most_stems: int = 4096) -> Model:
     """rows: (text, label), in a fixed order; weights: rows that one of the sample stands for, by label."""
     rows = without_copies(rows)
@@ -186,7 +198,7 @@ def learn(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0)
                 fine[s] = k
     odds = {s: math.log((k + 0.5) / (n[1] + 1)) - math.log((df[0][s] + 0.5) / (n[0] + 1)) for s, k in fine.items()}
     # of a chain of stems the one with the best evidence, a longer one if it is about as good
-    worth = {s: odds[s] * math.sqrt(k) * (1 + 0.02 * len(s)) for s, k in fine.items()}
+    worth = {s: told(k, df[0][s], n) * (1 + 0.02 * len(s)) for s, k in fine.items()}
     taken: set[str] = set()
     beginnings: set[str] = set()
     for s in sorted(worth, key=lambda s: (-worth[s], s)):
@@ -198,13 +210,20 @@ def learn(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0)
     y = np.array([label for _, label in rows], float)
     each = np.array(weights)[y.astype(int)]
     each = each / each.mean()
-    w = np.array((math.log((each * y).sum() / (each * (1 - y)).sum()), 0.0, 0.0))
+    w = np.array((math.log((each * y).sum() / (each * (1 - y)).sum()), 0.0, 0.0, 0.0))
     for _ in range(60):  # Newton steps of ridge logistic regression, of length 1 at most
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (each * (p - y)) + 0.5 * (w - np.array((w[0], 4.0, 1.5)))
-        hess = (x * (each * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.5 * np.eye(3)
+        grad = x.T @ (each * (p - y)) + 0.5 * (w - np.array((w[0], *CURVE)))
+        hess = (x * (each * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.5 * np.eye(4)
         step = np.linalg.solve(hess, grad)
         w = w - step / max(1.0, float(np.abs(step).max()))
+    # one half is put where the sample's F1 is best, midway between the scores on either side
+    z = x @ w
+    order = np.argsort(-z, kind="stable")
+    hit, all_ = np.cumsum((each * y)[order]), np.cumsum(each[order])
+    f1 = np.where(np.append(z[order][:-1] > z[order][1:], True), 2 * hit / (all_ + hit[-1]), 0.0)
+    cut = int(f1.argmax())
+    w[0] -= (z[order[cut]] + z[order[min(cut + 1, len(z) - 1)]]) / 2
     model.curve = tuple(float(v) for v in w)
     return model
 
@@ -225,7 +244,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")), F.lit(5)) == 0, F.lit(False))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> DataFrame:
     """The columns to keep of docs, score and predicted; labels: columns id_col and label_col (0 or 1).
 
     The sample is drawn from the labels alone, by a hash of the id; only its rows' texts are read for learning.

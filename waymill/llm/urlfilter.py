@@ -2,16 +2,22 @@
 
 A rule names a host and a path prefix and fits the host, its subdomains and the paths below; the longest wins. For urls
 without a rule the host decides. Hosts are the nodes of a graph whose edges are the links in the pages' html (host of the
-page to host of the link) and, both ways, the step from a host to its parent domain. Hosts with over half of their pages
-allowed by a rule are trusted seeds, those with over half blocked are blocked seeds. Trust is a personalised PageRank from
-the trusted seeds along the edges; distrust is one from the blocked seeds against them. A host is blocked if its distrust
-is over ``ratio`` times its trust, and allowed else, also where nothing is known.
+page to host of the link) and, unless ``parents`` is false, both ways the step from a host to its parent domain. Hosts with
+over half of their pages allowed by a rule are trusted seeds, those with over half blocked are blocked seeds. Trust is a
+personalised PageRank from the trusted seeds along the edges; distrust is one from the blocked seeds against them. A host is
+blocked if its distrust is over ``ratio`` times its trust, and allowed else, also where nothing is known.
 
-DataFrame functions alone: links are cut out by regular expressions, ranks are joins and sums, written to the shared folder
-after each round. A hub's messages are summed before the shuffle, and its own edges are a join that can be split.
+Rounds end when a round has moved less than ``tolerance`` of all trust and distrust; as each moves at most ``damping`` times
+what the one before did, less than tolerance * damping / (1 - damping) is still to move then. ``most_rounds`` only guards
+against a tolerance that rounding cannot reach.
+
+DataFrame functions alone: links are cut out by regular expressions in one pass over the html, ranks are joins and sums of
+decimals (so that no order of adding changes a verdict), written to the shared folder after every few rounds. A hub's
+messages are summed before the shuffle, and its own edges are a join that can be split.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule, and is allowed; null html has no
-links; equal rules count once, and of rules of equal length the block rule wins; repeated rows each keep their row.
+links; equal rules count once, and of rules of equal length the block rule wins; repeated rows each keep their row; columns
+with the names of the new ones are replaced, others pass through; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -51,17 +57,25 @@ def rule_of(host, path, rules=RULES):
     return out
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, w): links between hosts and steps between a host and its parent domain. pages: columns host and html."""
+def host_links(pages: DataFrame) -> DataFrame:
+    """(src, dst, w): pages of one host that link to another. pages: columns host and html."""
     links = pages.filter("host <> ''").select("host", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), 1))).alias("link"))
     target = F.translate(F.regexp_extract("link", "//(.*)", 1), UPPER, LOWER)
-    links = links.select(F.col("host").alias("src"), target.alias("dst")).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
-    hosts = links.select(F.col("src").alias("h")).union(links.select("dst")).union(pages.select("host")).distinct().filter("h like '%.%'")
-    up = hosts.select(F.col("h").alias("src"), F.regexp_replace("h", r"^[^.]*\.", "").alias("dst"), F.lit(1.0).alias("w")).filter("dst like '%.%'")
+    return links.select(F.col("host").alias("src"), target.alias("dst")).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+
+
+def with_parents(links: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The links, and the steps between a host and its parent domain. hosts: column host."""
+    known = links.select(F.col("src").alias("h")).union(links.select("dst")).union(hosts.select("host")).distinct().filter("h like '%.%'")
+    up = known.select(F.col("h").alias("src"), F.regexp_replace("h", r"^[^.]*\.", "").alias("dst"), F.lit(1.0).alias("w")).filter("dst like '%.%'")
     return links.union(up).union(up.select("dst", "src", "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85) -> DataFrame:
+#: Ranks are added up as decimals.
+EXACT = "decimal(38,24)"
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, most_rounds: int = 200, at_once: int = 4) -> DataFrame:
     """(host, trust, distrust). seeds: columns host, good, bad, each of which adds up to 1 (or is 0 throughout)."""
     out = edges.groupBy(F.col("src").alias("h")).agg(F.sum("w").alias("out_w"))
     into = edges.groupBy(F.col("dst").alias("h")).agg(F.sum("w").alias("in_w"))
@@ -71,14 +85,25 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: flo
     hosts = sends.select(F.col("src").alias("host")).union(sends.select("dst")).union(seeds.select("host")).distinct()
     nodes = staged(hosts.join(seeds, "host", "left").fillna(0.0, ["good", "bad"]), "hosts")
     ranks = nodes.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for _ in range(rounds):
-        got = sends.join(ranks.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("t") * F.col("trust")).alias("t"), F.sum(F.col("d") * F.col("distrust")).alias("d"))
+
+    def one(ranks: DataFrame) -> DataFrame:
+        got = sends.join(ranks.select(F.col("host").alias("src"), "trust", "distrust"), "src").groupBy(F.col("dst").alias("host"))
+        got = got.agg(*[F.sum((F.col(w) * F.col(r)).cast(EXACT)).cast("double").alias(w) for w, r in (("t", "trust"), ("d", "distrust"))])
         new = lambda seed, got: F.lit(1 - damping) * F.col(seed) + F.lit(damping) * F.coalesce(F.col(got), F.lit(0.0))
-        ranks = staged(nodes.join(got, "host", "left").select("host", new("good", "t").alias("trust"), new("bad", "d").alias("distrust")), "ranks")
+        return nodes.join(got, "host", "left").select("host", new("good", "t").alias("trust"), new("bad", "d").alias("distrust"))
+
+    for _ in range(0, most_rounds, at_once):
+        for _ in range(at_once - 1):
+            ranks = one(ranks)
+        before = staged(ranks, "ranks")
+        ranks = staged(one(before), "ranks")
+        moved = ranks.join(before.select("host", F.col("trust").alias("a"), F.col("distrust").alias("b")), "host").agg(F.sum(F.abs(F.col("trust") - F.col("a")) + F.abs(F.col("distrust") - F.col("b")))).first()[0]
+        if (moved or 0.0) < tolerance:
+            break
     return ranks
 
 
-def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, ratio: float = 1.0, rounds: int = 12) -> DataFrame:
+def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, ratio: float = 1.0, parents: bool = True, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """pages with host, path, rule and verdict."""
     pages = with_columns_free(pages, "host", "path", "rule", "verdict", "_rule", "_blocked")
     url = F.col(url_col).cast("string")
@@ -87,8 +112,9 @@ def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=
     seeds = staged(counts.select("host", F.when(2 * F.col("a") > F.col("n"), F.col("a")).otherwise(0).cast("double").alias("good"), F.when(2 * F.col("b") > F.col("n"), F.col("b")).otherwise(0).cast("double").alias("bad")), "seeds")
     total = seeds.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     seeds = seeds.select("host", *[(F.col(c) / F.lit(total[c] or 1.0)).alias(c) for c in ("good", "bad")])
-    edges = staged(host_edges(named.select("host", F.col(html_col).cast("string").alias("html"))), "links")
-    ranks = propagate(edges, seeds, rounds)
+    links = staged(host_links(named.select("host", F.col(html_col).cast("string").alias("html"))), "links")
+    edges = staged(with_parents(links, seeds), "edges") if parents else links
+    ranks = propagate(edges, seeds, damping, tolerance)
     bad = ranks.filter(F.col("distrust") > F.lit(ratio) * F.col("trust")).select("host", F.lit(True).alias("_blocked"))
     out = named.join(bad, "host", "left").withColumn("verdict", F.coalesce("_rule.verdict", F.when(F.col("_blocked"), "block").otherwise("allow"))).withColumn("rule", F.col("_rule.rule"))
     return out.select(*pages.columns, "host", "path", "rule", "verdict")
