@@ -1,5 +1,6 @@
 """The operators of waymill.llm against brute force, on small tables with nulls, empty and long texts, ties and repeats."""
 
+import functools
 import hashlib
 import random
 import re
@@ -396,6 +397,54 @@ def test_sketches(spark):
     assert fingerprint.query(docs(spark, [])).collect() == []
 
 
+def test_sketch_equals_brute_force(spark):
+    texts = [*EDGE[:11], prose(4, 900), "a b c d", "a b c d e", " a  b c d e f"]
+    signed = lambda x: x - (x >> 63 << 64)
+    word = lambda w: signed(xxhash.xxh64_intdigest(w, 42))
+
+    def chained(hashes):
+        seed = 42
+        for h in hashes:
+            seed = xxhash.xxh64_intdigest((h % 2**64).to_bytes(8, "little"), seed)
+        return signed(seed)
+
+    for t, r in zip(texts, spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", fingerprint.sketch(F.col("t")).alias("s")).orderBy("i").collect(), strict=True):
+        h = [word(w) for w in re.split(r"\s+", (t or "").lower()) if w]
+        runs = {chained(h[i : i + 5]) for i in range(len(h) - 4)} if len(h) > 5 else {functools.reduce(lambda a, x: chained([a, x]), h, 0)} if h else set()
+        assert r.s == sorted(runs)[:128]
+
+
+def test_number_of_range_equals_a_search(spark):
+    import bisect
+
+    r = random.Random(2)
+    for cuts in ([5], [1, 2, 3], sorted({int(r.gauss(0, 3) ** 15) for _ in range(60)}), [-(2**63), 0, 2**63 - 1]):
+        values = [*cuts, *(c + d for c in cuts for d in (-1, 1) if -(2**63) <= c + d < 2**63)]
+        got = spark.createDataFrame([(v,) for v in values], "v long").select("v", fingerprint.number_of_range(F.col("v"), cuts).alias("n")).collect()
+        assert all(x.n == bisect.bisect_left(cuts, x.v) for x in got)
+
+
+def test_next_row_without_ids_and_with_repeated_ones(spark):
+    ids = [5, 5, 9, 1, None, None, None, None, None, 7, 7]
+    texts = [f"text {i} {prose(i, 20)}" for i in range(len(ids))]
+    for parts in (2, 3, 50):
+        own = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+        rows = fingerprint.with_next(own, "doc_id", ["text"], parts, "h").collect()
+        h = {r.text: r.h for r in rows}
+        order = sorted(texts, key=lambda t: (ids[texts.index(t)] is None, -(ids[texts.index(t)] or 0), h[t]))
+        assert {r.text: r._next.text for r in rows} == {a: b for a, b in zip(order, order[1:] + order[:1], strict=True)}
+
+
+def test_sketches_merge_by_group(spark):
+    rows = [(i % 2, prose(i // 2 % 40, 60)) for i in range(400)]
+    own = spark.createDataFrame(rows, "g int, t string").select("g", fingerprint.sketch(F.col("t")).alias("sketch"))
+    want = {}
+    for r in own.collect():
+        want.setdefault(r.g, set()).update(r.sketch)
+    for fan_in in (4, 256):
+        assert {r.g: r.sketch for r in fingerprint.merge_parts(own, ["g"], fan_in=fan_in).collect()} == {g: sorted(s)[:128] for g, s in want.items()}
+
+
 def test_merged_sketch_is_that_of_the_whole(spark):
     df = spark.createDataFrame([(prose(1, 300), prose(2, 300))], "a string, b string").select(fingerprint.sketch(F.col("a")).alias("a"), fingerprint.sketch(F.col("b")).alias("b"))
     r = df.select(fingerprint.merged(F.col("a"), F.col("b")).alias("m"), "a", "b", fingerprint.containment(F.col("a"), F.col("a")).alias("c"), fingerprint.distinct_shingles(F.col("a")).alias("n")).first()

@@ -9,18 +9,21 @@ distinct shingles. Texts with k shingles or fewer have exact results.
 
 Defined results: null is the empty text; a text without words has an empty sketch; two empty sketches have likeness 1, an
 empty and another 0; equal texts have equal fingerprints; an empty table gives an empty result; a null doc_id comes last
-in descending order; repeated rows follow each other in the order of their text's hash.
+in descending order; rows of one id, or of none, follow each other in the order of their text's hash. Ids are whole numbers;
+a column of another type is refused.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymill.llm.common import sha256_of, shuffle_parts, with_columns_free
+from waymill.llm.common import sha256_of, shuffle_parts, whole_numbers, with_columns_free
 
 K, WIDTH = 128, 5
-NO_ID = -(2**63)
 
 
 def sketch(text, k: int = K, width: int = WIDTH):
@@ -60,27 +63,75 @@ def as_text(a):
     return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
+def merge_parts(parts: DataFrame, by: list[str], sketch_col: str = "sketch", k: int = K, fan_in: int = 256) -> DataFrame:
+    """by and sketch_col: the sketch of all parts of each group.
+
+    A tree of merges: in each round about fan_in sketches at most meet, so no task holds the sketches of a large group.
+    """
+    left = parts.select(*by, sketch_col).distinct()  # equal sketches add nothing
+    most = left.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    merged_ = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(sketch_col, F.array().cast("array<bigint>")))))), 1, k).alias(sketch_col)
+    rounds = 0
+    while most > fan_in:
+        salts, rounds = -(-most // (fan_in // 2)), rounds + 1
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(sketch_col, F.lit(rounds)), F.lit(salts))).groupBy(*by, "_salt").agg(merged_).drop("_salt")
+        most = salts
+    return left.groupBy(*by).agg(merged_)
+
+
+def number_of_range(value, cuts: list[int]):
+    """How many of the cuts (ascending) lie below the value.
+
+    A grid over the cuts says how many lie in the cells before the value's; only those of its own cell are compared.
+    """
+    lo, hi, cells = float(cuts[0]), float(cuts[-1]), 4 * len(cuts)
+    width = (hi - lo) / cells or 1.0
+    cell = lambda v: min(cells - 1, max(0, math.floor((float(v) - lo) / width)))
+    own = [0] * cells
+    for c in cuts:
+        own[cell(c)] += 1
+    below = [0, *accumulate(own)][:-1]
+    numbers = lambda x: F.array(*map(F.lit, x))
+    at = F.floor(F.least(F.lit(cells - 1.0), F.greatest(F.lit(0.0), (value.cast("double") - F.lit(lo)) / F.lit(width)))).cast("int")
+    first = F.get(numbers(below), at)
+    return first + F.size(F.filter(F.slice(numbers(cuts), first + 1, F.get(numbers(own), at)), lambda c: c < value))
+
+
+def cuts_of(df: DataFrame, col: str, parts: int) -> list[int]:
+    """Values of col that cut the rows into about so many parts, the largest among them; few numbers."""
+    own = df.filter(F.col(col).isNotNull())
+    about = own.agg(F.percentile_approx(col, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
+    if not about:
+        return []
+    # percentiles are worked out in doubles: the cuts are the largest values that do not exceed them
+    found = own.groupBy(number_of_range(F.col(col), sorted({int(x) for x in about})).alias("r")).agg(F.max(col).alias("c")).collect()
+    return sorted(r.c for r in found)
+
+
 def with_next(docs: DataFrame, id_col: str, carried: list[str], parts: int, tie: str) -> DataFrame:
     """Each row with ``_next``, the carried columns of the row that follows in descending id order (after the last: the first).
 
-    The ids are cut into ranges at ids that the table holds, so the first row of a range is known by its id; the row after
-    a range's last is found by a join on the range, and no order over all rows is needed in one task.
+    The rows are cut into ranges at ids that the table holds (rows without an id, which come last, at ties that it holds), so
+    the first row of a range is known by its id; the row after a range's last is found by a join on the range, and no order
+    over all rows is needed in one task.
     """
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    docs = docs.withColumn("_id", ident)
-    cuts = docs.agg(F.percentile_approx("_id", [i / parts for i in range(parts + 1)], 10_000)).first()[0] or []  # parts + 1 numbers
-    cuts = sorted({*cuts, *([docs.agg(F.max("_id")).first()[0]] if cuts else [])}, reverse=True)
-    if not cuts:
-        return docs.withColumn("_next", F.struct(*carried)).drop("_id")
-    # range r holds the ids from cuts[r] down to above cuts[r + 1]
-    array = F.array(*[F.lit(c) for c in cuts])
-    bucket = F.size(F.filter(array, lambda c: c >= F.col("_id"))) - 1
-    held = docs.withColumn("_range", bucket)
-    order = Window.partitionBy("_range").orderBy(F.desc("_id"), tie)
-    first = held.filter(F.col("_id").isin([int(c) for c in cuts])).groupBy("_range").agg(F.min_by(F.struct(*carried), F.col(tie)).alias("_first"))
-    first = first.withColumn("_range", F.pmod(F.col("_range") - 1, F.lit(len(cuts))))
+    docs = docs.withColumns({"_id": F.col(id_col).cast("long"), "_none": F.col(id_col).isNull()})
+    ids, ties = cuts_of(docs, "_id", parts), cuts_of(docs.filter("_none"), tie, parts)
+    if not ids and not ties:
+        return docs.withColumn("_next", F.struct(*carried)).drop("_id", "_none")
+    # range r: with ids in descending order of the cuts, an id belongs to the smallest cut that is not below it; then those without an id, ascending
+    none = F.lit(-1).cast("int")
+    by_id = F.lit(len(ids) - 1) - number_of_range(F.col("_id"), ids) if ids else none
+    by_tie = F.lit(len(ids)) + number_of_range(F.col(tie), ties[:-1]) if len(ties) > 1 else F.lit(len(ids))
+    held = docs.withColumn("_range", F.when(F.col("_none"), by_tie).otherwise(by_id))
+    order = Window.partitionBy("_range").orderBy(F.desc_nulls_last("_id"), tie)
+    # a range of ids begins with a cut; one of ties may begin anywhere above the cut before
+    some = held.filter(F.col("_id").isin(ids) | F.col("_none")) if ids else held
+    first = some.groupBy("_range").agg(F.min_by(F.struct(*carried), F.col(tie)).alias("_first"))
+    total = len(ids) + (max(1, len(ties)) if ties else 0)
+    first = first.withColumn("_range", F.pmod(F.col("_range") - 1, F.lit(total)))
     seen = held.withColumn("_lead", F.lead(F.struct(*carried)).over(order)).join(first, "_range")
-    return seen.withColumn("_next", F.coalesce("_lead", "_first")).drop("_lead", "_first", "_range", "_id")
+    return seen.withColumn("_next", F.coalesce("_lead", "_first")).drop("_lead", "_first", "_range", "_id", "_none")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -89,6 +140,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def query(docs: DataFrame, k: int = K) -> DataFrame:
+    whole_numbers(docs, "doc_id")
     own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumns({"h": F.xxhash64("text"), "s": sketch(F.col("text"), k)})
     spark = docs.sparkSession
