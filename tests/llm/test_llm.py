@@ -565,7 +565,7 @@ def jaccard_components(texts):
     return label
 
 
-@pytest.mark.parametrize("limits", [{}, {"run_rows": 5, "chunk_rows": 4, "most_broadcast": 0, "sample_rows": 30}])
+@pytest.mark.parametrize("limits", [{}, {"run_rows": 5, "chunk_rows": 4, "most_broadcast": 0, "sample_rows": 30}, {"pair_rows": 1, "run_rows": 3}, {"pair_rows": 3}])
 def test_near_copies_of_the_pipeline(spark, limits):
     texts = list(EDGE)
     for k in range(12):
@@ -591,7 +591,12 @@ def test_bitmaps_refuse_no_similar_pair():
         s = r.integers(0, 2**63, int(r.integers(1, 300))).astype(np.uint64)
         sets += [np.unique(s), np.unique(np.concatenate((s[: int(len(s) * r.uniform(0.7, 1))], r.integers(0, 2**63, 9).astype(np.uint64))))]
     sets.sort(key=len)
-    bits = np.array([np.frombuffer(neardup.bitmap(s), np.uint64) for s in sets])
+    for size in (500, 520, 1020, 1030, 5000):
+        s = r.integers(0, 2**63, size).astype(np.uint64)
+        sets += [np.unique(s), np.unique(s[: int(size * 0.9)]), np.unique(np.concatenate((s, r.integers(0, 2**63, size // 10).astype(np.uint64)))), np.unique(r.integers(0, 2**63, size).astype(np.uint64))]
+    sets.sort(key=len)
+    bits = [neardup.bitmap(s) for s in sets]
+    assert len({len(b) for b in bits}) > 3
     label = neardup.alike(np.zeros(len(sets)), np.array([len(s) for s in sets]), bits)
     near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
     assert len(near) > 20 and all(label[i] == label[j] for i, j in near) and len(set(label)) > 50
