@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +17,32 @@ def foreign_names(text: Column, lexicon: list[str], allowed: Column) -> Column:
     return F.array_except(F.filter(F.array(*map(F.lit, lexicon)), lambda x: F.contains(text, x)), allowed)
 
 
+def numbers(text: Column) -> Column:
+    """The numbers of a text in order of their signs, repeats included, joined by commas: equal for equal multisets."""
+    return F.array_join(F.array_sort(F.regexp_extract_all(text, F.lit("([0-9]+)"))), ",")
+
+
+def span_ok(query: Column, start: Column, end: Column, source_text: Column) -> Column:
+    """Whether the query's code points from start (0-based) up to end are the source text, and there is one."""
+    held = F.substr(query, (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
+    return F.coalesce((start >= 0) & (end > start) & (held == source_text), F.lit(False))
+
+
+def introduced_entities(text: Column, pattern: str, canonical: Column) -> Column:
+    """The distinct matches of a pattern that are not among the canonical ones (an array), sorted."""
+    return F.array_sort(F.array_except(F.regexp_extract_all(text, F.lit(f"({pattern})")), canonical))
+
+
+def diversity(rows: DataFrame, dims: list[str], way: tuple[str, str], pairs: list[tuple[str, str]], signature: list[str]) -> DataFrame:
+    """(dim, value, n): the histogram of every dimension, the ways from a to b and between them, pairs of dimensions, and the
+    number of distinct signatures. One pass: every row is unpivoted to its values."""
+    a, b = map(F.col, way)
+    values = [*[(d, F.col(d)) for d in dims], ("directed", F.concat(a, F.lit(">"), b)), ("undirected", F.concat(F.least(a, b), F.lit("-"), F.greatest(a, b))), *[("pair", F.concat(x, F.lit("+"), y)) for x, y in pairs]]
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), v.alias("value")) for d, v in values])).alias("x")).select("x.*")
+    counts = long.filter("value is not null").groupBy("dim", "value").agg(F.count("*").alias("n"))
+    return counts.unionByName(rows.select(*signature).distinct().agg(F.lit("signature").alias("dim"), F.lit("distinct").alias("value"), F.count("*").alias("n")))
+
+
 def mentions(text: Column, literals: Column) -> Column:
     """An array of (literal, n, first): how often each occurs without overlap, and where first (1-based; 0 if nowhere)."""
     n = lambda x: ((F.length(text) - F.length(F.replace(text, x, F.lit("")))) / F.length(x)).cast("long")
@@ -28,19 +55,36 @@ def polarity_ok(text: Column, operator: Column, markers: dict[str, list[str]]) -
     return own.isNull() | F.exists(own, lambda m: F.contains(text, m))
 
 
-# Chinese digits in order, and the sign for ten.
-DIGITS, TEN = "零一二三四五六七八九", "十"
+# Chinese digits in order, and the signs for ten, a hundred, a thousand and ten thousand.
+DIGITS, PLACES, MYRIAD = "零一二三四五六七八九", ("", "十", "百", "千"), "万"
+
+
+def numeral(n: int) -> str:
+    """A number below 100,000,000 as a Chinese numeral; 10 to 19 begin with the sign for ten."""
+    if n >= 10_000:
+        low = n % 10_000
+        return numeral(n // 10_000) + MYRIAD + ((DIGITS[0] if low < 1000 else "") + _places(low) if low else "")
+    return _places(n).removeprefix(DIGITS[1]) if 10 <= n < 20 else _places(n)
+
+
+def _places(n: int) -> str:
+    digits, out = [int(c) for c in str(n)], ""
+    for place, d in zip(range(len(digits) - 1, -1, -1), digits, strict=True):
+        if d:
+            out += DIGITS[d] + PLACES[place]
+        elif out and not out.endswith(DIGITS[0]):
+            out += DIGITS[0]
+    return out.rstrip(DIGITS[0]) or DIGITS[0]
 
 
-def number_forms(spark: SparkSession, upto: int = 99) -> DataFrame:
-    """(value, form): the numbers from 0 to at most 99 in digits and as Chinese numerals; two has also its form of counting."""
+def number_forms(values: DataFrame, value: str) -> DataFrame:
+    """(value, form) of the distinct values: in digits and as a Chinese numeral; two has also its form of counting."""
 
-    def chinese(n: int) -> str:
-        tens, ones = divmod(n, 10)
-        return DIGITS[n] if n < 10 else (DIGITS[tens] if tens > 1 else "") + TEN + (DIGITS[ones] if ones else "")
+    @F.pandas_udf("array<string>")
+    def forms(n: pd.Series) -> pd.Series:
+        return n.map(lambda x: [str(x), numeral(int(x))] + (["两"] if x == 2 else []) if x is not None and x >= 0 else [])
 
-    rows = [(n, f) for n in range(min(upto, 99) + 1) for f in ([str(n), chinese(n)] + (["两"] if n == 2 else []))]
-    return spark.createDataFrame(rows, "value int, form string")
+    return values.select(F.col(value).alias("value")).distinct().select("value", F.explode(forms("value")).alias("form"))
 
 
 def rationale_errors(text: Column, seen_numbers: Column, needed: Column, low: int = 20, high: int = 400) -> Column:

@@ -4,12 +4,20 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymill.functions.columns import haversine_km, money
-from waymill.operators import scenarios, spatial
+from waymill.operators import catalog, scenarios, spatial
 from waymill.plans.base import Queries
 
 QUERIES = Queries()
 
 
+PLACES = "pl AS (SELECT vec_id AS place_id, label AS city, 30 + CAST(embedding[1] AS DOUBLE) AS lat, 120 + CAST(embedding[2] AS DOUBLE) AS lon FROM embeddings)"
+DIST = "2 * 6371.0088 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1.0)))"
+
+
+def places(t):
+    return t("embeddings").select(F.col("vec_id").alias("place_id"), F.col("label").alias("city"), (30 + F.get("embedding", F.lit(0)).cast("double")).alias("lat"), (120 + F.get("embedding", F.lit(1)).cast("double")).alias("lon"))
+
+
 @QUERIES.add("w1_normalize_places", "SELECT 'customer' AS kind, CAST(c_custkey AS VARCHAR) AS source_id, lower(trim(c_name)) AS name, c_nationkey AS city, c_acctbal AS price FROM customer WHERE trim(c_name) <> '' UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), lower(trim(s_name)), s_nationkey, s_acctbal FROM supplier WHERE trim(s_name) <> ''")
 def w1(t):
     one = lambda df, kind, p, key: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("source_id"), F.lower(F.trim(f"{p}_name")).alias("name"), F.col(f"{p}_nationkey").alias("city"), F.col(f"{p}_acctbal").alias("price")).filter("name <> ''")
@@ -26,27 +34,49 @@ def w3(t):
     return t("documents").groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"))
 
 
-Q4 = "q(query_id, part_name, low, high) AS (VALUES (1, 'a', CAST(NULL AS DOUBLE), CAST(1200 AS DOUBLE)), (2, 'e', CAST(1000 AS DOUBLE), CAST(NULL AS DOUBLE)), (3, 'o', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)))"
+#: Parts as places of three kinds with hours (some shut, some without), a category and a room number; suppliers as searches.
+PARTS = """pp AS (SELECT p_partkey AS place_id, ['attraction', 'restaurant', 'hotel'][p_partkey % 3 + 1] AS kind, p_size % 5 AS city, p_name AS name, CASE WHEN p_partkey % 13 <> 0 THEN p_retailprice END AS price,
+ CASE WHEN p_partkey % 17 = 0 THEN '不营业' WHEN p_partkey % 19 <> 0 THEN lpad(CAST(p_partkey % 24 AS VARCHAR), 2, '0') || ':00' END AS opens, lpad(CAST(p_partkey * 7 % 24 AS VARCHAR), 2, '0') || ':30' AS closes, p_type AS category, p_size % 4 AS room FROM part)"""
+MIN = lambda c: f"(TRY_CAST(substr({c}, 1, 2) AS INT) * 60 + TRY_CAST(substr({c}, 4, 2) AS INT))"
+OPEN_AT = f"(opens IS NOT NULL AND opens <> '不营业' AND CASE WHEN {MIN('opens')} <= {MIN('closes')} THEN {MIN('asked')} BETWEEN {MIN('opens')} AND {MIN('closes')} ELSE {MIN('asked')} >= {MIN('opens')} OR {MIN('asked')} <= {MIN('closes')} END)"
+SEARCHES = """ss AS (SELECT s_suppkey AS query_id, ['attraction', 'restaurant', 'hotel'][s_suppkey % 3 + 1] AS qkind, s_nationkey % 5 AS qcity, CASE WHEN s_suppkey % 4 <> 0 THEN substr(' AeO', s_suppkey % 4 + 1, 1) END AS qname, CASE WHEN s_suppkey % 2 = 0 THEN 950.0 END AS low, CASE WHEN s_suppkey % 5 = 0 THEN 1500.0 END AS high,
+ CASE WHEN s_suppkey % 7 < 3 THEN '12:30' END AS asked, s_suppkey % 2 = 1 AS by_price, CASE WHEN s_suppkey % 7 = 6 THEN ' Standard ' END AS qcategory, CASE WHEN s_suppkey % 11 = 0 THEN 2 END AS qroom FROM supplier)"""
+
+
+def part_places(t):
+    clock = lambda h, m: F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(m))
+    k = F.col("p_partkey")
+    opens = F.when(k % 17 == 0, catalog.CLOSED).when(k % 19 != 0, clock(k % 24, ":00"))
+    return t("part").select(k.alias("place_id"), kind_of(k).alias("kind"), (F.col("p_size") % 5).alias("city"), F.col("p_name").alias("name"), F.when(k % 13 != 0, F.col("p_retailprice")).alias("price"), opens.alias("opens"), clock(k * 7 % 24, ":30").alias("closes"), F.col("p_type").alias("category"), (F.col("p_size") % 4).alias("room"))
+
+
+def kind_of(key):
+    return F.get(F.array(*map(F.lit, ("attraction", "restaurant", "hotel"))), (key % 3).cast("int"))
 
 
-@QUERIES.add("w4_place_search", f"WITH {Q4}, m AS (SELECT query_id, p_partkey, p_retailprice, row_number() OVER (PARTITION BY query_id ORDER BY p_retailprice, p_partkey) AS place FROM q JOIN part ON contains(lower(p_name), part_name) AND (low IS NULL OR p_retailprice >= low) AND (high IS NULL OR p_retailprice <= high)) SELECT * FROM m WHERE place <= 20")
+def searches(t):
+    k = F.col("s_suppkey")
+    return t("supplier").select(k.alias("query_id"), kind_of(k).alias("kind"), (F.col("s_nationkey") % 5).alias("city"), F.when(k % 4 != 0, F.substr(F.lit(" AeO"), (k % 4 + 1).cast("int"), F.lit(1))).alias("name"), F.when(k % 2 == 0, 950.0).alias("low"), F.when(k % 5 == 0, 1500.0).alias("high"), F.when(k % 7 < 3, "12:30").alias("at"), (k % 2 == 1).alias("by_price"), F.when(k % 7 == 6, " Standard ").alias("category"), F.when(k % 11 == 0, 2).alias("room"))
+
+
+@QUERIES.add("w4_place_search", f"""WITH {PARTS}, {SEARCHES}, m AS (SELECT query_id, place_id, price, row_number() OVER (PARTITION BY query_id ORDER BY by_price AND price IS NULL, CASE WHEN by_price THEN price END NULLS FIRST, lower(trim(name)), CAST(place_id AS VARCHAR)) AS place FROM ss JOIN pp ON kind = qkind AND city = qcity
+ WHERE (low IS NULL OR coalesce(price >= low, false)) AND (high IS NULL OR coalesce(price <= high, false)) AND (qname IS NULL OR contains(lower(name), lower(qname))) AND (qcategory IS NULL OR contains(lower(category), 'standard')) AND (qroom IS NULL OR room = qroom) AND (asked IS NULL OR {OPEN_AT})) SELECT * FROM m WHERE place <= 20""")
 def w4(t):
-    p = t("part")
-    q = p.sparkSession.createDataFrame([(1, "a", None, 1200.0), (2, "e", 1000.0, None), (3, "o", None, None)], "query_id int, part_name string, low double, high double")
-    fits = F.contains(F.lower("p_name"), "part_name") & (F.col("low").isNull() | (F.col("p_retailprice") >= F.col("low"))) & (F.col("high").isNull() | (F.col("p_retailprice") <= F.col("high")))
-    w = Window.partitionBy("query_id").orderBy("p_retailprice", "p_partkey")
-    return p.join(F.broadcast(q), fits).select("query_id", "p_partkey", "p_retailprice", F.row_number().over(w).alias("place")).filter("place <= 20")  # the page of a search
+    return catalog.search_places(part_places(t), searches(t), ["category"], ["room"], page=20)
 
 
-@QUERIES.add("w8_facets", "SELECT p_brand, string_agg(DISTINCT f, ',' ORDER BY f) AS facets FROM (SELECT p_brand, unnest(string_split(p_type, ' ')) AS f FROM part) WHERE f <> '' GROUP BY p_brand")
+@QUERIES.add("w8_facets", "SELECT p_brand, string_agg(DISTINCT f, ';' ORDER BY f) AS facets FROM (SELECT p_brand, trim(unnest(regexp_split_to_array(replace(p_type, ' ', [', ', '、', ' | ', '/，'][p_partkey % 4 + 1]) || ',', '[,，、|/]+'))) AS f FROM part) WHERE f <> '' GROUP BY p_brand")
 def w8(t):
-    return t("part").select("p_brand", F.explode(F.split("p_type", " ")).alias("f")).filter("f <> ''").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("f")), ",").alias("facets"))
+    sign = F.get(F.array(*map(F.lit, (", ", "、", " | ", "/，"))), (F.col("p_partkey") % 4).cast("int"))
+    p = t("part").withColumn("field", F.concat(F.replace("p_type", F.lit(" "), sign), F.lit(",")))
+    return catalog.facets(p, "field", ["p_brand"]).withColumn("facets", F.array_join("facets", ";"))
 
 
-@QUERIES.add("w9_open_at_event_hour", "SELECT event_type, count(*) FILTER (WHERE extract(hour FROM ts) >= 22 OR extract(hour FROM ts) <= 6) AS n_open, count(*) AS n FROM events GROUP BY event_type")
+@QUERIES.add("w9_open_at_event_hour", f"WITH {PARTS}, e AS (SELECT event_id, strftime(ts, '%H:%M') AS asked, user_id FROM events) SELECT event_id, coalesce({OPEN_AT}, false) AS open FROM e LEFT JOIN pp ON place_id = user_id")
 def w9(t):
-    h = F.hour("ts")
-    return t("events").groupBy("event_type").agg(F.count(F.when((h >= 22) | (h <= 6), 1)).alias("n_open"), F.count("*").alias("n"))
+    e = t("events").select("event_id", F.date_format("ts", "HH:mm").alias("at"), F.col("user_id").alias("place_id"))
+    j = e.join(part_places(t).select("place_id", "opens", "closes"), "place_id", "left")
+    return j.select("event_id", catalog.open_at(F.col("opens"), F.col("closes"), F.col("at")).alias("open"))
 
 
 W10 = """WITH m AS (SELECT a.n_nationkey AS origin, b.n_nationkey AS destination, l_orderkey, l_linenumber, (l_partkey * 7) % 1440 AS departs, l_extendedprice AS cost, l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON b.n_nationkey = (a.n_nationkey + 3) % 25 WHERE (l_partkey * 7) % 1440 >= 600),
@@ -61,14 +91,6 @@ def w10(t):
     return m.withColumn("place", F.row_number().over(w)).filter("place <= 5").select("origin", "destination", "departs", "cost", "place")
 
 
-PLACES = "pl AS (SELECT vec_id AS place_id, label AS city, 30 + CAST(embedding[1] AS DOUBLE) AS lat, 120 + CAST(embedding[2] AS DOUBLE) AS lon FROM embeddings)"
-DIST = "2 * 6371.0088 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1.0)))"
-
-
-def places(t):
-    return t("embeddings").select(F.col("vec_id").alias("place_id"), F.col("label").alias("city"), (30 + F.get("embedding", F.lit(0)).cast("double")).alias("lat"), (120 + F.get("embedding", F.lit(1)).cast("double")).alias("lon"))
-
-
 @QUERIES.add("w11_nearby", f"WITH {PLACES}, d AS (SELECT a.place_id AS anchor_id, b.place_id, {DIST} AS km FROM pl a JOIN pl b ON a.city = b.city AND a.place_id <> b.place_id), r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY km, place_id) AS place FROM d WHERE km <= 10) SELECT anchor_id, place_id, round(km, 3) AS km, place FROM r WHERE place <= 10")
 def w11(t):
     p = places(t)
@@ -87,10 +109,11 @@ def w13(t):
     return p.select("place_id").join(n, "place_id", "left").select("place_id", F.coalesce("n", F.lit(0)).alias("n_neighbors"))
 
 
-@QUERIES.add("w15_route_anchors", "SELECT n_name, CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS centroid, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+@QUERIES.add("w15_route_anchors", f"WITH {PLACES}, c AS (SELECT city, avg(lat) AS lat, avg(lon) AS lon FROM pl GROUP BY city) SELECT o_orderkey, round(a.lat, 6) AS origin_lat, round(a.lon, 6) AS origin_lon, round(b.lat, 6) AS destination_lat, round(b.lon, 6) AS destination_lon FROM orders LEFT JOIN c a ON a.city = o_custkey % 11 LEFT JOIN c b ON b.city = o_orderkey % 11")
 def w15(t):
-    s, n = t("supplier"), t("nation")
-    return s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).groupBy("n_name").agg((F.sum(money(F.col("s_acctbal"))).cast("double") / F.count("*")).alias("centroid"), F.count("*").alias("n"))
+    legs = t("orders").select("o_orderkey", (F.col("o_custkey") % 11).alias("origin"), (F.col("o_orderkey") % 11).alias("destination"))
+    at = [f"{side}_{c}" for side in ("origin", "destination") for c in ("lat", "lon")]
+    return catalog.attach_anchors(legs, places(t)).select("o_orderkey", *[F.round(c, 6).alias(c) for c in at])
 
 
 @QUERIES.add("w18_scenario_overlay", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 3 THEN p_retailprice * 1.25 ELSE p_retailprice END AS price FROM part WHERE p_partkey % 7 <> 0 AND CASE WHEN p_partkey % 10 = 3 THEN p_retailprice * 1.25 ELSE p_retailprice END <= 1500")
@@ -109,45 +132,61 @@ def w20(t):
 
 @QUERIES.add("w25_missing_partitions", "SELECT a.n_name AS origin, b.n_name AS destination FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey WHERE NOT EXISTS (SELECT 1 FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_nationkey = a.n_nationkey AND o_custkey % 25 = b.n_nationkey)")
 def w25(t):
+    """The expected pairs are an inventory of their own: each city with the 24 after it, by number."""
     n, c, o = t("nation"), t("customer"), t("orders")
     a, b = n.select(F.col("n_nationkey").alias("x"), F.col("n_name").alias("origin")), n.select(F.col("n_nationkey").alias("y"), F.col("n_name").alias("destination"))
     have = c.join(o, c.c_custkey == o.o_custkey).select(F.col("c_nationkey").alias("x"), (F.col("o_custkey") % 25).alias("y")).distinct()
-    return a.join(F.broadcast(b), F.col("x") != F.col("y")).join(have, ["x", "y"], "left_anti").select("origin", "destination")
+    expected = a.withColumn("y", F.explode(F.transform(F.sequence(F.lit(1), F.lit(24)), lambda k: ((F.col("x") + k) % 25).cast("int")))).join(b, "y")
+    return expected.join(have, ["x", "y"], "left_anti").select("origin", "destination")
 
 
-@QUERIES.add("w5_hour_bounds", "SELECT p_partkey, p_size FROM part WHERE contains(lower(p_name), 'a') AND p_size BETWEEN 5 AND 20")
+@QUERIES.add("w5_hour_bounds", f"WITH {PARTS}, {SEARCHES} SELECT query_id, place_id, place_id % 4 + 1 AS min_hours, place_id % 4 + 3 AS max_hours FROM ss JOIN pp ON kind = qkind AND city = qcity WHERE kind = 'attraction' AND (low IS NULL OR coalesce(price >= low, false)) AND (high IS NULL OR coalesce(price <= high, false)) AND (qname IS NULL OR contains(lower(name), lower(qname))) AND (asked IS NULL OR {OPEN_AT}) AND place_id % 4 + 1 <= 2 + query_id % 3")
 def w5(t):
-    return t("part").filter(F.contains(F.lower("p_name"), F.lit("a")) & F.col("p_size").between(5, 20)).select("p_partkey", "p_size")
+    """Attractions whose recommended hours fit the time that a search has."""
+    p = part_places(t).withColumns({"min_hours": F.col("place_id") % 4 + 1, "max_hours": F.col("place_id") % 4 + 3})
+    found = catalog.search_places(p, searches(t).filter("kind = 'attraction'"))
+    return found.join(p.select("place_id", "min_hours", "max_hours"), "place_id").filter("min_hours <= 2 + query_id % 3").select("query_id", "place_id", "min_hours", "max_hours")
 
 
-@QUERIES.add("w7_hotel_search", "SELECT p_partkey, p_size % 4 AS room_type FROM part WHERE contains(lower(p_type), 'standard') AND p_size % 4 = 2")
+@QUERIES.add("w7_hotel_search", f"WITH {PARTS}, {SEARCHES} SELECT query_id, place_id FROM ss JOIN pp ON kind = qkind AND city = qcity WHERE kind = 'hotel' AND contains(lower(category), ['standard', 'promo', 'economy'][query_id % 3 + 1]) AND room = query_id % 4")
 def w7(t):
-    return t("part").withColumn("room_type", F.col("p_size") % 4).filter(F.contains(F.lower("p_type"), F.lit("standard")) & (F.col("room_type") == 2)).select("p_partkey", "room_type")
+    none = F.lit(None)
+    hotels = searches(t).withColumns({"kind": F.lit("hotel"), "name": none.cast("string"), "low": none.cast("double"), "high": none.cast("double"), "at": none.cast("string"), "category": F.get(F.array(*map(F.lit, ("STANDARD", " promo", "Economy"))), (F.col("query_id") % 3).cast("int")), "room": F.col("query_id") % 4})
+    return catalog.search_places(part_places(t), hotels.filter("query_id % 3 = 2"), ["category"], ["room"]).select("query_id", "place_id")
 
 
-W22 = """WITH c AS (SELECT l_orderkey, l_partkey, l_extendedprice, (l_partkey * 7) % 1440 AS arrives FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice + 0.8 * arrives, l_partkey) AS place FROM c WHERE arrives <= 840)
-SELECT l_orderkey, l_partkey, place FROM r WHERE place <= 3"""
+W22 = """WITH tr AS (SELECT l_orderkey * 8 + l_linenumber AS id, min(l_suppkey) % 25 AS origin, min(l_partkey) % 25 AS destination, min(l_partkey) * 7 % 1440 AS departs, (min(l_partkey) * 7 + 60 + min(l_suppkey) * 11 % 500) % 1440 AS arrives, min(l_extendedprice) AS cost FROM lineitem GROUP BY ALL),
+le AS (SELECT *, 'outbound' AS leg FROM tr WHERE arrives > departs AND arrives <= 840 UNION ALL SELECT *, 'return' FROM tr WHERE arrives > departs AND departs >= 840),
+ke AS (SELECT *, 'early' AS strategy, CAST(CASE leg WHEN 'outbound' THEN arrives ELSE departs END AS DOUBLE) AS a, cost AS b FROM le UNION ALL SELECT *, 'cheap', cost, arrives - departs FROM le UNION ALL SELECT *, 'short', arrives - departs, cost FROM le UNION ALL SELECT *, 'balanced', cost + (arrives - departs) * CAST(0.8 AS DOUBLE), arrives - departs FROM le),
+be AS (SELECT *, row_number() OVER (PARTITION BY origin, destination, leg, strategy ORDER BY a, b, id) AS place FROM ke QUALIFY place <= 3),
+sl AS (SELECT c_custkey AS slot, c_nationkey AS o, (c_nationkey + 1 + c_custkey % 24) % 25 AS d, ['early', 'cheap', 'short', 'balanced'][c_custkey % 4 + 1] AS strategy FROM customer),
+pk AS (SELECT slot, leg, id, place, row_number() OVER (PARTITION BY slot, leg ORDER BY sha256('w22' || chr(31) || slot || chr(31) || leg || chr(31) || id)) AS r FROM sl JOIN be ON be.strategy = sl.strategy AND be.origin = CASE leg WHEN 'outbound' THEN o ELSE d END AND be.destination = CASE leg WHEN 'outbound' THEN d ELSE o END)
+SELECT slot, leg, id AS transport_id, place FROM pk WHERE r = 1 AND slot IN (SELECT slot FROM pk GROUP BY slot HAVING count(DISTINCT leg) = 2)"""
 
 
 @QUERIES.add("w22_transport_choice", W22)
 def w22(t):
-    c = t("lineitem").withColumn("arrives", (F.col("l_partkey") * 7) % 1440).filter("arrives <= 840")
-    w = Window.partitionBy("l_orderkey").orderBy(F.col("l_extendedprice") + 0.8 * F.col("arrives"), "l_partkey")
-    return c.select("l_orderkey", "l_partkey", F.row_number().over(w).alias("place")).filter("place <= 3")
+    tr = t("lineitem").groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("transport_id")).agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"), F.min("l_extendedprice").alias("cost"))
+    tr = tr.select("transport_id", (F.col("s") % 25).alias("origin"), (F.col("p") % 25).alias("destination"), (F.col("p") * 7 % 1440).alias("departs"), ((F.col("p") * 7 + 60 + F.col("s") * 11 % 500) % 1440).alias("arrives"), "cost")
+    strategy = F.get(F.array(*map(F.lit, ("early", "cheap", "short", "balanced"))), (F.col("c_custkey") % 4).cast("int"))
+    slots = t("customer").select(F.col("c_custkey").alias("slot"), F.col("c_nationkey").alias("origin"), ((F.col("c_nationkey") + 1 + F.col("c_custkey") % 24) % 25).alias("destination"), strategy.alias("strategy"))
+    return catalog.choose_transports(slots, tr, "w22")
 
 
-@QUERIES.add("w16_route_estimates", f"WITH {PLACES}, p AS (SELECT a.place_id AS origin, b.place_id AS destination, {DIST} AS km FROM pl a JOIN pl b ON b.place_id = a.place_id + 1) SELECT origin, destination, round(km, 6) AS km, CAST(ceil(round(km, 6) / 40 * 60) AS BIGINT) AS taxi_minutes, round(CASE WHEN km <= 3 THEN 13 ELSE 13 + 2.3 * (km - 3) END, 4) AS taxi_fare FROM p")
+@QUERIES.add("w16_route_estimates", f"WITH {PLACES}, p AS (SELECT a.place_id AS origin, b.place_id AS destination, {DIST} AS km, m.mode, m.speed FROM pl a JOIN pl b ON a.city = b.city AND a.place_id < b.place_id, (VALUES ('walk', 5.0), ('taxi', 40.0)) m(mode, speed)) SELECT origin, destination, mode, round(km / CAST(speed AS DOUBLE) * 60, 3) AS minutes, round(CASE WHEN mode = 'walk' THEN 0 WHEN km <= 3 THEN 13 ELSE 13 + (km - 3) * CAST(2.3 AS DOUBLE) END, 2) AS cost, CAST(floor(1380 + km / CAST(speed AS DOUBLE) * 60) AS BIGINT) % 1440 AS end_min FROM p WHERE km <= 20")
 def w16(t):
-    a, b = places(t), places(t).select((F.col("place_id") - 1).alias("place_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    j = a.join(b, "place_id").select(F.col("place_id").alias("origin"), (F.col("place_id") + 1).alias("destination"), km.alias("d"))
-    fare = F.when(F.col("d") <= 3, 13.0).otherwise(13 + 2.3 * (F.col("d") - 3))
-    return j.select("origin", "destination", F.round("d", 6).alias("km"), F.ceil(F.round("d", 6) / 40 * 60).alias("taxi_minutes"), F.round(fare, 4).alias("taxi_fare"))
+    """The pairs of a city's places within 20 km, on foot and by taxi, from 23:00 on."""
+    pairs = spatial.within(places(t), places(t), 20.0).filter("anchor_id < place_id").select(F.col("anchor_id").alias("origin"), F.col("place_id").alias("destination"), "km", F.explode(F.array(F.lit("walk"), F.lit("taxi"))).alias("_m"))
+    return catalog.estimate_routes(pairs, F.col("_m"), F.lit(1380)).select("origin", "destination", "mode", F.round("minutes", 3).alias("minutes"), "cost", "end_min")
 
 
-@QUERIES.add("w6_restaurant_search", "SELECT p_partkey, p_type, p_retailprice FROM part WHERE contains(lower(p_type), 'promo') AND (contains(lower(p_name), 'a') OR contains(lower(p_name), 'o'))")
+@QUERIES.add("w6_restaurant_search", f"WITH {PARTS}, {SEARCHES} SELECT query_id, place_id, price FROM ss JOIN pp ON kind = qkind AND city = qcity WHERE kind = 'restaurant' AND contains(lower(category), ['standard', 'promo', 'economy'][query_id % 3 + 1]) AND contains(lower(name), substr('aeo', query_id % 3 + 1, 1)) AND (asked IS NULL OR {OPEN_AT})")
 def w6(t):
-    return t("part").filter(F.contains(F.lower("p_type"), F.lit("promo")) & (F.contains(F.lower("p_name"), F.lit("a")) | F.contains(F.lower("p_name"), F.lit("o")))).select("p_partkey", "p_type", "p_retailprice")
+    """By cuisine (category) and food (name), open at the time asked for."""
+    none = F.lit(None).cast("double")
+    pick = lambda *x: F.get(F.array(*map(F.lit, x)), (F.col("query_id") % 3).cast("int"))
+    q = searches(t).withColumns({"name": pick("a", "e", "o"), "low": none, "high": none, "category": pick("standard", "promo", "economy")})
+    return catalog.search_places(part_places(t), q.filter("kind = 'restaurant'"), ["category"]).select("query_id", "place_id", "price")
 
 
 W14 = f"""WITH {PLACES}, d AS (SELECT a.place_id AS anchor_id, b.place_id, {DIST} AS km FROM pl a JOIN pl b ON a.city = b.city AND a.place_id <> b.place_id), l(r) AS (VALUES (2), (5), (10), (20), (50)),
@@ -188,6 +227,15 @@ def w21(t):
     return t("customer").select("c_custkey", page("c_nationkey", "c_mktsegment").alias("facet_page"), page("c_nationkey").alias("price_page"))
 
 
-@QUERIES.add("w23_candidate_ranking", f"WITH {PLACES}, n AS (SELECT a.city, a.place_id, count(b.place_id) AS n_neighbors FROM pl a LEFT JOIN pl b ON a.city = b.city AND a.place_id <> b.place_id AND {DIST} <= 5 GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY n_neighbors DESC, place_id) AS place FROM n) WHERE place <= 5")
+@QUERIES.add("w23_candidate_ranking", f"""WITH {PLACES}, att AS (SELECT *, ['attraction', 'restaurant', 'hotel'][place_id % 3 + 1] AS kind, CASE WHEN place_id % 7 <> 0 THEN place_id * 37 % 400 END AS price, CASE WHEN place_id % 3 <> 2 THEN place_id * 53 % 1300 END AS opens, CASE WHEN place_id % 3 <> 2 THEN place_id * 53 % 1300 + 90 END AS closes FROM pl),
+d AS (SELECT a.city, a.place_id AS anchor_id, b.place_id, {DIST} AS km FROM pl a JOIN pl b ON a.city = b.city AND a.place_id <> b.place_id), n AS (SELECT anchor_id, count(*) AS n FROM d WHERE km <= 30 GROUP BY ALL), an AS (SELECT city, arg_max(anchor_id, (n, -anchor_id)) AS anchor_id FROM n JOIN pl ON place_id = anchor_id GROUP BY city),
+f AS (SELECT att.*, coalesce(n.n, 0) AS n, (SELECT CASE WHEN min(km) <= 2 THEN 2 WHEN min(km) <= 20 THEN 20 WHEN min(km) <= 30 THEN 30 END FROM d JOIN an USING (anchor_id) WHERE d.place_id = att.place_id) AS ring FROM att LEFT JOIN n ON n.anchor_id = att.place_id WHERE price >= 0 AND (kind = 'hotel' OR least(closes, 1260) - greatest(opens, 540) >= 60))
+SELECT city, kind, place_id, place FROM (SELECT *, row_number() OVER (PARTITION BY city, kind ORDER BY CASE kind WHEN 'restaurant' THEN ring ELSE -n END, price, place_id) AS place FROM f WHERE kind <> 'restaurant' OR ring IS NOT NULL) WHERE place <= 5""")
 def w23(t):
-    return scenarios.rank_by_neighbors(places(t), spatial.within(places(t), places(t), 5.0), 5)
+    k, pl = F.col("place_id"), places(t)
+    hours = lambda more: F.when(k % 3 != 2, k * 53 % 1300 + more)
+    at = pl.select("place_id", "city", kind_of(k).alias("kind"), F.when(k % 7 != 0, k * 37 % 400).alias("price"), hours(0).alias("opens"), hours(90).alias("closes"))
+    pairs = spatial.within(pl, pl, 30.0)
+    n = pairs.groupBy(F.col("anchor_id").alias("place_id")).agg(F.count("*").alias("n"))
+    anchors = pl.join(n, "place_id").groupBy("city").agg(F.max_by("place_id", F.struct("n", -k)).alias("anchor_id"))
+    return catalog.rank_candidates(at, pairs, anchors)
\ No newline at end of file

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymill.functions.columns import normalize_question
-from waymill.operators import texts
+from waymill.operators import similarity, texts
 from waymill.plans.base import Queries
 
 QUERIES = Queries()
@@ -15,9 +15,13 @@ def x1(t):
     return t("documents").select("doc_id", F.char_length("text").between(30, 500).alias("length_ok"), (~F.col("text").rlike("[{}`]")).alias("artifact_free"))
 
 
-@QUERIES.add("x4_numbers", "SELECT conv_id, turn, array_to_string(list_sort(regexp_extract_all(text, '[0-9]+')), ',') AS numbers FROM conversations")
+@QUERIES.add("x4_numbers", """WITH n AS (SELECT doc_id, string_agg(x, ',' ORDER BY x) AS own FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS x FROM documents) GROUP BY doc_id), p AS (SELECT doc_id, coalesce(own, '') AS own, lag(coalesce(own, '')) OVER (PARTITION BY source, lang ORDER BY doc_id) AS before FROM documents LEFT JOIN n USING (doc_id))
+SELECT doc_id, own = before AS equal FROM p WHERE before IS NOT NULL""")
 def x4(t):
-    return t("conversations").select("conv_id", "turn", F.array_join(F.array_sort(F.regexp_extract_all("text", F.lit("([0-9]+)"))), ",").alias("numbers"))
+    """Each document as the rewrite of the one before it in its source and language: whether both hold the same numbers, as often."""
+    w = Window.partitionBy("source", "lang").orderBy("doc_id")
+    d = t("documents").withColumn("own", texts.numbers(F.col("text"))).withColumn("before", F.lag("own").over(w))
+    return d.filter("before is not null").select("doc_id", (F.col("own") == F.col("before")).alias("equal"))
 
 
 @QUERIES.add("x8_scope", "SELECT doc_id, regexp_matches(text, '(^|[^a-z])(all|every|each|that|this)([^a-z]|$)') AS scoped FROM documents")
@@ -30,9 +34,27 @@ def x11(t):
     return t("documents").groupBy(F.md5(normalize_question(F.col("text"))).alias("key_hash")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@QUERIES.add("x12_benchmark_reuse", "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM benchmark)")
+@QUERIES.add("x12_benchmark_reuse", "WITH b AS (SELECT DISTINCT trim(x) AS x FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM benchmark) WHERE trim(x) <> ''), l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS x FROM documents) SELECT doc_id, count(DISTINCT x) AS n FROM l WHERE x IN (SELECT x FROM b) GROUP BY doc_id")
 def x12(t):
-    return t("documents").withColumn("h", F.sha2("text", 256)).join(t("benchmark").select(F.sha2("text", 256).alias("h")), "h", "left_semi").select("doc_id")
+    """Documents that hold a benchmark text as one of their lines, word for word, and how many."""
+    line = lambda df: df.withColumn("x", F.explode(F.split("text", "\n"))).withColumn("h", F.sha2(F.trim("x"), 256)).filter(F.trim("x") != "")
+    hit = line(t("documents")).select("doc_id", "h").join(line(t("benchmark")).select("h"), "h", "left_semi")
+    return hit.groupBy("doc_id").agg(F.countDistinct("h").alias("n"))
+
+
+@QUERIES.add("x13_near_duplicates")
+def x13(t):
+    """Near copies among the user turns: class, links and best ratio of each distinct text."""
+    c = t("conversations").filter("role = 'user'").withColumn("id", F.col("conv_id") * 10_000 + F.col("turn"))
+    return similarity.near_duplicates(c, "id", "text")
+
+
+@QUERIES.add("x13_shingle_jaccard", """WITH u AS (SELECT text, min(conv_id * 10000 + turn) AS id FROM conversations WHERE role = 'user' AND length(text) < 60 GROUP BY text), s AS (SELECT DISTINCT id, substr(text, CAST(i AS BIGINT), 4) AS g FROM u, unnest(range(1, length(text) - 2)) r(i)), z AS (SELECT id, count(*) AS n FROM s GROUP BY id)
+SELECT a.id AS a, b.id AS b, round(count(*) / (za.n + zb.n - count(*)), 6) AS jaccard FROM s a JOIN s b ON a.g = b.g AND a.id < b.id JOIN z za ON za.id = a.id JOIN z zb ON zb.id = b.id GROUP BY a.id, b.id, za.n, zb.n HAVING count(*) * 5 >= 4 * (za.n + zb.n - count(*))""")
+def x13_jaccard(t):
+    """Pairs of different short user turns whose 4-character shingles have a Jaccard similarity of 0.8 or more, by rare prefixes."""
+    c = t("conversations").filter("role = 'user' and length(text) < 60").groupBy("text").agg(F.min(F.col("conv_id") * 10_000 + F.col("turn")).alias("id"))
+    return similarity.jaccard_pairs(c, "id", "text")
 
 
 @QUERIES.add("x14_opening_concentration", "SELECT lang, max(n) AS most, CAST(sum(n) AS BIGINT) AS total, round(max(n) / sum(n), 6) AS share FROM (SELECT lang, substr(text, 1, 20) AS opening, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang")
@@ -47,9 +69,14 @@ def x15(t):
     return t("documents").groupBy("source").agg(F.count("*").alias("n"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.sum(n).alias("chars"))
 
 
-@QUERIES.add("x16_diversity_report", "SELECT 'status' AS dim, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+@QUERIES.add("x16_diversity_report", """WITH o AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, CAST(year(o_orderdate) AS VARCHAR) AS year, CAST(month(o_orderdate) AS VARCHAR) AS month, c_mktsegment AS segment, n_name AS nation, r_name AS region, CAST(o_custkey % 25 AS VARCHAR) AS origin, CAST(o_orderkey % 25 AS VARCHAR) AS destination FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+u AS (UNPIVOT o ON status, priority, year, month, segment, nation, region, origin, destination INTO NAME dim VALUE value)
+SELECT dim, value, count(*) AS n FROM u GROUP BY ALL UNION ALL SELECT 'directed', origin || '>' || destination, count(*) FROM o GROUP BY 2 UNION ALL SELECT 'undirected', least(origin, destination) || '-' || greatest(origin, destination), count(*) FROM o GROUP BY 2
+UNION ALL SELECT 'signature', 'distinct', count(DISTINCT (status, priority, year, month, segment, nation)) FROM o UNION ALL SELECT 'pair', status || '+' || priority, count(*) FROM o GROUP BY 2 UNION ALL SELECT 'pair', segment || '+' || priority, count(*) FROM o GROUP BY 2""")
 def x16(t):
-    return t("orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).unpivot([], ["status", "priority"], "dim", "value").groupBy("dim", "value").agg(F.count("*").alias("n"))
+    j = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    o = j.select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").cast("string").alias("year"), F.month("o_orderdate").cast("string").alias("month"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"), (F.col("o_custkey") % 25).cast("string").alias("origin"), (F.col("o_orderkey") % 25).cast("string").alias("destination"))
+    return texts.diversity(o, [*o.columns], ("origin", "destination"), [("status", "priority"), ("segment", "priority")], ["status", "priority", "year", "month", "segment", "nation"])
 
 
 @QUERIES.add("x20_comparison_contract", "SELECT doc_id, contains(text, 'the') AND contains(text, 'and') AND contains(text, 'of') AS fulfilled FROM documents")
@@ -57,15 +84,22 @@ def x20(t):
     return t("documents").select("doc_id", (F.contains("text", F.lit("the")) & F.contains("text", F.lit("and")) & F.contains("text", F.lit("of"))).alias("fulfilled"))
 
 
-@QUERIES.add("t2_span_check", "SELECT doc_id, substr(text, 6, 10) AS quoted, strpos(text, substr(text, 6, 10)) = 6 AS first_here FROM documents WHERE length(text) >= 15")
+@QUERIES.add("t2_span_check", "WITH w AS (SELECT conv_id, turn, text AS query, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), s AS (SELECT *, regexp_extract(query, '[^ ]{4,}') AS source_text, strpos(query, regexp_extract(query, '[^ ]{4,}')) - 1 + turn % 2 AS start FROM w) SELECT conv_id, turn, start >= 0 AND length(source_text) > 0 AND substr(query, CAST(start + 1 AS BIGINT), length(source_text)) = source_text AS ok FROM s")
 def t2(t):
-    q = F.substring("text", 6, 10)
-    return t("documents").filter(F.char_length("text") >= 15).select("doc_id", q.alias("quoted"), (F.position(q, F.col("text")) == 6).alias("first_here"))
+    """Spans of each turn's first long word; those of odd turns are off by one, and must be found wrong."""
+    word = F.regexp_extract("text", "[^ ]{4,}", 0)
+    spans = t("conversations").select("conv_id", "turn", F.col("text").alias("query"), word.alias("source_text"), (F.position(word, F.col("text")) - 1 + F.col("turn") % 2).alias("start"))
+    return spans.select("conv_id", "turn", texts.span_ok(F.col("query"), F.col("start"), F.col("start") + F.length("source_text"), F.col("source_text")).alias("ok"))
 
 
-@QUERIES.add("x10_introduced_entities", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS n_entities FROM documents")
+@QUERIES.add("x10_introduced_entities", """WITH c AS (SELECT conv_id, turn, role, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS e FROM conversations), k AS (SELECT conv_id, list(DISTINCT x) AS known FROM (SELECT conv_id, unnest(e) AS x FROM c WHERE role <> 'assistant') GROUP BY conv_id)
+SELECT conv_id, turn, coalesce(list_aggregate(list_sort(list_filter(e, lambda x: NOT list_contains(coalesce(known, []), x))), 'string_agg', ','), '') AS introduced FROM c LEFT JOIN k USING (conv_id) WHERE role = 'assistant'""")
 def x10(t):
-    return t("documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{6,})")))).cast("long").alias("n_entities"))
+    """Entities of answers that no other turn of the conversation names."""
+    c = t("conversations").withColumn("e", F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{3,})"))))
+    known = c.filter("role <> 'assistant'").select("conv_id", F.explode("e").alias("x")).groupBy("conv_id").agg(F.collect_set("x").alias("known"))
+    j = c.filter("role = 'assistant'").join(known, "conv_id", "left")
+    return j.select("conv_id", "turn", J(texts.introduced_entities(F.col("text"), "[A-Z][a-z]{3,}", F.coalesce("known", F.array().cast("array<string>")))).alias("introduced"))
 
 
 @QUERIES.add("x17_alignment_gates", "SELECT count(*) >= 100 AS enough, count(*) = count(DISTINCT doc_id) AS unique_ids, count(DISTINCT lang) = 4 AS all_languages, max(n_chars) <= 1000000 AS within_length FROM documents")
@@ -101,8 +135,8 @@ def x6(t):
 @QUERIES.add("x9_number_forms", "SELECT conv_id, turn, role, turn % 100 AS n, count(*) FILTER (WHERE contains(text, CAST(turn % 100 AS VARCHAR)) OR (turn % 100 = 1 AND contains(text, '一'))) > 0 AS stated FROM conversations GROUP BY conv_id, turn, role")
 def x9(t):
     c = t("conversations").withColumn("n", F.col("turn") % 100)
-    forms = texts.number_forms(c.sparkSession)
-    j = c.join(F.broadcast(forms), c.n == forms.value, "left")
+    forms = texts.number_forms(c, "n")
+    j = c.join(forms, c.n == forms.value, "left")
     return j.groupBy("conv_id", "turn", "role", "n").agg(F.coalesce(F.bool_or(F.contains("text", F.col("form"))), F.lit(False)).alias("stated"))
 
 
