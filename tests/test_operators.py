@@ -93,3 +93,61 @@ def test_alternatives_skip_runs_of_planned_places(spark):
     limits = spark.createDataFrame([(3, "hotel", 25.0), (3, "hotel", 90.0)], "plan_id long, entity_type string, max_price double")
     got = {(r.plan_id, r.candidate_id): r.alternative_id for r in comparisons.comparable_alternatives(items, places, limits).collect()}
     assert got == {(1, 0): 4, (1, 2): 4, (1, 3): 5}
+
+
+def test_table_fingerprint_is_of_the_rows_alone(spark):
+    from waymill.plans import registry
+    from waymill.sources.records import table_fingerprint
+
+    own = registry.queries()["s10_table_fingerprint"](spark, "/root/testdata/sf0.001").first()
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    again = table_fingerprint(rows.orderBy(F.rand(3)).repartition(7)).first()
+    changed = table_fingerprint(rows.withColumn("l_tax", F.when((F.col("l_orderkey") == rows.first().l_orderkey) & (F.col("l_linenumber") == rows.first().l_linenumber), 9.0).otherwise(F.col("l_tax")))).first()
+    twice = table_fingerprint(rows.union(rows.limit(1))).first()
+    assert own == again and own != changed and own.n == changed.n and twice != own
+
+
+def test_numerals():
+    from waymill.operators.texts import numeral
+
+    want = {0: "零", 2: "二", 10: "十", 11: "十一", 20: "二十", 99: "九十九", 100: "一百", 101: "一百零一", 110: "一百一十", 1005: "一千零五", 1050: "一千零五十", 10000: "一万", 10010: "一万零一十", 120000: "十二万", 1020304: "一百零二万零三百零四"}
+    assert {n: numeral(n) for n in want} == want
+
+
+def test_field_of_a_payload_alone_is_rewritten(spark):
+    from waymill.operators import submissions
+
+    rows = spark.createDataFrame([('{"k": 6, "n": 66, "s": "6 \\"k\\"", "o": {"k": 6}, "b": true}', "id_x"), ('{"n": 6}', "id_x"), ('{"k": "6"}', None)], "p string, v string")
+    got = [r[0] for r in rows.select(submissions.with_field("p", "k", F.col("v"))).collect()]
+    assert got == ['{"k":"id_x","n":66,"s":"6 \\"k\\"","o":{"k":6},"b":true}', '{"n": 6}', '{"k": "6"}']
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    import random
+
+    from waymill.operators import similarity
+
+    r, texts = random.Random(3), []
+    words = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
+    for _ in range(25):
+        base = " ".join(r.choice(words) for _ in range(30))
+        texts.append(base)
+        for edits in (1, 2, 4, 6):
+            w = base.split()
+            for _ in range(edits):
+                w[r.randrange(30)] = r.choice(words)
+            texts.append(" ".join(w))
+    texts += [None, "", texts[0], "short"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    one = {t: i for i, t in reversed(list(enumerate(texts))) if t is not None}
+    want = {}
+    for t, i in one.items():
+        for u, j in one.items():
+            if i < j and (x := similarity.ratio(t, u, 0.8)) >= 0.8:
+                want[i, j] = x
+    for chunk in (256, 3):
+        got = {x.id: x for x in similarity.near_duplicates(frame, "id", "text", chunk=chunk).collect()}
+        assert set(got) == set(one.values())
+        found = sum(x.n_links for x in got.values()) / 2
+        assert 0.9 * len(want) <= found <= len(want) and len(want) > 100
+        assert all(x.best is None or x.best <= max(v for p, v in want.items() if x.id in p) + 1e-9 for x in got.values())

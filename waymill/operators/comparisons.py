@@ -19,6 +19,18 @@ def price_ranks(places: DataFrame, step: float) -> DataFrame:
     return own.withColumns(inner).join(before, [*GROUP, "_band"]).withColumns({c: (F.col(c) + F.col("_before")).cast("long") for c in inner}).drop("_band", "_before")
 
 
+def value_ranks(df: DataFrame, group: list[str], value: str, key: str, step: float, rank: str = "rank", total: str | None = None) -> DataFrame:
+    """Adds rank (from 1, by value and key, in a group) and, if named, the group's number of rows. Counted inside bands of the
+    value and shifted by the counts before them, so no task sorts a whole group. Rows without a value come first."""
+    own = df.withColumn("_band", F.coalesce(F.floor(F.col(value) / step), F.lit(-(2**62))))
+    bands = own.groupBy(*group, "_band").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*group)
+    bands = bands.select(*group, "_band", (F.sum("_n").over(w.orderBy("_band")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_all"))
+    inner = F.row_number().over(Window.partitionBy(*group, "_band").orderBy(value, key))
+    out = own.withColumn("_r", inner).join(bands, [*group, "_band"]).withColumn(rank, F.col("_r") + F.col("_before"))
+    return (out.withColumn(total, F.col("_all")) if total else out).drop("_band", "_r", "_before", "_all")
+
+
 def comparable_alternatives(items: DataFrame, places: DataFrame, limits: DataFrame, step: float = 10.0) -> DataFrame:
     """(plan_id, candidate_id, alternative_id, alternative_price): for each planned place the cheapest place of its type and city
     that costs more, is not planned itself and keeps the plan's least limit; places without one are left out. items: plan_id,

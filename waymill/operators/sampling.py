@@ -20,11 +20,28 @@ def largest_remainder(counts: DataFrame, strata: list[str], total: int, seed: st
     return ranked.withColumn("quota", F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("long")).drop("_all", "_exact", "_floor", "_rest", "_tie", "_left", "_rank", *([] if within else ["total"]))
 
 
+def least_ranked(df: DataFrame, strata: list[str], key: str, quotas: DataFrame, seed: str, chosen: str = "_chosen") -> DataFrame:
+    """Adds chosen: whether a row is among the quota (columns strata, quota) of the least hash ranks of its stratum.
+
+    Rows are counted by the first three digits of their hash; whole buckets below the quota are in, and only the bucket in
+    which it ends is ranked, so no task orders a stratum.
+    """
+    own = df.withColumn("_h", stable_rank(seed, F.col(key))).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    w = Window.partitionBy(*strata).orderBy("_b")  # 4,096 rows of a stratum at most
+    counts = own.groupBy(*strata, "_b").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(w))
+    ends = counts.join(quotas.select(*strata, "quota"), strata).filter("_upto - _n < quota").select(*strata, "_b", (F.col("quota") - (F.col("_upto") - F.col("_n"))).alias("_left"), "_n")
+    held = own.join(ends, [*strata, "_b"], "left")
+    edge = held.filter("_left < _n").withColumn("_r", F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", key)))
+    inside = held.filter("_left is null or _left >= _n").withColumn("_r", F.lit(0))
+    both = edge.unionByName(inside)
+    return both.withColumn(chosen, F.coalesce(F.col("_r") <= F.col("_left"), F.lit(False))).drop("_h", "_b", "_left", "_n", "_r")
+
+
 def stratified_split(df: DataFrame, strata: list[str], key: str, holdout: int, seed: str) -> DataFrame:
     """Adds split: in each stratum the rows of the least ranks, as many as its quota, are the holdout."""
     quotas = largest_remainder(df.groupBy(*strata).agg(F.count("*").alias("n")), strata, holdout, seed)
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy(stable_rank(seed, F.col(key)), key)))
-    return ranked.join(quotas.drop("n"), strata).withColumn("split", F.when(F.col("_rank") <= F.col("quota"), "holdout").otherwise("train")).drop("_rank", "quota")
+    ranked = least_ranked(df, strata, key, quotas, seed)
+    return ranked.withColumn("split", F.when(F.col("_chosen"), "holdout").otherwise("train")).drop("_chosen")
 
 
 def global_rank(df: DataFrame, order: str, rank: str = "rank") -> DataFrame:
@@ -61,9 +78,16 @@ def exact_column(slots: DataFrame, quotas: DataFrame, value: str, key: str, seed
 
 
 def round_robin(rows: DataFrame, group: list[str], key: str, values: list, seed: str, out: str = "assigned") -> DataFrame:
-    """Deals the values in turn over the rows of each group, in hash order: their counts in a group differ by one at most."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(stable_rank(seed, F.col(key))))
-    return rows.withColumn(out, F.get(F.array(*map(F.lit, values)), (rank - 1) % len(values)))
+    """Deals the values in turn over the rows of each group, in hash order: their counts in a group differ by one at most.
+
+    Ranks are counted inside the first three digits of the hash and shifted by the rows before, so no task orders a group.
+    """
+    own = rows.withColumn("_h", stable_rank(seed, F.col(key))).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    counts = own.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    before = counts.select(*group, "_b", (F.sum("_n").over(Window.partitionBy(*group).orderBy("_b")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", key))
+    held = own.withColumn("_r", rank).join(before, [*group, "_b"])
+    return held.withColumn(out, F.get(F.array(*map(F.lit, values)), ((F.col("_before") + F.col("_r") - 1) % len(values)).cast("int"))).drop("_h", "_b", "_r", "_before")
 
 
 def quota_drift(rows: DataFrame, quotas: DataFrame, value: str) -> DataFrame:

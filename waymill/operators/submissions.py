@@ -78,3 +78,14 @@ def review_rollup(reviews: DataFrame, dimensions: list[str]) -> DataFrame:
     g = reviews.groupBy("panel", "review_id").agg(F.bool_and(fine).alias("fine"), F.count("*").alias("k"), F.countDistinct("dimension").alias("d"))
     valid = g.filter(F.col("fine") & (F.col("k") == len(dimensions)) & (F.col("d") == len(dimensions))).select("panel", "review_id")
     return reviews.join(valid, ["panel", "review_id"], "left_semi").groupBy("panel", "dimension").agg(F.count("*").alias("n"), F.round(F.sum("score") / F.count("score"), 6).alias("mean_score"))
+
+
+def with_field(payload: str, field: str, value: Column) -> Column:
+    """A JSON object (a column of text) in which a field is a new text; other fields stay as they are, with their types.
+    Without the field, or where the new text is null, the payload stays."""
+    held = F.map_entries(F.from_json(payload, "map<string,string>"))  # other values than texts come as they are written
+    bare = lambda k: F.regexp_like(F.col(payload), F.concat(F.lit('"'), k, F.lit('"\\s*:\\s*[^"\\s]')))
+    text = lambda x: F.regexp_replace(F.to_json(F.struct(x.alias("v"))), r'^\{"v":|\}$', "")
+    new = lambda e: F.when(e["key"] == field, text(value)).when(bare(e["key"]), F.coalesce(e["value"], F.lit("null"))).otherwise(text(e["value"]))
+    pairs = F.transform(held, lambda e: F.concat(text(e["key"]), F.lit(":"), new(e)))
+    return F.when(F.exists(held, lambda e: e["key"] == field) & value.isNotNull(), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(F.col(payload))

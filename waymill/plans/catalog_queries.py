@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymill.functions.columns import haversine_km, money
-from waymill.operators import catalog, scenarios, spatial
+from waymill.operators import catalog, comparisons, scenarios, spatial
 from waymill.plans.base import Queries
 
 QUERIES = Queries()
@@ -126,8 +126,8 @@ def w18(t):
 
 @QUERIES.add("w20_pagination", "SELECT c_custkey, c_nationkey, (row_number() OVER w - 1) // 10 AS page, count(*) OVER (PARTITION BY c_nationkey) AS total FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)")
 def w20(t):
-    w = Window.partitionBy("c_nationkey")
-    return t("customer").select("c_custkey", "c_nationkey", F.floor((F.row_number().over(w.orderBy("c_acctbal", "c_custkey")) - 1) / 10).alias("page"), F.count("*").over(w).alias("total"))
+    c = comparisons.value_ranks(t("customer"), ["c_nationkey"], "c_acctbal", "c_custkey", 20.0, total="total")
+    return c.select("c_custkey", "c_nationkey", F.floor((F.col("rank") - 1) / 10).alias("page"), "total")
 
 
 @QUERIES.add("w25_missing_partitions", "SELECT a.n_name AS origin, b.n_name AS destination FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey WHERE NOT EXISTS (SELECT 1 FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_nationkey = a.n_nationkey AND o_custkey % 25 = b.n_nationkey)")
@@ -223,8 +223,10 @@ def w19(t):
 
 @QUERIES.add("w21_task_page_index", "SELECT c_custkey, (row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal, c_custkey) - 1) // 10 AS facet_page, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) - 1) // 10 AS price_page FROM customer")
 def w21(t):
-    page = lambda *k: F.floor((F.row_number().over(Window.partitionBy(*k).orderBy("c_acctbal", "c_custkey")) - 1) / 10)
-    return t("customer").select("c_custkey", page("c_nationkey", "c_mktsegment").alias("facet_page"), page("c_nationkey").alias("price_page"))
+    own = comparisons.value_ranks(t("customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"), ["c_nationkey", "c_mktsegment"], "c_acctbal", "c_custkey", 20.0, "f")
+    both = comparisons.value_ranks(own, ["c_nationkey"], "c_acctbal", "c_custkey", 20.0, "p")
+    page = lambda c: F.floor((F.col(c) - 1) / 10)
+    return both.select("c_custkey", page("f").alias("facet_page"), page("p").alias("price_page"))
 
 
 @QUERIES.add("w23_candidate_ranking", f"""WITH {PLACES}, att AS (SELECT *, ['attraction', 'restaurant', 'hotel'][place_id % 3 + 1] AS kind, CASE WHEN place_id % 7 <> 0 THEN place_id * 37 % 400 END AS price, CASE WHEN place_id % 3 <> 2 THEN place_id * 53 % 1300 END AS opens, CASE WHEN place_id % 3 <> 2 THEN place_id * 53 % 1300 + 90 END AS closes FROM pl),

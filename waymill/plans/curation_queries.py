@@ -3,7 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from waymill.operators import rows
 from waymill.plans.base import Queries
+from waymill.sources import records
 
 QUERIES = Queries()
 
@@ -37,17 +39,43 @@ def d9(t):
     return t("conversations").select("conv_id").distinct().withColumn("sample_id", F.concat(F.lit("sft_"), F.substring(F.sha2(F.concat(F.lit("v1:"), F.col("conv_id").cast("string")), 256), 1, 24)))
 
 
-D10 = """WITH o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev FROM conversations),
-g AS (SELECT conv_id, count(*) FILTER (WHERE role = prev) AS repeats, count(*) FILTER (WHERE trim(text) = '') AS empty, count(*) FILTER (WHERE role = 'assistant') AS answers, count(*) FILTER (WHERE role = 'system' AND prev IS NOT NULL) AS late_system FROM o GROUP BY conv_id)
-SELECT conv_id, CASE WHEN answers = 0 THEN 'no_assistant' WHEN late_system > 0 THEN 'late_system' WHEN repeats > 0 THEN 'roles_repeat' WHEN empty > 0 THEN 'empty_content' ELSE 'ok' END AS verdict FROM g"""
+FAULTS = ["version", "no_messages", "thinking", "response_mode", "response_version", "protocols_mixed", "supervision_mode", "no_system", "boundaries", "user_format", "user_empty", "user_json", "mask", "mask_terminal", "mask_clean", "reasoning", "content_no_text", "not_one_call", "arguments_no_object", "tool_content_no_json", "delta_incomplete", "response_versions_mixed", "delta_leaks", "snapshot_leaks", "alternation", "nothing_visible", "mask_disagrees"]
+D10 = f"""WITH u AS (SELECT conv_id, arg_min(text, (turn, role, text)) AS q, count(*) AS n FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN conv_id % 29 < {len(FAULTS)} THEN {FAULTS}[conv_id % 29 + 1] END AS fault FROM u"""
+
+
+def faulty_rows(conversations):
+    """A row of each conversation (its first text as the question, its other texts as what the assistant says), with one fault
+    by the number of the conversation, or none."""
+    g = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("a"))
+    f = F.get(F.array(*map(F.lit, FAULTS)), (F.col("conv_id") % 29).cast("int"))
+    is_ = lambda *x: F.coalesce(f.isin(*x), F.lit(False))
+    empty = F.array().cast("array<struct<name:string,arguments:string>>")
+    null = F.lit(None).cast("string")
+    message = lambda role, content, reasoning=null, calls=empty: F.struct(F.lit(role).alias("role") if isinstance(role, str) else role.alias("role"), content.alias("content"), reasoning.alias("reasoning"), calls.alias("calls"))
+    call = F.struct(F.lit("search").alias("name"), F.when(is_("arguments_no_object"), F.lit("[1]")).otherwise(F.lit('{"q": 1}')).alias("arguments"))
+    calls = F.when(is_("not_one_call"), F.array(call, call)).otherwise(F.array(call))
+    snapshot = is_("snapshot_leaks")
+    body = F.when(is_("tool_content_no_json"), "no json").when(snapshot, '{"reward": 1, "info": {}}').when(is_("delta_incomplete"), '{"response_version": "r3"}')
+    body = body.otherwise(F.concat(F.lit('{"response_version": "'), F.when(is_("response_versions_mixed"), "r2").otherwise("r3"), F.lit('", "valid_action": '), F.when(is_("mask_disagrees"), "false").otherwise("true"), F.lit(', "remaining_steps": 3, "tool_result": {}'), F.when(is_("delta_leaks"), ', "reward": 0}').otherwise("}")))
+    says = lambda text: message("assistant", F.when(is_("content_no_text"), null).when(is_("nothing_visible"), F.lit(" ")).otherwise(text), F.when(is_("reasoning"), F.lit("hm")), calls)
+    turns = F.flatten(F.transform(F.slice("a", 2, 1_000_000), lambda x: F.array(says(x["text"]), message(F.when(is_("alternation"), "user").otherwise("tool"), body))))
+    question = F.when(is_("user_empty"), F.lit(" ")).when(is_("user_json"), F.lit('{"query": "x"}')).otherwise(F.get("a", F.lit(0))["text"])
+    head = F.array(message(F.when(is_("no_system"), "user").otherwise("system"), F.lit("rules")), message(F.when(is_("boundaries"), "assistant").otherwise("user"), question))
+    # one step more than the texts, so that every row has a tool's answer
+    last = F.array(says(F.lit("first")), message(F.when(is_("alternation"), "user").otherwise("tool"), body), says(F.lit("done")))
+    messages = F.concat(head, turns, last)
+    n = F.size("a") + 1
+    mask = F.when(is_("mask"), F.array(F.lit(True))).when(is_("mask_terminal"), F.concat(F.array_repeat(F.lit(True), n - 1), F.array(F.lit(False)))).when(is_("mask_clean"), F.concat(F.array(F.lit(False)), F.array_repeat(F.lit(True), n - 1))).otherwise(F.array_repeat(F.lit(True), n))
+    pick = lambda code, bad, good: F.when(is_(code), bad).otherwise(good)
+    return g.select(
+        "conv_id", pick("version", "v9", "v3").alias("format_version"), pick("response_mode", "none", F.when(snapshot, "snapshot").otherwise("delta")).alias("tool_response_mode"), F.when(is_("response_version"), "r9").when(is_("protocols_mixed"), "r1").otherwise("r3").alias("response_version"),
+        pick("supervision_mode", "other", F.when(snapshot, "action_selective").otherwise("react")).alias("supervision_mode"), pick("user_format", "json", "text").alias("user_content_format"), is_("thinking").alias("enable_thinking"), mask.alias("loss_mask"), F.array(F.lit("search")).alias("tools"), F.when(~is_("no_messages"), messages).alias("messages"),
+    )
 
 
 @QUERIES.add("d10_row_validator", D10)
 def d10(t):
-    o = t("conversations").withColumn("prev", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
-    n = lambda c: F.count(F.when(c, 1))
-    g = o.groupBy("conv_id").agg(n(F.col("role") == F.col("prev")).alias("repeats"), n(F.trim("text") == "").alias("empty"), n(F.col("role") == "assistant").alias("answers"), n((F.col("role") == "system") & F.col("prev").isNotNull()).alias("late"))
-    return g.select("conv_id", F.when(F.col("answers") == 0, "no_assistant").when(F.col("late") > 0, "late_system").when(F.col("repeats") > 0, "roles_repeat").when(F.col("empty") > 0, "empty_content").otherwise("ok").alias("verdict"))
+    return rows.first_fault(faulty_rows(t("conversations"))).select("conv_id", "fault")
 
 
 @QUERIES.add("d13_dataset_report", "SELECT role, count(*) AS n, count(DISTINCT conv_id) AS n_samples, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role")
@@ -79,8 +107,7 @@ def s9(t):
 
 @QUERIES.add("s10_table_fingerprint")
 def s10(t):
-    h = F.xxhash64(*[F.col(c) for c in t("lineitem").columns])
-    return t("lineitem").agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).alias("total"))
+    return records.table_fingerprint(t("lineitem"))
 
 
 @QUERIES.add("a13_question_uniqueness", "SELECT role, count(*) AS n, count(DISTINCT lower(trim(text))) AS n_distinct, min(conv_id) AS example FROM conversations GROUP BY role")

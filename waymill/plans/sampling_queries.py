@@ -70,8 +70,11 @@ def g6(t):
 
 @QUERIES.add("g7_stratum_metadata", "SELECT n_name, o_orderpriority, count(*) AS n_items FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
 def g7(t):
-    li, o, c, n = t("lineitem"), t("orders"), t("customer"), t("nation")
-    return li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey).groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n_items"))
+    """Items are counted by order before anything is joined."""
+    items = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    o, c, n = t("orders"), t("customer"), t("nation")
+    j = items.join(o, "o_orderkey").join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return j.groupBy("n_name", "o_orderpriority").agg(F.sum("n").alias("n_items"))
 
 
 @QUERIES.add("stable_rank_order", "SELECT c_custkey, sha256('s' || chr(31) || CAST(c_custkey AS VARCHAR)) AS rank_hash FROM customer")

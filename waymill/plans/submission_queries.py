@@ -105,12 +105,13 @@ def d11(t):
     return t("events").select("event_id", submissions.key_order_ok(F.col("props"), ["k"]).alias("ordered"))
 
 
-@QUERIES.add("d14_id_remapping", "SELECT event_id, replace(props, json_extract_string(props, '$.k'), '\"id_' || substr(sha256('d14:' || user_id || ':' || json_extract_string(props, '$.k')), 1, 12) || '\"') AS props FROM events")
+@QUERIES.add("d14_id_remapping", "SELECT event_id, '{\"k\":\"id_' || substr(sha256('d14:' || user_id || ':' || json_extract_string(props, '$.k')), 1, 12) || '\"}' AS props FROM events")
 def d14(t):
-    """Ids in payloads become surrogates of their trajectory: a mapping table of the distinct pairs, joined back."""
+    """Ids in payloads become surrogates of their trajectory: a mapping table of the distinct pairs, joined back, and only the
+    field itself is written anew, whatever else the payload holds."""
     e = t("events").select("event_id", "user_id", "props", F.get_json_object("props", "$.k").alias("k"))
-    names = e.select("user_id", "k").distinct().withColumn("new", F.concat(F.lit('"id_'), F.substring(F.sha2(F.concat(F.lit("d14:"), F.col("user_id").cast("string"), F.lit(":"), F.col("k")), 256), 1, 12), F.lit('"')))
-    return e.join(names, ["user_id", "k"], "left").select("event_id", F.replace("props", F.col("k"), F.col("new")).alias("props"))
+    names = e.select("user_id", "k").distinct().withColumn("new", F.concat(F.lit("id_"), F.substring(F.sha2(F.concat(F.lit("d14:"), F.col("user_id").cast("string"), F.lit(":"), F.col("k")), 256), 1, 12)))
+    return e.join(names, ["user_id", "k"], "left").select("event_id", submissions.with_field("props", "k", F.col("new")).alias("props"))
 
 
 @QUERIES.add("d15_blind_projection", "SELECT conv_id, count(*) AS n, sha256(string_agg(turn || '|' || role || '|' || length(text), ';' ORDER BY turn, role, length(text))) AS summary_hash FROM conversations WHERE role <> 'system' GROUP BY conv_id")

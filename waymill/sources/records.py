@@ -68,3 +68,9 @@ def preview(samples: DataFrame, key: str, n: int = 10) -> DataFrame:
     kind = F.when(F.col("repaired"), "repaired").when(F.col("had_invalid"), "had_invalid").otherwise("clean")
     w = Window.partitionBy("kind").orderBy(key)
     return samples.withColumn("kind", kind).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("kind", "place", key, F.concat_ws("\n", F.concat(F.lit("# "), F.col(key).cast("string")), "text").alias("text"))
+
+
+def table_fingerprint(df: DataFrame) -> DataFrame:
+    """One row (n, xor, total): equal for tables of the same rows, repeats included, in any order and partitioning."""
+    h = F.xxhash64(*df.columns)
+    return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).alias("total"))
