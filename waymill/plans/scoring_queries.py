@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymill.functions.columns import money, numeric_score
+from waymill.operators import preferences
 from waymill.plans.base import Queries
 
 QUERIES = Queries()
@@ -154,15 +155,26 @@ def t8(t):
     return t("lineitem").groupBy("l_orderkey").agg((F.sum(F.when(own, money(F.col("l_extendedprice"))).otherwise(0)).cast("double") / 2 / n).alias("per_person_meal"))
 
 
-F1 = """SELECT l_orderkey, 'stop_count' AS kind, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY 1
-UNION ALL SELECT l_orderkey, 'total_cost', CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) FROM lineitem GROUP BY 1
-UNION ALL SELECT l_orderkey, 'attractions', CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) FROM lineitem GROUP BY 1"""
+F1 = """WITH li AS (SELECT l_orderkey AS plan_id, l_linenumber, ['attraction', 'lunch', 'dinner', 'accommodation', 'train', 'breakfast'][l_partkey % 6 + 1] AS kind, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, CASE WHEN l_suppkey * 11 % 1440 >= l_partkey * 7 % 1440 THEN l_suppkey * 11 % 1440 - l_partkey * 7 % 1440 ELSE 0 END AS m,
+ CASE WHEN l_suppkey * 11 % 1440 >= l_partkey * 7 % 1440 AND l_returnflag = 'A' THEN l_suppkey * 11 % 1440 - l_partkey * 7 % 1440 ELSE 0 END AS w, l_linestatus = 'O' AS meal, l_partkey, l_suppkey FROM lineitem),
+rt AS (SELECT plan_id, l_linenumber, meal, sum(m) AS m, sum(w) AS w FROM li GROUP BY ALL), ra AS (SELECT plan_id, sum(m) AS rm, count(*) AS nr, sum(m) FILTER (WHERE meal) AS mm, count(*) FILTER (WHERE meal) AS nm, sum(w) AS wm FROM rt GROUP BY 1),
+co AS (SELECT plan_id, sum(amount) AS total, count(*) FILTER (WHERE kind = 'attraction') AS na, count(*) FILTER (WHERE kind IN ('lunch', 'dinner', 'breakfast')) AS ne, coalesce(sum(amount) FILTER (WHERE kind IN ('lunch', 'dinner', 'breakfast')), 0) AS meals, coalesce(sum(amount) FILTER (WHERE kind = 'accommodation'), 0) AS lodging, coalesce(sum(amount) FILTER (WHERE kind = 'attraction'), 0) AS sights, coalesce(sum(amount) FILTER (WHERE kind = 'train'), 0) AS inter, coalesce(sum(m) FILTER (WHERE kind = 'train'), 0) AS leg FROM li GROUP BY 1),
+en AS (SELECT DISTINCT plan_id, l_partkey, l_partkey % 90 AS lat, l_partkey % 170 AS lon FROM li WHERE l_partkey % 5 <> 0), di AS (SELECT plan_id, avg(2 * 6371.0088 * asin(sqrt(least(pow(sin(radians(lat - 30) / 2), 2) + cos(radians(30)) * cos(radians(lat)) * pow(sin(radians(lon - 120) / 2), 2), 1.0)))) AS km FROM en GROUP BY 1),
+j AS (SELECT o_orderkey AS plan_id, o_custkey % 4 AS days, CAST(coalesce(total, 0) AS DOUBLE) AS total, coalesce(na, 0) AS na, coalesce(ne, 0) AS ne, ra.* EXCLUDE (plan_id), co.* EXCLUDE (plan_id, total, na, ne), km FROM orders LEFT JOIN ra ON ra.plan_id = o_orderkey LEFT JOIN co ON co.plan_id = o_orderkey LEFT JOIN di ON di.plan_id = o_orderkey),
+x AS (SELECT plan_id, unnest([struct_pack(k := 'daily_attraction_count', v := na / greatest(days, 1)), struct_pack(k := 'average_innercity_route_minutes', v := coalesce(rm / nullif(nr, 0), 0)), struct_pack(k := 'average_meal_transfer_minutes', v := coalesce(mm / nullif(nm, 0), 0)), struct_pack(k := 'dining_cost_share', v := CASE WHEN total > 0 THEN CAST(meals AS DOUBLE) / total ELSE 0 END), struct_pack(k := 'absolute_lodging_cost', v := CAST(coalesce(lodging, 0) AS DOUBLE)), struct_pack(k := 'average_poi_anchor_distance_km', v := km), struct_pack(k := 'walking_minutes', v := CAST(coalesce(wm, 0) AS DOUBLE)), struct_pack(k := 'total_cost', v := total), struct_pack(k := 'scheduled_stop_count', v := CAST(na + CASE WHEN ne > 0 THEN 1 ELSE 0 END AS DOUBLE)), struct_pack(k := 'attraction_cost_share', v := CASE WHEN total > 0 THEN CAST(sights AS DOUBLE) / total ELSE 0 END), struct_pack(k := 'intercity_cost_share', v := CASE WHEN total > 0 THEN CAST(inter AS DOUBLE) / total ELSE 0 END), struct_pack(k := 'total_travel_minutes', v := CAST(coalesce(leg, 0) + coalesce(rm, 0) AS DOUBLE))]) AS s FROM j)
+SELECT plan_id, s.k AS metric, round(s.v, 6) AS value FROM x"""
 
 
 @QUERIES.add("f1_preference_metrics", F1)
 def f1(t):
-    g = t("lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("stop_count"), F.sum(money(F.col("l_extendedprice"))).cast("double").alias("total_cost"), F.count(F.when(F.col("l_returnflag") == "A", 1)).cast("double").alias("attractions"))
-    return g.unpivot("l_orderkey", ["stop_count", "total_cost", "attractions"], "kind", "value")
+    """Line items as cost items, routes of a segment, legs (those by train) and places (their keys as coordinates)."""
+    kind = F.get(F.array(*map(F.lit, ("attraction", "lunch", "dinner", "accommodation", "train", "breakfast"))), (F.col("l_partkey") % 6).cast("int"))
+    li = t("lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("route_id"), kind.alias("activity_type"), F.col("l_extendedprice").alias("amount"), F.when(F.col("l_linestatus") == "O", "restaurant").otherwise("attraction").alias("to_kind"), F.when(F.col("l_returnflag") == "A", "walk").otherwise("taxi").alias("mode"), (F.col("l_partkey") * 7 % 1440).alias("start_min"), (F.col("l_suppkey") * 11 % 1440).alias("end_min"), "l_partkey")
+    n = li.groupBy("plan_id").agg(F.sum(money(F.col("amount"))).cast("double").alias("total_cost"), F.count(F.when(F.col("activity_type") == "attraction", 1)).alias("n_attractions"), F.count(F.when(F.col("activity_type").isin(*preferences.MEALS), 1)).alias("n_restaurants"))
+    plans = t("orders").select(F.col("o_orderkey").alias("plan_id"), (F.col("o_custkey") % 4).alias("days"), F.lit(30.0).alias("anchor_lat"), F.lit(120.0).alias("anchor_lon")).join(n, "plan_id", "left").fillna(0, ["total_cost", "n_attractions", "n_restaurants"])
+    places = li.select("plan_id", F.col("l_partkey").alias("entity_id"), F.when(F.col("l_partkey") % 5 == 0, "station").otherwise("hotel").alias("entity_type"), (F.col("l_partkey") % 90).cast("double").alias("lat"), (F.col("l_partkey") % 170).cast("double").alias("lon"))
+    legs = li.filter("activity_type = 'train'").select("plan_id", F.col("start_min").alias("departs"), F.col("end_min").alias("arrives"))
+    return preferences.preference_metrics(plans, li, li, legs, places).withColumn("value", F.round("value", 6))
 
 
 @QUERIES.add("p3_route_cost", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN CAST(ceil(l_quantity / 4) AS BIGINT) WHEN 'N' THEN CAST(l_quantity AS BIGINT) ELSE 1 END AS quantity FROM lineitem")
