@@ -3,8 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymill.functions.columns import clock_minutes, money, numeric_score
-from waymill.operators import submissions
+from waymill.functions.columns import clock_minutes, money
+from waymill.operators import constraints, submissions
 from waymill.plans.base import PLANS, STEPS, Queries, activities, entities, plan_table, steps
 
 QUERIES = Queries()
@@ -29,21 +29,57 @@ def p2(t):
     return submissions.upgrade_legacy(a).select("plan_id", "pos", "abs_start", "abs_end")
 
 
-P20 = """SELECT o_orderkey, 'total_budget' AS kind, CASE WHEN o_totalprice <= 150000 THEN 'pass' ELSE 'fail' END AS status, round(CASE WHEN o_totalprice <= 150000 THEN 1.0 ELSE 150000 / o_totalprice END, 6) AS score FROM orders
-UNION ALL SELECT l_orderkey, 'activity_count', CASE WHEN count(*) >= 4 THEN 'pass' ELSE 'fail' END, round(CASE WHEN count(*) >= 4 THEN 1.0 ELSE count(*) / 4 END, 6) FROM lineitem GROUP BY 1 UNION ALL SELECT o_orderkey, 'weather', 'unverifiable', NULL FROM orders"""
+P20 = """WITH li AS (SELECT l_orderkey AS plan_id, ['attraction', 'lunch', 'accommodation', 'train', 'dinner'][l_partkey % 5 + 1] AS type, l_extendedprice AS amount, l_quantity % 4 AS rooms, 'r' || l_suppkey % 3 AS room_type, 'n' || l_partkey % 20 AS name, 'c' || l_partkey % 7 AS category, CASE l_linestatus WHEN 'O' THEN 'outbound' ELSE 'return' END AS leg, l_partkey * 7 % 1440 AS departs, l_returnflag AS mode, l_linestatus FROM lineitem),
+g AS (SELECT plan_id, sum(CAST(amount AS DECIMAL(18,2))) AS total, count(*) AS n, sum(CAST(amount AS DECIMAL(18,2))) FILTER (WHERE type IN ('lunch', 'dinner')) AS meals, count(*) FILTER (WHERE type IN ('lunch', 'dinner')) AS n_meals, list(DISTINCT mode) AS modes, list(DISTINCT category) FILTER (WHERE type = 'attraction') AS cats, list(DISTINCT name) AS names,
+ count(*) FILTER (WHERE type = 'accommodation') AS n_stays, count(*) FILTER (WHERE type = 'accommodation' AND rooms >= 2) AS n_large, avg(CASE WHEN rooms >= 2 THEN 1.0 ELSE rooms / 2 END) FILTER (WHERE type = 'accommodation') AS room_score, count(*) FILTER (WHERE type = 'accommodation' AND room_type = 'r1') AS n_r1, count(*) FILTER (WHERE type = 'attraction') AS n_sights,
+ count(*) FILTER (WHERE type = 'train' AND leg = 'outbound') AS n_legs, count(*) FILTER (WHERE type = 'train' AND leg = 'outbound' AND departs <= 720) AS n_early FROM li GROUP BY 1),
+e AS (SELECT o_orderkey AS plan_id, 1 + o_custkey % 4 AS people, g.* EXCLUDE (plan_id) FROM orders JOIN g ON plan_id = o_orderkey),
+x AS (SELECT plan_id, unnest([
+ struct_pack(k := 'total_budget', p := total <= 150000, s := CASE WHEN total <= 150000 THEN 1.0 ELSE 150000 / CAST(total AS DOUBLE) END),
+ struct_pack(k := 'category_budget', p := n_meals > 0 AND CAST(meals AS DOUBLE) / people / n_meals <= 12000, s := CASE WHEN n_meals = 0 THEN 0.0 WHEN CAST(meals AS DOUBLE) / people / n_meals <= 12000 THEN 1.0 ELSE 12000 / (CAST(meals AS DOUBLE) / people / n_meals) END),
+ struct_pack(k := 'transport_mode', p := list_has_all(modes, ['A', 'N']) OR list_contains(modes, 'R'), s := greatest(len(list_intersect(modes, ['A', 'N'])) / 2, CASE WHEN list_contains(modes, 'R') THEN 1.0 ELSE 0.0 END)),
+ struct_pack(k := 'entity_category', p := NOT list_has_any(coalesce(cats, []), ['c1', 'c2']), s := CASE WHEN list_has_any(coalesce(cats, []), ['c1', 'c2']) THEN 0.0 ELSE 1.0 END),
+ struct_pack(k := 'include_entity', p := len(list_filter(names, lambda v: starts_with(v, 'n1'))) > 0 AND len(list_filter(names, lambda v: v = 'n7')) > 0, s := (CASE WHEN len(list_filter(names, lambda v: starts_with(v, 'n1'))) > 0 THEN 1 ELSE 0 END + CASE WHEN len(list_filter(names, lambda v: v = 'n7')) > 0 THEN 1 ELSE 0 END) / 2),
+ struct_pack(k := 'exclude_entity', p := NOT list_contains(names, 'n5'), s := CASE WHEN list_contains(names, 'n5') THEN 0.0 ELSE 1.0 END),
+ struct_pack(k := 'room_count', p := n_stays > 0 AND n_large = n_stays, s := CASE WHEN n_stays = 0 THEN 0.0 ELSE room_score END),
+ struct_pack(k := 'room_type', p := n_stays > 0 AND n_r1 = n_stays, s := CASE WHEN n_stays = 0 THEN 0.0 ELSE n_r1 / n_stays END),
+ struct_pack(k := 'activity_count', p := n_sights = 2, s := CASE WHEN n_sights = 2 THEN 1.0 ELSE least(n_sights, 2) / greatest(n_sights, 2) END),
+ struct_pack(k := 'time_window', p := n_legs > 0 AND n_early = n_legs, s := CASE WHEN n_legs = 0 THEN 0.0 ELSE n_early / n_legs END)]) AS c FROM e)
+SELECT plan_id, c.k AS kind, CASE WHEN c.p THEN 'pass' ELSE 'fail' END AS status, round(c.s, 6) AS score, CAST(NULL AS VARCHAR) AS blocked_by FROM x
+UNION ALL SELECT plan_id, 'weather', 'unverifiable', NULL, NULL FROM e UNION ALL SELECT plan_id, 'entity_attribute', CASE WHEN plan_id % 3 = 0 THEN 'blocked' ELSE 'unverifiable' END, NULL, CASE WHEN plan_id % 3 = 0 THEN 'entity_grounding' END FROM e"""
+
+
+def plan_facts(t):
+    """Orders as plans, line items as activities of five types and, by their flags, as routes."""
+    k = F.col("l_partkey")
+    kind = F.get(F.array(*map(F.lit, ("attraction", "lunch", "accommodation", "train", "dinner"))), (k % 5).cast("int"))
+    leg = F.when(F.col("l_linestatus") == "O", "outbound").otherwise("return")
+    tag = lambda p, n: F.concat(F.lit(p), n.cast("string"))
+    act = F.struct(kind.alias("type"), F.col("l_extendedprice").alias("amount"), (F.col("l_quantity") % 4).alias("rooms"), tag("r", F.col("l_suppkey") % 3).alias("room_type"), tag("n", k % 20).alias("name"), tag("c", k % 7).alias("category"), leg.alias("leg"), (k * 7 % 1440).alias("departs"), F.lit(None).cast("int").alias("arrives"))
+    g = t("lineitem").groupBy(F.col("l_orderkey").alias("plan_id")).agg(F.sum(money(F.col("l_extendedprice"))).cast("double").alias("total_cost"), F.collect_list(act).alias("activities"), F.collect_set("l_returnflag").alias("route_modes"))
+    return t("orders").select(F.col("o_orderkey").alias("plan_id"), (1 + F.col("o_custkey") % 4).alias("travelers"), F.lit(3).alias("days")).join(g, "plan_id")
+
+
+#: One constraint of each kind, one of a kind without a rule, and one whose alternatives are missing.
+ASKED = (
+    ("total_budget", "lte", "trip", 150000.0, None, None, None, None, None, None), ("category_budget", "lte", "restaurant", 12000.0, None, None, "per_person_per_activity", None, None, None),
+    ("transport_mode", "include", "innercity_route", None, None, [["A", "N"], ["R"]], None, None, "all", None), ("entity_category", "not_contains", "attraction", None, None, [["c1"], ["c2"]], None, None, None, None),
+    ("include_entity", "include", "trip", None, None, [["n1", "n7"]], None, None, None, None), ("exclude_entity", "exclude", "trip", None, None, [["n5"]], None, None, None, None),
+    ("room_count", "gte", "accommodation", 2.0, None, None, None, None, None, None), ("room_type", "eq", "accommodation", None, "r1", None, None, None, None, None),
+    ("activity_count", "eq", "attraction", 2.0, None, None, None, None, None, None), ("time_window", "lte", "intercity_transport", 720.0, None, None, None, None, "outbound", "departs"),
+    ("weather", "eq", "trip", 1.0, None, None, None, None, None, None), ("entity_attribute", "contains", "accommodation", None, None, None, None, None, None, None),
+)
 
 
 @QUERIES.add("p20_constraint_evaluation", P20)
 def p20(t):
-    """Three constraints for each plan, each sent to the evaluator of its kind; a kind without one is unverifiable."""
-    n = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("v"))
-    frames = {"total_budget": (t("orders").select("o_orderkey", F.col("o_totalprice").alias("v")), "lte", 150000.0), "activity_count": (n, "gte", 4), "weather": (t("orders").select("o_orderkey"), None, None)}
-    out = None
-    for kind, (df, op, bound) in frames.items():
-        s = F.round(numeric_score(op, F.col("v"), F.lit(bound)), 6) if op else F.lit(None).cast("double")
-        one = df.select("o_orderkey", F.lit(kind).alias("kind"), s.alias("score")).withColumn("status", F.when(F.col("score").isNull(), "unverifiable").when(F.col("score") == 1, "pass").otherwise("fail"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Twelve constraints on every plan; checks of entity grounding fail on every third plan."""
+    facts = plan_facts(t)
+    asked = facts.sparkSession.createDataFrame([(k, *row) for k, row in enumerate(ASKED)], "constraint_id int, kind string, operator string, scope string, amount double, text string, groups array<array<string>>, basis string, activity_type string, leg string, field string")
+    every = facts.select("plan_id", F.explode(F.array(*[F.lit(k) for k in range(len(ASKED))])).alias("constraint_id")).join(asked, "constraint_id")
+    results = constraints.evaluate_constraints(every, facts)
+    checks = facts.select("plan_id", F.lit("entity_grounding").alias("check_id"), F.when(F.col("plan_id") % 3 == 0, "fail").otherwise("pass").alias("status"))
+    return constraints.block_constraints(results, checks).select("plan_id", "kind", "status", F.round("score", 6).alias("score"), "blocked_by")
 
 
 P35 = """WITH s AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS cost FROM lineitem GROUP BY 1) SELECT o_orderkey, cost <= ceil(o_totalprice) AS before, cost <= ceil(o_totalprice * 0.9) AS after FROM orders JOIN s ON o_orderkey = l_orderkey WHERE cost <= ceil(o_totalprice) AND NOT cost <= ceil(o_totalprice * 0.9)"""
