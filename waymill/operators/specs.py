@@ -76,17 +76,28 @@ RULES = [
     ("total_budget", r"total_cost\s*<=\s*(\d+(?:\.\d+)?)"),
     ("food_budget", r"food_cost\s*/\s*food_count\s*/\s*people_count\(plan\)\s*<=\s*(\d+(?:\.\d+)?)"),
     ("hotel_budget", r"hotel_cost\s*/\s*people_count\(plan\)\s*/\s*\(day_count\(plan\)-1\)\s*<=\s*(\d+(?:\.\d+)?)"),
-    ("time_window", r"(?:go_start_time|go_end_time|return_start_time|back_end_time)\s*(?:<=|>=)\s*['\"](\d{2}:\d{2})['\"]"),
+    ("time_window", r"result\s*=\s*\((go_start_time|go_end_time|return_start_time|back_end_time)\s*(<=|>=)\s*['\"](\d{2}:\d{2})['\"]\)"),
 ]
-
-
-def mine_constraints(rule: Column) -> tuple[Column, Column]:
-    """(kind, value) of a rule text; kind is quarantine if no form fits."""
-    kind, value = F.lit("quarantine"), F.lit(None).cast("string")
-    for name, pattern in reversed(RULES):
-        hit = rule.rlike(pattern)
-        kind, value = F.when(hit, name).otherwise(kind), F.when(hit, F.regexp_extract(rule, pattern, 1)).otherwise(value)
-    return kind, value
+#: Kind, scope and basis of what each form says.
+MEANS = {"per_person_budget": ("total_budget", "trip", "per_person"), "total_budget": ("total_budget", "trip", None), "food_budget": ("category_budget", "restaurant", "per_person_per_activity"), "hotel_budget": ("category_budget", "accommodation", "per_person_per_night"), "time_window": ("time_window", "intercity_transport", None)}
+
+
+def mine_constraints(rule: Column) -> Column:
+    """A struct of form, kind, scope, operator, value, basis, leg and field from a rule text; form is quarantine, and the rest
+    null, if no form fits."""
+    pattern = dict(RULES)["time_window"]
+    part = lambda i: F.regexp_extract(rule, pattern, i)
+    null = F.lit(None).cast("string")
+    out = F.struct(F.lit("quarantine").alias("form"), *[null.alias(n) for n in ("kind", "scope", "operator", "value", "basis", "leg", "field")])
+    for form, pat in reversed(RULES):
+        kind, scope, basis = MEANS[form]
+        timed = form == "time_window"
+        own = {
+            "form": F.lit(form), "kind": F.lit(kind), "scope": F.lit(scope), "operator": F.when(part(2) == ">=", "gte").otherwise("lte") if timed else F.lit("lte"), "value": F.regexp_extract(rule, pat, 3 if timed else 1), "basis": F.lit(basis).cast("string"),
+            "leg": F.when(part(1).startswith("go_"), "outbound").otherwise("return") if timed else null, "field": F.when(F.contains(part(1), F.lit("start_time")), "start_time").otherwise("end_time") if timed else null,
+        }
+        out = F.when(rule.rlike(pat), F.struct(*[v.alias(k) for k, v in own.items()])).otherwise(out)
+    return out
 
 
 def source_clause(text: Column, values: list[str], separators: str = "，。；") -> Column:

@@ -55,18 +55,18 @@ def t4(t):
 def rule_text():
     """Orders as rule texts of six forms."""
     n = F.col("o_custkey").cast("string")
-    forms = [F.concat(F.lit("total_cost <= people_number * "), n), F.concat(F.lit("total_cost<="), n, F.lit(".5")), F.concat(F.lit("food_cost/food_count/people_count(plan) <= "), n), F.concat(F.lit("hotel_cost/people_count(plan)/(day_count(plan)-1)<="), n), F.concat(F.lit("result=(back_end_time <= '"), F.format_string("%02d:30", (F.col("o_custkey") % 24).cast("int")), F.lit("')")), F.concat(F.lit("other "), n)]
+    forms = [F.concat(F.lit("total_cost <= people_number * "), n), F.concat(F.lit("total_cost<="), n, F.lit(".5")), F.concat(F.lit("food_cost/food_count/people_count(plan) <= "), n), F.concat(F.lit("hotel_cost/people_count(plan)/(day_count(plan)-1)<="), n), F.concat(F.lit("result=("), F.get(F.array(*map(F.lit, ("go_start_time", "go_end_time", "return_start_time", "back_end_time"))), (F.col("o_custkey") % 4).cast("int")), F.when(F.col("o_custkey") % 3 == 0, " >= '").otherwise("<='"), F.format_string("%02d:30", (F.col("o_custkey") % 24).cast("int")), F.lit("')")), F.concat(F.lit("other "), n)]
     return F.get(F.array(*forms), (F.col("o_orderkey") % 6).cast("int"))
 
 
-T5 = """SELECT o_orderkey, ['per_person_budget', 'total_budget', 'food_budget', 'hotel_budget', 'time_window', 'quarantine'][o_orderkey % 6 + 1] AS kind,
-CASE o_orderkey % 6 WHEN 1 THEN o_custkey || '.5' WHEN 4 THEN lpad(CAST(o_custkey % 24 AS VARCHAR), 2, '0') || ':30' WHEN 5 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS value FROM orders"""
+T5 = """SELECT o_orderkey, ['per_person_budget', 'total_budget', 'food_budget', 'hotel_budget', 'time_window', 'quarantine'][o_orderkey % 6 + 1] AS form, ['total_budget', 'total_budget', 'category_budget', 'category_budget', 'time_window', NULL][o_orderkey % 6 + 1] AS kind, ['trip', 'trip', 'restaurant', 'accommodation', 'intercity_transport', NULL][o_orderkey % 6 + 1] AS scope,
+CASE o_orderkey % 6 WHEN 4 THEN CASE WHEN o_custkey % 3 = 0 THEN 'gte' ELSE 'lte' END WHEN 5 THEN NULL ELSE 'lte' END AS operator, CASE o_orderkey % 6 WHEN 1 THEN o_custkey || '.5' WHEN 4 THEN lpad(CAST(o_custkey % 24 AS VARCHAR), 2, '0') || ':30' WHEN 5 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS value,
+['per_person', NULL, 'per_person_per_activity', 'per_person_per_night', NULL, NULL][o_orderkey % 6 + 1] AS basis, CASE WHEN o_orderkey % 6 = 4 THEN CASE WHEN o_custkey % 4 < 2 THEN 'outbound' ELSE 'return' END END AS leg, CASE WHEN o_orderkey % 6 = 4 THEN CASE WHEN o_custkey % 2 = 0 THEN 'start_time' ELSE 'end_time' END END AS field FROM orders"""
 
 
 @QUERIES.add("t5_rule_mining", T5)
 def t5(t):
-    kind, value = specs.mine_constraints(F.col("rule"))
-    return t("orders").select("o_orderkey", rule_text().alias("rule")).select("o_orderkey", kind.alias("kind"), value.alias("value"))
+    return t("orders").select("o_orderkey", specs.mine_constraints(rule_text()).alias("m")).select("o_orderkey", "m.*")
 
 
 T6 = """SELECT doc_id, CASE WHEN v IS NULL THEN NULL ELSE trim(list_extract(string_split_regex(substr(text, 1, strpos(text, v) - 1), '[.,;]'), -1) || list_extract(string_split_regex(substr(text, strpos(text, v)), '[.,;]'), 1)) END AS clause
@@ -97,6 +97,6 @@ def t10(t):
     """A stored spec (every third order; the even ones carry a stale hash), else what the rule text yields, else the base."""
     o = t("orders").select("o_orderkey", rule_text().alias("rule"))
     stored = t("orders").filter("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_custkey").cast("string").alias("body"), F.sha2(F.concat(F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "x").otherwise("")), 256).alias("h"))
-    kind, _ = specs.mine_constraints(F.col("rule"))
+    kind = specs.mine_constraints(F.col("rule"))["form"]
     origin = F.when(F.col("h").isNotNull(), F.when(F.sha2("body", 256) == F.col("h"), "stored").otherwise("rejected")).when(kind != "quarantine", "mined").otherwise("base")
     return o.join(stored, "o_orderkey", "left").select("o_orderkey", origin.alias("origin"))
