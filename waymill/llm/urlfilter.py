@@ -75,7 +75,7 @@ def with_parents(links: DataFrame, hosts: DataFrame) -> DataFrame:
 EXACT = "decimal(38,24)"
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, most_rounds: int = 200, at_once: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, most_rounds: int = 200, at_once: int = 4) -> DataFrame:
     """(host, trust, distrust). seeds: columns host, good, bad, each of which adds up to 1 (or is 0 throughout)."""
     out = edges.groupBy(F.col("src").alias("h")).agg(F.sum("w").alias("out_w"))
     into = edges.groupBy(F.col("dst").alias("h")).agg(F.sum("w").alias("in_w"))
@@ -103,7 +103,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
     return ranks
 
 
-def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, ratio: float = 1.0, parents: bool = True, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, ratio: float = 1.0, parents: bool = True, damping: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
     """pages with host, path, rule and verdict."""
     pages = with_columns_free(pages, "host", "path", "rule", "verdict", "_rule", "_blocked")
     url = F.col(url_col).cast("string")
