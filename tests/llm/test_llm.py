@@ -637,8 +637,9 @@ def test_stage_with_odd_rows(spark, name):
     if name == "language ID":
         assert sorted(texts) == sorted([t for t in ODD if t and any(map(str.isalpha, t))] * 2)
     elif name == "SimHash near-dedup":
-        # wordless texts are one group; so are the equal lines; "one line of some length\nkept" has a word more
-        assert sorted(t or "" for t in texts) == sorted({" ".join((t or "").lower().split()): t for t in ["", "12 34", *ODD[4:6], ODD[7], ODD[9]]}.values(), key=str) or len(texts) == 6
+        # one of the wordless texts, one of the equal lines in any case, one of the two long copies; the others are groups of their own
+        words = sorted(" ".join((t or "").lower().split()) for t in texts)
+        assert words == sorted({" ".join((t or "").lower().split()) for t in ODD})
     elif name in ("benchmark decontamination", "mixing to target weights"):
         assert len(out) == len(ODD) * 2
     else:
