@@ -41,13 +41,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: cuts the lineage, and survives the loss of any executor."""
+def staged(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back: cuts the lineage, and survives the loss of any executor.
+
+    by: a column of few values; reading some of them reads their files alone.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/waymill-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_one(df: DataFrame) -> None:
+    """Deletes a table that staged() gave, once another one that was made from it has been written."""
+    path = getattr(df, "_staged_at", None)
+    for own, at in [x for x in _written if x[1] == path]:
+        p = SparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        p.getFileSystem(own.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _written.remove((own, at))
 
 
 def drop_staged(spark: SparkSession | None = None) -> None:

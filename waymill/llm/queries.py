@@ -5,9 +5,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymill.llm import decontam, fingerprint, htmltext, langid, linededup, mixing, pii, simhash, toxicity, urlfilter
+from waymill.llm import decontam, fingerprint, htmltext, langid, linededup, mixing, phrases, pieces, pii, search, simhash, toxicity, urlfilter
 from waymill.llm.common import short_batches, table
 
 
@@ -51,6 +52,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.query(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.query(table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,6 +79,6 @@ def bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: bounded(f) for f in (op1_mixing, op2_pii, op3_decontamination, op4_html, op5_fingerprints, op6_language_id, op7_url_filter, op8_line_dedup, op9_toxicity, op10_simhash, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: bounded(f) for f in (op1_mixing, op2_pii, op3_decontamination, op4_html, op5_fingerprints, op6_language_id, op7_url_filter, op8_line_dedup, op9_toxicity, op10_simhash, op11_sentencepiece, op12_collocations, op13_search, pipeline)}
 
-SQL: dict[str, str] = {"op3_decontamination": decontam.SQL, "op8_line_dedup": linededup.SQL}
+SQL: dict[str, str] = {"op3_decontamination": decontam.SQL, "op8_line_dedup": linededup.SQL, "op12_collocations": phrases.SQL, "op13_search": search.SQL}
