@@ -172,7 +172,8 @@ def _ranked_block(docs, wanted, top, owners, shard_rows, item_rows, id_col, text
     # the stated items, a bundle of each for every shard; in two steps, so that no array holds all shards
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n))
     bundles = per_item.withColumn("wide", upto(F.lit((shards - 1) // 4096).cast("long")))
-    bundles = bundles.withColumn("shard", upto(F.least(F.lit(4095), F.lit(shards - 1) - F.col("wide") * 4096)) + F.col("wide") * 4096).withColumns({"row": none, "id": none, "score": none})
+    bundles = bundles.withColumn("near", upto(F.least(F.lit(4095), F.lit(shards - 1) - F.col("wide") * 4096)))
+    bundles = bundles.withColumns({"shard": F.col("near") + F.col("wide") * 4096, "row": none, "id": none, "score": none})
     bundles = bundles.select("shard", "block", "item", "terms", "owners", "weights", "most", "row", "id", "score")
     shared = spark.sparkContext.broadcast(owner)
     postings = forward.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
