@@ -23,6 +23,7 @@ pass; columns with the names of the new ones are replaced, others pass through;
 from __future__ import annotations
 
 import heapq
+import math
 import re
 
 import ahocorasick
@@ -34,43 +35,56 @@ from pyspark.sql import functions as F
 from waymill.llm.common import free_names, sha256_of, with_columns_free
 
 MARK = "▁"
-CACHE, CACHED = 1 << 18, 64
+CACHE, CACHED, PAIRS = 1 << 18, 64, 1 << 20
 
 
 class Encoder:
-    """The tables of one model, in a task."""
+    """The tables of one model, in a task. Pieces are told by their ids."""
 
     def __init__(self, model: bytes):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        special = [i for i in range(sp.get_piece_size()) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)]
-        if any(sp.is_unused(i) for i in range(sp.get_piece_size())):
+        self.size = size = sp.get_piece_size()
+        special = [i for i in range(size) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)]
+        if any(sp.is_unused(i) for i in range(size)):
             raise ValueError("models with unused pieces are not supported")
         self.unknown = sp.unk_id()
         byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in special if sp.is_byte(i)}
         self.bytes = [byte[k] for k in range(256)] if len(byte) == 256 else None
-        plain = set(range(sp.get_piece_size())) - set(special)
-        self.number = {sp.id_to_piece(i): i for i in plain}
-        self.worth = {p: sp.get_score(i) for p, i in self.number.items()}
-        reached = [p for p in self.number if len(p) == 1 or self.merged(p) == [p]]
+        self.text = [sp.id_to_piece(i) for i in range(size)]
+        self.number = {self.text[i]: i for i in set(range(size)) - set(special)}
+        rank = {score: k for k, score in enumerate(sorted({sp.get_score(i) for i in self.number.values()}, reverse=True))}
+        self.rank = {p: rank[sp.get_score(i)] for p, i in self.number.items()}  # the lowest is merged first; equal scores share one
+        self.letters = frozenset(p for p in self.number if len(p) == 1)
+        self.split: dict[str, tuple[str, str]] = {}  # what a piece was merged from
+        reached = [p for p in self.number if len(p) == 1 or self.merged(p, self.split) == [p]]
         self.automaton = ahocorasick.Automaton()
         for p in reached:
-            self.automaton.add_word(p, len(p))
+            self.automaton.add_word(p, (len(p), self.number[p]))
         self.automaton.make_automaton()
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.number and (k == 1 or p[:k] in self.automaton)), None) for p in reached}
+        self.length = [len(p) for p in self.text]
+        #: The longest piece that a piece begins with, or -1.
+        self.shorter = [-1] * size
+        known = set(reached)
+        for p in reached:
+            self.shorter[self.number[p]] = next((self.number[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in known), -1)
         self.alone = not any(MARK in p.lstrip(MARK) for p in reached)  # word marks only begin pieces: texts can be cut there
-        self.compatible: dict[tuple[str, str], bool] = {}
+        # pieces rank after what they are merged from, so that merges come in the order of ranks; else all checks merge anew
+        self.ordered = {p for p in reached if all(len(x) == 1 or self.rank[x] < self.rank[p] for x in self.split.get(p, ()))}
+        self.tails = {p: self.edge(p, 1) for p in reached}
+        self.starts = {p: self.edge(p, 0) for p in reached}
+        self.compatible: dict[int, bool] = {}
         self.met: dict[str, tuple[int, ...]] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a text by merging: the highest score first, leftmost of equals."""
+    def merged(self, text: str, split: dict[str, tuple[str, str]] | None = None) -> list[str]:
+        """The pieces of a text by merging: the best rank first, leftmost of equals. split takes what was merged from what."""
         part: list[str | None] = list(text)
         left, right = list(range(-1, len(part) - 1)), list(range(1, len(part) + 1))
         queue: list = []
 
         def offer(i: int) -> None:
             j = right[i]
-            if j < len(part) and (score := self.worth.get(part[i] + part[j])) is not None:
-                heapq.heappush(queue, (-score, i, len(part[i]), len(part[j])))
+            if j < len(part) and (rank := self.rank.get(part[i] + part[j])) is not None:
+                heapq.heappush(queue, (rank, i, len(part[i]), len(part[j])))
 
         for i in range(len(part) - 1):
             offer(i)
@@ -78,6 +92,8 @@ class Encoder:
             _, i, a, b = heapq.heappop(queue)
             if part[i] is None or len(part[i]) != a or (j := right[i]) >= len(part) or len(part[j]) != b:
                 continue  # a pair that has been merged since
+            if split is not None and a + b == len(text):
+                split[text] = part[i], part[j]
             part[i], part[j], right[i] = part[i] + part[j], None, right[j]
             if right[j] < len(part):
                 left[right[j]] = i
@@ -86,50 +102,82 @@ class Encoder:
                 offer(left[i])
         return [p for p in part if p is not None]
 
-    def fits(self, a: str, b: str) -> bool:
-        """Merged again together, two pieces stay these two."""
-        got = self.compatible.get((a, b))
-        if got is None:
-            got = self.merged(a + b) == [a, b]
-            if len(self.compatible) < 4 * CACHE:
-                self.compatible[a, b] = got
-        return got
-
-    def known(self, text: str) -> list[str]:
+    def edge(self, piece: str, side: int) -> list[tuple[str, float]] | None:
+        """The parts that stand at a piece's end (side 1) or start (0) while it is merged, with the rank of the merge that ends
+        each; None if its merges are not in the order of ranks."""
+        out, until = [], math.inf
+        while True:
+            if piece not in self.ordered:
+                return None
+            out.append((piece, until))
+            if len(piece) == 1:
+                return out
+            until, piece = self.rank[piece], self.split[piece][side]
+
+    def fits(self, a: int, b: int) -> bool:
+        """Merged again together, two pieces stay these two.
+
+        Merges run in the order of ranks, so a part at the end of the one and a part at the start of the other are merged across
+        exactly if their joint piece ranks before the merge that ends either (at equal ranks the left merge comes first).
+        """
+        tails, starts = self.tails[self.text[a]], self.starts[self.text[b]]
+        if tails is None or starts is None:
+            return self.merged(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
+        for x, end_x in tails:
+            for y, end_y in starts:
+                rank = self.rank.get(x + y)
+                if rank is not None and rank < end_x and rank <= end_y:
+                    return False
+        return True
+
+    def known(self, text: str) -> list[int]:
         """The pieces of a text all of whose characters are pieces, by backtracking."""
-        longest = [1] * len(text)
-        for end, size in self.automaton.iter(text):
-            if size > longest[end - size + 1]:
-                longest[end - size + 1] = size
-        open_ = bytearray(b"\xff") * (len(text) // 8 + 1)
-        out: list[str] = []
-        at, piece = 0, text[: longest[0]]
+        best = [0] * len(text)
+        for end, (size, piece) in self.automaton.iter(text):
+            best[end - size + 1] = piece  # matches come by their ends, so the longest of a start comes last
+        length, shorter, compatible, n = self.length, self.shorter, self.compatible, len(text)
+        closed = None  # the bitfield of failed positions, once there is one
+        out: list[int] = []
+        at, piece, last = 0, best[0], -1
         while True:
-            end = at + len(piece)
-            if open_[end >> 3] >> (end & 7) & 1 and (not out or self.fits(out[-1], piece)):
+            end = at + length[piece]
+            good = closed is None or not closed[end >> 3] >> (end & 7) & 1
+            if good and last >= 0:
+                key = last * self.size + piece
+                good = compatible.get(key)
+                if good is None:
+                    good = self.fits(last, piece)
+                    if len(compatible) < PAIRS:
+                        compatible[key] = good
+            if good:
                 out.append(piece)
-                if end == len(text):
+                if end == n:
                     return out
-                at, piece = end, text[end : end + longest[end]]
-            elif self.shorter[piece] is not None:
-                piece = self.shorter[piece]
+                at, last, piece = end, piece, best[end]
+            elif shorter[piece] >= 0:
+                piece = shorter[piece]
             else:
-                open_[at >> 3] &= ~(1 << (at & 7)) & 255
+                closed = closed or bytearray(n // 8 + 1)
+                closed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
-                at -= len(piece)
+                at -= length[piece]
+                last = out[-1] if out else -1
 
     def stretch(self, text: str) -> tuple[int, ...]:
         """The ids of a stretch: runs of known characters between those that are no piece."""
+        letters = self.letters
+        if letters.issuperset(text):
+            return tuple(self.known(text))
         ids: list[int] = []
-        number, at = self.number, 0
+        at = 0
         while at < len(text):
             end = at
-            while end < len(text) and text[end] in number:
+            while end < len(text) and text[end] in letters:
                 end += 1
             if end > at:
-                ids += [number[p] for p in self.known(text[at:end])]
+                ids += self.known(text[at:end])
             at = end
-            while at < len(text) and text[at] not in number:
+            while at < len(text) and text[at] not in letters:
                 at += 1
             if at > end:
                 # the library joins neighbouring unknown characters into one unknown id, but writes each byte
@@ -153,18 +201,26 @@ class Encoder:
 
 
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: The encoder of this Python worker, kept over its tasks.
-_held: dict[int, Encoder] = {}
+#: What this Python worker has built from a model, kept over its tasks.
+_held: dict[tuple[type, int], object] = {}
 
 
-def encoder(shared) -> Encoder:
-    key = hash(shared.value)
+def _of_model(kind, shared):
+    key = kind, hash(shared.value)
     if key not in _held:
         _held.clear()
-        _held[key] = Encoder(shared.value)
+        _held[key] = kind(shared.value)
     return _held[key]
 
 
+class Decoder:
+    def __init__(self, model: bytes):
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+
+    def decode(self, ids: list[int]) -> str:
+        return self.sp.decode(ids) if ids else ""
+
+
 def model_bytes(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> bytes:
     """The model file (any path that Spark can read; a plain one is one of the driver's machine)."""
     path = path if "://" in path else f"file://{path}"
@@ -180,36 +236,36 @@ def model_bytes(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> b
         stream.close()
 
 
-def _mapped(shared, work, kind):
-    """Replaces the last column by what work gives for each of its values."""
+def _mapped(shared, tool, work, kind):
+    """Replaces the last column by what work gives, with the tool of the model, for each of its values."""
 
     def run(batches):
-        e = encoder(shared)
+        own = _of_model(tool, shared)
         for b in batches:
-            new = pa.array([work(e, v) for v in b.column(b.num_columns - 1).to_pylist()], kind)
+            new = pa.array([work(own, v) for v in b.column(b.num_columns - 1).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], new], names=b.schema.names)
 
     return run
 
 
-def _apply(df: DataFrame, own, shared, work, kind, spark_kind: str, name: str) -> DataFrame:
+def _apply(df: DataFrame, own, shared, tool, work, kind, spark_kind: str, name: str) -> DataFrame:
     (new,) = free_names(df, "_new")
     src = df.select(*with_columns_free(df, name).columns, own.alias(new))
     schema = src.withColumn(new, F.lit(None).cast(spark_kind)).schema
-    return src.mapInArrow(_mapped(shared, work, kind), schema).withColumnRenamed(new, name)
+    return src.mapInArrow(_mapped(shared, tool, work, kind), schema).withColumnRenamed(new, name)
 
 
 def encode_texts(docs: DataFrame, model: bytes, text_col: str = "text", name: str = "ids") -> DataFrame:
     """docs with the ids of each whole text, without begin and end ids."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return _apply(docs, F.col(text_col).cast("string"), shared, lambda e, t: e.encode(t), pa.list_(pa.int32()), "array<int>", name)
+    return _apply(docs, F.col(text_col).cast("string"), shared, Encoder, Encoder.encode, pa.list_(pa.int32()), "array<int>", name)
 
 
 def decode_ids(df: DataFrame, model: bytes, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """df with the text of each array of ids."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     own = F.filter(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda x: x.isNotNull())
-    return _apply(df, own, shared, lambda e, ids: e.sp.decode(ids) if ids else "", pa.string(), "string", name)
+    return _apply(df, own, shared, Decoder, Decoder.decode, pa.string(), "string", name)
 
 
 def query(docs: DataFrame, model_path: str) -> DataFrame:
