@@ -171,22 +171,51 @@ def check_schedule(out, share, block_rows):
 def test_mixing(spark):
     rows = docs(spark, [prose(i, 5) for i in range(900)])
     share = {"s0": 0.5, "s1": 0.3, "s2": 0.15, "null": 0.05}
-    out = mixing.mix(rows, {k if k != "null" else None: w for k, w in share.items()}, block_rows=4, frame=16, bucket_rows=64).toPandas()
+    out = mixing.mix(rows, {k if k != "null" else None: w for k, w in share.items()}, block_rows=4, bucket_rows=64).toPandas()
     assert len(out) == 900 and out.doc_id.nunique() == 900 and list(out.columns).count("block") == 1
     check_schedule(out, share, 4)
 
 
-@pytest.mark.parametrize("weights", [[1, 1, 1], [10, 37**0.5, 5**0.5], [1e4, 1, 1], [1, 2]])
+def fair(w, blocks):
+    """Runs the schedule: each block once and in its window, and less than a block off its share while a source lasts."""
+    had, before, ends = [0] * len(w), -1, {}
+    for k, i, t, release, due in mixing.schedule(w, blocks):
+        assert i == had[k] and before < t and release <= t < due and release == int(i / w[k]) and due == -int(-(i + 1) // w[k])
+        before, had[k] = t, i + 1
+        if had[k] == blocks[k]:
+            ends[k] = t
+    assert had == blocks and len(ends) == sum(b > 0 for b in blocks)
+
+
+def test_schedules_of_random_weights():
+    r = random.Random(4)
+    for n in range(1000):
+        m = r.choice((1, 2, 3, 5, 12)) if n % 50 else 200
+        weights = {k: 10 ** r.uniform(-9, 0) for k in range(m)}
+        w = mixing.shares(weights, list(range(m)))
+        fair(w, [r.choice((0, 1, 3, r.randrange(1, 60), int(min(200, 1 + 150 * float(x))))) for x in w])
+
+
+@pytest.mark.parametrize("weights", [[1, 1, 1], [10, 37**0.5, 5**0.5], [1, 1e-4, 0.3], [1, 2], [10**4.5, (3e8) ** 0.5, 1e3, 10]])
 def test_every_prefix_of_the_schedule_is_fair(weights):
-    w, most = mixing.shares(dict(enumerate(weights)), list(range(len(weights)))), 0
-    for frame in (0, 1, 2, 977, 10**6):  # to slot 10^9
-        had = mixing.had(w, frame * 1024)
-        for n, (k, i, t, release, due) in enumerate(mixing.one_frame(w, frame * 1024, 1024)):
-            assert t == frame * 1024 + n and release <= t < due and i == had[k]
-            had[k] += 1
-            most = max(most, *(abs(had[j] - w[j] * (t + 1)) for j in range(len(w))))
-        assert had == mixing.had(w, (frame + 1) * 1024)
-    assert most < 1
+    w = mixing.shares(dict(enumerate(weights)), list(range(len(weights))))
+    blocks = [-int(-40_000 * x // 1) for x in w]
+    fair(w, blocks)
+    had, least = [0] * len(w), min(int(b / x) for b, x in zip(blocks, w, strict=True))
+    for k, _, t, _, _ in mixing.schedule(w, blocks):
+        if t >= least:
+            break
+        had[k] += 1
+        assert all(abs(had[j] - w[j] * (t + 1)) < 1 for j in range(len(w)))
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 1, "b": 1e-6, "c": 0.5}])
+def test_a_source_of_three_rows_has_its_slots(spark, weights):
+    rows = spark.range(60_003).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "b").when(F.col("id") % 3 == 0, "c").otherwise("a").alias("source"), F.lit("x").alias("text"))
+    out = mixing.mix(rows, weights, block_rows=1).toPandas()
+    assert len(out) == 60_003 and out.notna().all().all() and not out.slot.duplicated().any() and (out.place == 0).all()
+    assert ((out.slot >= out.release) & (out.slot < out.deadline)).all()
+    assert len(mixing.mix(rows, weights, most_blocks=100).groupBy("slot").count().collect()) <= 103
 
 
 def test_mixing_refuses_bad_weights_and_too_many_sources(spark):

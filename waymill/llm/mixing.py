@@ -4,30 +4,32 @@ The rows of a source are dealt, in a hashed order, into blocks of ``block_rows``
 fraction) releases its block i (from 0) at slot floor(i / w) and has it due by slot ceil((i + 1) / w); each slot runs the
 released block with the earliest deadline, so at every slot each source has had its share to less than one block.
 
-Slots come in frames of ``frame`` slots. Before slot T the sources have had floor(C T) - floor(C' T) blocks, where C and C'
-are the sums of the weights up to and before a source: each to less than one block its share, together T. The blocks of a
-frame, with releases and deadlines cut at the frame's ends, never ask for more slots of a stretch than it has, so earliest
-deadline first schedules every frame on its own: frames are a table, worked out by Spark's tasks, and no weight is rounded.
-A source that has run out leaves its slots empty, so that the others keep their proportions; no row is dropped or repeated.
+All blocks are jobs of one slot on one machine, and the shares add up to 1, so earliest deadline first meets every deadline
+(leaving out jobs of sources that have run out never hurts the others). The schedule is one run of it over exact whole
+numbers: a table of one row a block, of ``most_blocks`` blocks at most (with more rows, blocks hold more of them), which one
+task streams out with one waiting block a source in memory. Where all sources but some have run out, slots between their
+releases stay empty, so that the others keep their proportions; no row is dropped or repeated.
 
 Defined results: null sources are one source; ties in the hashed order fall by id and text hash; rows without an id are
 dealt by their other columns; repeated rows keep their own places; an empty table gives an empty result; columns with the
 names of the new ones are replaced, others pass through. Weights must be positive and finite (sources may be named that the
-table lacks), a source without one gets the mean weight, and more than ``most_sources`` sources are refused: they are a
-table of the driver.
+table lacks), a source without one gets the mean weight; shares whose slots pass 64 bits are refused, and so are more than
+``most_sources`` sources: they are a table of the driver.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymill.llm.common import shuffle_parts, staged, with_columns_free
+from waymill.llm.common import staged, with_columns_free
 
 NEW = ("block", "slot", "release", "deadline", "place")
 
@@ -42,50 +44,33 @@ def shares(weights: dict, sources: list) -> list[Fraction]:
     return [w / sum(own) for w in own]
 
 
-def floor_div(a: int, w: Fraction) -> int:
-    return a * w.denominator // w.numerator
-
-
-def had(w: list[Fraction], t: int) -> list[int]:
-    """Blocks of each source before slot t, a multiple of the frame."""
-    upto, out, before = Fraction(0), [], 0
-    for x in w:
-        upto += x
-        now = upto.numerator * t // upto.denominator
-        out.append(now - before)
-        before = now
-    return out
-
-
-def one_frame(w: list[Fraction], start: int, frame: int) -> list[tuple[int, int, int, int, int]]:
-    """(source, block, slot, release, deadline) of the slots from start on, by earliest deadline first; ties by source."""
-    first, last = had(w, start), had(w, start + frame)
-    release = lambda k, i: floor_div(i, w[k])
-    due = lambda k, i: -floor_div(-(i + 1), w[k])
-    later = [(max(start, release(k, first[k])), k, first[k]) for k in range(len(w)) if first[k] < last[k]]
-    heapq.heapify(later)
-    ready: list = []
-    out = []
-    for t in range(start, start + frame):
+def schedule(w: list[Fraction], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of all blocks, by slot: the released one with the earliest deadline; ties by source."""
+    whole = math.lcm(*(x.denominator for x in w))
+    part = [x.numerator * (whole // x.denominator) for x in w]
+    if any(-(-n * whole // p) >= 1 << 63 for n, p in zip(blocks, part, strict=True)):
+        raise ValueError("a share so small that its slots pass 64 bits")
+    later = [(0, k, 0) for k in range(len(w)) if blocks[k]]
+    ready: list[tuple[int, int, int, int]] = []
+    t = 0
+    while later or ready:
+        if not ready and later[0][0] > t:
+            t = later[0][0]
         while later and later[0][0] <= t:
-            _, k, i = heapq.heappop(later)
-            heapq.heappush(ready, (min(due(k, i), start + frame), k, i))
-        _, k, i = heapq.heappop(ready)
-        out.append((k, i, t, release(k, i), due(k, i)))
-        if i + 1 < last[k]:
-            heapq.heappush(later, (max(t + 1, release(k, i + 1)), k, i + 1))
-    return out
-
+            release, k, i = heapq.heappop(later)
+            heapq.heappush(ready, (-(-(i + 1) * whole // part[k]), k, i, release))
+        due, k, i, release = heapq.heappop(ready)
+        yield k, i, t, release, due
+        t += 1
+        if i + 1 < blocks[k]:
+            heapq.heappush(later, ((i + 1) * whole // part[k], k, i + 1))
 
-def _frames(shared, frame: int):
-    """The slots of the frames that come, of blocks that there are."""
 
+def _plan(w: list[Fraction], blocks: list[int], at_once: int = 1 << 16):
     def run(batches):
-        w, blocks = shared.value
-        for b in batches:
-            for n in b.column(0).to_pylist():
-                rows = [r for r in one_frame(w, n * frame, frame) if r[1] < blocks[r[0]]]
-                yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["_k", "block", "slot", "release", "deadline"])
+        rows = schedule(w, blocks) if any(b.num_rows for b in batches) else iter(())
+        while some := list(islice(rows, at_once)):
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], names=["_k", "block", "slot", "release", "deadline"])
 
     return run
 
@@ -100,7 +85,7 @@ def running(counts: DataFrame, coarse: int) -> DataFrame:
     return counts.withColumn("_own", own).join(wide, ["_s", "_c"]).select("_s", "_b", "_n", (F.col("_own") + F.col("_m")).alias("_start"))
 
 
-def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", tie_col: str = "text", block_rows: int = 16, frame: int = 1024, seed: int = 1, bucket_rows: int = 512, power: float = 0.5, most_sources: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", tie_col: str = "text", block_rows: int = 16, seed: int = 1, bucket_rows: int = 512, power: float = 0.5, most_sources: int = 20_000, most_blocks: int = 1 << 22) -> DataFrame:
     """docs with block, slot, release, deadline (in slots) and place (within the block).
 
     weights: by source. Without any, the weights are the sources' sizes to the given power.
@@ -114,9 +99,8 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
         return docs.withColumns({c: F.lit(None).cast("long") for c in NEW})
     sizes = sorted(((r[0], r[1]) for r in sizes), key=lambda r: (r[0] is None, str(r[0])))
     w = shares(weights or {k: n**power for k, n in sizes}, [k for k, _ in sizes])
-    frame = max(frame, 4 * len(w))
+    block_rows = max(block_rows, -(-sum(n for _, n in sizes) // most_blocks))
     blocks = [-(-n // block_rows) for _, n in sizes]
-    slots = max(-floor_div(-b, x) for b, x in zip(blocks, w, strict=True))
     simple = [c for c, kind in docs.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
     # without an id, equal hashes are left to rows that are equal in all plain columns
     hashed = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), *simple)).otherwise(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)))
@@ -125,8 +109,7 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     span = F.shiftrightunsigned("_h", 33).cast("double") / F.lit(float(1 << 31))
     held = docs.withColumn("_h", hashed).join(F.broadcast(known), F.col(source_col).eqNullSafe(F.col("_src"))).drop("_src").withColumn("_b", F.floor(span * F.col("_parts")))
     starts = running(staged(held.groupBy("_s", "_b").agg(F.count("*").alias("_n")), "mixcounts"), 1024)
-    frames = spark.range(-(-slots // frame), numPartitions=max(1, min(4 * shuffle_parts(spark), -(-slots // frame))))
-    plan = frames.mapInArrow(_frames(spark.sparkContext.broadcast((w, blocks)), frame), "_k long, block long, slot long, release long, deadline long")
+    plan = spark.range(1, numPartitions=1).mapInArrow(_plan(w, blocks), "_k long, block long, slot long, release long, deadline long")
     # the blocks that a bucket reaches into, in order: a few for each bucket
     reach = starts.withColumn("block", F.explode(F.sequence(F.floor(F.col("_start") / block_rows), F.floor((F.col("_start") + F.col("_n") - 1) / block_rows))))
     planned = reach.join(plan.withColumnRenamed("_k", "_s"), ["_s", "block"]).groupBy("_s", "_b").agg(F.first("_start").alias("_start"), F.array_sort(F.collect_list(F.struct("block", "slot", "release", "deadline"))).alias("_plan"))
