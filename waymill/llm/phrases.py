@@ -5,11 +5,13 @@ all lengths side by side: words from the first step on, a longer phrase from the
 words but the last, all but the first) have reached the threshold, until it has been counted on every shard once.
 
 What has reached the threshold is a filter of bits that only grows, so a phrase once active stays so: a step counts a phrase
-of its shard exactly if the filter of now lets it pass and the filter of one cycle before did not (then the shard has been
-counted for it). A false hit of the filter only counts a phrase that would not have been; each count is complete all the
-same. The filter's size follows the words that reach the threshold on the first shard and has a fixed upper bound
+of its shard exactly if the filter of now lets its subphrases pass and the filter of one cycle before did not (then the shard
+has been counted for it). A false hit of the filter only counts a phrase that would not have been; each count is complete all
+the same. The filter's size follows the words that reach the threshold on the first shard and has a fixed upper bound
 (``most_bits``, 128 MB): beyond it more is counted, and nothing is lost. Bits are set by Spark jobs and come to the driver
-as one row for 64 of them at most; all counts stay in staged tables. Steps end when the filter has not changed for a cycle.
+as one row for 64 of them at most; all counts stay in staged tables. A phrase that has been counted on all shards and stayed
+below the threshold goes from the table. Steps end when the filter has not changed for a cycle. Fewer shards add up the counts
+of the many rare phrases less often, more start longer phrases earlier.
 
 A candidate is a phrase of 2 to ``most_words`` words with a count a >= ``least``. Cut after its first k words it scores
 floor(1000000 a a / (l r)), by exact decimals; the lowest cut counts (ties: the smallest k). It is dropped if it lies inside
@@ -37,7 +39,9 @@ PIECES = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r"
 #: Stands between pieces; no byte of UTF-8.
 BREAK = b"\xff"
 #: Words and distinct words that a task counts before it hands its counts on.
-CHUNK, VOCABULARY = 4_000_000, 500_000
+CHUNK, VOCABULARY = 1_000_000, 200_000
+#: Phrases of one batch to Spark.
+SLICE = 1 << 15
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -83,53 +87,70 @@ class Counted:
         self.ids.append(np.fromiter(map(v.__getitem__, words), np.int64, len(words)))
         self.size += len(words)
 
-    def phrases(self, most_words: int, singles: bool, now: np.ndarray | None, before: np.ndarray | None) -> Iterator[tuple[list[bytes], np.ndarray]]:
-        """(phrases, counts) of each length: what now lets pass and before did not; words if singles."""
+    def phrases(self, most_words: int, singles: bool, now: np.ndarray | None = None, later: np.ndarray | None = None, before: np.ndarray | None = None) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+        """(phrases, counts, whether later lets their subphrases pass) of each length, for those that now lets pass and before
+        does not; words, and their number as the empty phrase, if singles."""
         ids, words = np.concatenate(self.ids), list(self.vocabulary)
         if singles:
-            yield words[1:], np.bincount(ids, minlength=len(words))[1:]
+            n = np.bincount(ids, minlength=len(words))
+            n[0] = len(ids) - n[0]
+            words[0] = b""
+            for i in range(0, len(words), SLICE):
+                yield words[i : i + SLICE], n[i : i + SLICE], np.zeros(len(n[i : i + SLICE]), bool)
+            words[0] = BREAK
         if now is None:
             return
         own = word_hashes(self.lang, words)
-        code, h = ids, own
-        inside, done = passes(now, h), passes(before, h)
-        inside[0] = False
-        members = np.arange(len(words))[:, None]
+        h, members = own, np.arange(len(words))[:, None]
+        live, late, done = (passes(f, h) for f in (now, later, before))
+        live[0] = False
+        code = np.where(live[ids], ids, -1)
         for k in range(2, most_words + 1):
-            live = (code >= 0) & inside[code]
-            at = np.flatnonzero(live[:-1] & live[1:])
-            if not len(at):
-                return
-            key, first, which, n = np.unique(code[at] * len(words) + ids[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-            head, tail, last = code[at[first]], code[at[first] + 1], ids[at[first] + k - 1]
+            at = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0))
+            head, tail, last = code[at], code[at + 1], ids[at + k - 1]
+            key = 2 * (head * len(words) + last) + (late[head] & late[tail])
             new = ~(done[head] & done[tail])
-            members = np.column_stack((members[head], last))
-            cols = [[words[i] for i in c] for c in members[new].T.tolist()]
-            yield [b" ".join(p) for p in zip(*cols, strict=True)], n[new]
-            h = mixed(h[head], own[last])
-            inside, done = passes(now, h), passes(before, h)
+            found, many = np.unique(key[new], return_counts=True)
+            for i in range(0, len(found), SLICE):
+                some = found[i : i + SLICE]
+                told = np.column_stack((members[some // 2 // len(words)], some // 2 % len(words)))
+                cols = [[words[w] for w in c] for c in told.T.tolist()]
+                yield [b" ".join(p) for p in zip(*cols, strict=True)], many[i : i + SLICE], some % 2 > 0
+            if k == most_words:
+                return
+            on = np.flatnonzero(passes(now, mixed(h[head], own[last])))
+            if not len(on):
+                return
+            kept, which = np.unique(key[on] // 2, return_inverse=True)
+            members = np.column_stack((members[kept // len(words)], kept % len(words)))
+            h = mixed(h[kept // len(words)], own[kept % len(words)])
+            late, done = passes(later, h), passes(before, h)
             code = np.full(len(ids) - k + 1, -1)
-            code[at] = which
+            code[at[on]] = which
 
 
-def _count(most_words: int, singles: bool, now, before):
-    """now, before: broadcasts of filters, or None."""
+def _count(most_words: int, singles: bool, filters, since: int, step: int):
+    """filters: a broadcast of now, later and before; phrases that later lets pass are active since that step, others since now."""
 
     def flushed(held: dict[str, Counted]):
         for c in held.values():
-            for phrases, n in c.phrases(most_words, singles, now and now.value, before and before.value):
-                yield pa.record_batch([pa.array([c.lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+            for phrases, n, late in c.phrases(most_words, singles, *filters.value):
+                start = np.where(late, since, 0 if singles and phrases and b" " not in phrases[-1] else step)
+                yield pa.record_batch([pa.array([c.lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(start, pa.int32())], names=["lang", "phrase", "n", "since"])
 
     def run(batches):
         held: dict[str, Counted] = {}
+        size = 0
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if lang not in held:
                     held[lang] = Counted(lang)
-                held[lang].add(words_of(text))
-                if sum(c.size for c in held.values()) >= CHUNK or len(held[lang].vocabulary) >= VOCABULARY:
+                words = words_of(text)
+                held[lang].add(words)
+                size += len(words)
+                if size >= CHUNK or len(held[lang].vocabulary) >= VOCABULARY:
                     yield from flushed(held)
-                    held = {}
+                    held, size = {}, 0
         yield from flushed(held)
 
     return run
@@ -159,64 +180,59 @@ def filter_size(reached: int, most_bits: int) -> int:
 
 
 def with_bits(filter_: np.ndarray, phrases: DataFrame) -> np.ndarray:
-    """A filter that also lets those phrases pass, or the same one; one row for 64 bits comes to the driver, so its size bounds them."""
+    """A filter that also lets those phrases pass (the same one if it did); one row for 64 bits comes to the driver at most."""
     rows = phrases.mapInArrow(_bits(64 * len(filter_)), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     got = rows.toArrow()
-    if not got.num_rows:
-        return filter_
     out = filter_.copy()
     out[got.column("at").to_numpy()] |= got.column("bits").to_numpy().view(np.uint64)
-    return out
+    return filter_ if np.array_equal(out, filter_) else out
 
 
 def size_of(phrase):
     return F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1
 
 
-def count_phrases(docs: DataFrame, most_words: int = 3, least: int = 10, shards: int = 4, text_col: str = "text", lang_col: str = "lang", most_bits: int = 1 << 30) -> DataFrame:
-    """(lang, phrase, n): all words, and every phrase of up to most_words words whose count reaches least, with exact counts.
-
-    Phrases below the threshold may also stand there, with their exact counts.
-    """
+def count_phrases(docs: DataFrame, most_words: int = 3, least: int = 10, shards: int = 2, text_col: str = "text", lang_col: str = "lang", most_bits: int = 1 << 30) -> DataFrame:
+    """(lang, phrase, n): every phrase of up to most_words words whose count reaches least, with its exact count, and for each
+    language the number of its words, as the empty phrase. docs is read once a step."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UND)).alias("lang"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(shards)).cast("int").alias("shard"))
-    texts = staged(own, "phrasetexts", by="shard")
+    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UND)).alias("lang"), text.alias("text"))
+    shard = F.pmod(F.xxhash64("text"), F.lit(shards))
     filters: list[np.ndarray | None] = [None]  # by step
-    changed = [0]  # the step from which the filter of a step has been in force
-    counts = None
-    for step in range((most_words + 1) * shards):
-        now, cycle = filters[step], filters[step - shards] if step >= shards else None
-        if step >= shards and changed[step] <= step - shards:
-            break
-        sent = [spark.sparkContext.broadcast(f) if f is not None else None for f in (now, cycle)]
-        part = texts.filter(F.col("shard") == step % shards).select("lang", "text").mapInArrow(_count(most_words, step < shards, *sent), "lang string, phrase string, n long")
-        part = part.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).withColumn("had", F.lit(0).cast("long"))
+    counts, step, changed = None, 0, 0  # changed: the step since which the filter has been the same
+    while step < shards or changed > step - shards:
+        now = filters[step]
+        later, before = (filters[step - k] if step >= k else None for k in (shards - 1, shards))
+        sent = spark.sparkContext.broadcast((now, later, before))
+        part = texts.filter(shard == step % shards).mapInArrow(_count(most_words, step < shards, sent, step - shards + 1, step), "lang string, phrase string, n long, since int")
         if counts is not None:
-            part = part.unionByName(counts.select("lang", "phrase", "n", F.col("n").alias("had"))).groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.max("had").alias("had"))
-        old, counts = counts, staged(part, "phrasecounts")
+            part = part.unionByName(counts)
+        total = part.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
+        # counted on all shards, and too seldom
+        over = (F.col("since") <= step - shards + 1) & (F.col("n") < least) & (F.col("phrase") != "")
+        old, counts = counts, staged(total.filter(~over), "phrasecounts")
         if old is not None:
             drop_one(old)
-        for s in sent:
-            if s is not None:
-                s.destroy()  # the step's counts are written
-        new = counts.filter((F.col("n") >= least) & (F.col("had") < least) & (size_of(F.col("phrase")) < most_words)).select("lang", "phrase")
-        if now is None and (reached := new.count()):
-            now = np.zeros(filter_size(reached, most_bits) // 64, np.uint64)
-        filters.append(with_bits(now, new) if now is not None else None)
-        changed.append(changed[step] if filters[-1] is now else step + 1)
+        sent.destroy()  # the step's counts are written
+        reached = counts.filter((F.col("n") >= least) & (F.col("phrase") != "") & (size_of(F.col("phrase")) < most_words)).select("lang", "phrase")
+        if now is None and (n := reached.count()):
+            now = np.zeros(filter_size(n, most_bits) // 64, np.uint64)
+        filters.append(with_bits(now, reached) if now is not None else None)
+        if filters[-1] is not filters[step]:
+            changed = step + 1
         if step >= shards:
             filters[step - shards] = None  # no longer asked for
-    drop_one(texts)
-    return counts.select("lang", "phrase", "n")
+        step += 1
+    return counts.filter((F.col("n") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "n")
 
 
 def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, inside: int = 50, top: int = 2000, **how) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language."""
     counts = count_phrases(docs, most_words, least, **how)
     size = size_of(F.col("phrase"))
-    total = counts.filter(size == 1).groupBy("lang").agg(F.sum("n").alias("n"))
-    often = staged(counts.filter(F.col("n") >= least).withColumn("size", size), "phrasesoften")
+    total = counts.filter("phrase = ''").select("lang", "n")
+    often = counts.filter("phrase <> ''").withColumn("size", size)
     found = often.filter("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"))
     words = F.split("phrase", " ")
     cut = found.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
