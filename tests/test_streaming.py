@@ -37,3 +37,39 @@ def test_counts_and_unseen(spark, tmp_path):
     twice = source(spark, tmp_path, df.withColumn("part", F.lit(0)), 1)
     once = finished(S.unseen(twice, "event_id", "ts", "3650 days"), "once", spark, "append", tmp_path)
     assert once.count() == e.count()
+
+
+def test_streak_with_history_over_restarts(spark, tmp_path):
+    """A run of outcomes in five files, one micro-batch each, and a restart from the checkpoint in between: as one loop over all."""
+    import random
+
+    from waymill.streaming.signals import signal_streaks
+
+    kind = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    key = "spark.sql.streaming.stateStore.providerClass"
+    had = spark.conf.get(key, None)
+    spark.conf.set(key, kind)
+    try:
+        r = random.Random(4)
+        given = [(run, g, r.choice(["zero_variance"] * 5 + ["usable", "invalid"]), r.choice([None, 0.5, 1.0])) for run in ("a", "b") for g in range(30)]
+        schema = "run string, grp long, outcome string, reward double"
+        src, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+        for part in range(5):
+            spark.createDataFrame([x for x in given if x[1] // 6 == part], schema).coalesce(1).write.mode("append").parquet(src)
+            if part in (1, 4):
+                stream = signal_streaks(spark.readStream.schema(schema).parquet(src), threshold=4)
+                q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+                q.awaitTermination(180)
+        want = []
+        for run in ("a", "b"):
+            streak, held = 0, []
+            for _, g, o, reward in (x for x in given if x[0] == run):
+                if o == "usable":
+                    streak, held = 0, []
+                elif o == "zero_variance":
+                    streak, held = streak + 1, [*held, (g, reward)][-4:]
+                want.append((run, g, o, streak, streak >= 4, held))
+        got = sorted((x.run, x.grp, x.outcome, x.streak, x.stop, [tuple(h) for h in x.history]) for x in spark.read.parquet(out).collect())
+        assert got == sorted(want) and any(x[4] for x in want)
+    finally:
+        spark.conf.set(key, had) if had else spark.conf.unset(key)
