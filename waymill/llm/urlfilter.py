@@ -7,12 +7,13 @@ over half of their pages allowed by a rule are trusted seeds, those with over ha
 personalised PageRank from the trusted seeds along the edges; distrust is one from the blocked seeds against them. A host is
 blocked if its distrust is over ``ratio`` times its trust, and allowed else, also where nothing is known.
 
-Rounds end when a round has moved less than ``tolerance`` of all trust and distrust; as each moves at most ``damping`` times
-what the one before did, less than tolerance * damping / (1 - damping) is still to move then. ``most_rounds`` only guards
-against a tolerance that rounding cannot reach.
+Rounds end when no verdict can change any more: no host was reached for the first time, and of every host that both reach the
+distrust is farther from ``ratio`` times its trust than all that is still to move (a round moves at most ``damping`` times what the one before did, so
+after one that moved m it is m * damping / (1 - damping) at most). Hosts too close to call for that go on until less than
+``tolerance`` is still to move. ``most_rounds`` only guards against a tolerance that rounding cannot reach.
 
 DataFrame functions alone: links are cut out by regular expressions in one pass over the html, ranks are joins and sums of
-decimals (so that no order of adding changes a verdict), written to the shared folder after every few rounds. A hub's
+decimals (so that no order of adding changes a verdict), one plan a round, written to the shared folder. A hub's
 messages are summed before the shuffle, and its own edges are a join that can be split.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule, and is allowed; null html has no
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import staged, with_columns_free
+from waymill.llm.common import drop_one, staged, with_columns_free
 
 #: The rules of the registered query: verdict, host, path.
 RULES = (
@@ -38,6 +39,9 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"://([^/?#]*)([^?#]*)"
 LINK = r"(?i)(?:href|src|action)\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^/?#\"'\s>]+)"
+#: The host of a base element, and a link without a host of its own, which then leads to it.
+BASE = r"(?i)<base\s[^>]*?href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
+RELATIVE = r"(?i)<(?:a|area|img|form|iframe|script|link)\s[^>]*?(?:href|src|action)\s*=\s*[\"']?\s*(?![a-z][a-z0-9+.-]*:|//|#|[\"'>\s])"
 
 
 def host_of(url):
@@ -58,10 +62,15 @@ def rule_of(host, path, rules=RULES):
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, w): pages of one host that link to another. pages: columns host and html."""
-    links = pages.filter("host <> ''").select("host", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), 1))).alias("link"))
-    target = F.translate(F.regexp_extract("link", "//(.*)", 1), UPPER, LOWER)
-    return links.select(F.col("host").alias("src"), target.alias("dst")).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    """(src, dst, w): pages of one host that link to another, by any element (canonical and language links too); a relative link
+    leads to the host of the page's base element, if it has one. pages: columns host and html."""
+    based = F.col("html").rlike(r"(?i)<base\s")
+    rest = F.when(based, F.regexp_replace("html", r"(?i)<base\s[^>]*>", " ")).otherwise(F.col("html"))  # a base element is no link itself
+    absolute = F.transform(F.regexp_extract_all(rest, F.lit(LINK), 1), lambda x: F.translate(F.regexp_extract(x, "//(.*)", 1), UPPER, LOWER))
+    base = F.translate(F.regexp_extract("html", BASE, 1), UPPER, LOWER)
+    own = F.when((base != "") & F.col("html").rlike(RELATIVE), F.array(base)).otherwise(F.array().cast("array<string>"))
+    links = pages.filter("host <> '' and html is not null").select(F.col("host").alias("src"), F.explode(F.array_distinct(F.concat(absolute, own))).alias("dst"))
+    return links.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
 def with_parents(links: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -75,7 +84,7 @@ def with_parents(links: DataFrame, hosts: DataFrame) -> DataFrame:
 EXACT = "decimal(38,24)"
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, most_rounds: int = 200, at_once: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, ratio: float = 1.0, tolerance: float = 1e-9, most_rounds: int = 1000) -> DataFrame:
     """(host, trust, distrust). seeds: columns host, good, bad, each of which adds up to 1 (or is 0 throughout)."""
     out = edges.groupBy(F.col("src").alias("h")).agg(F.sum("w").alias("out_w"))
     into = edges.groupBy(F.col("dst").alias("h")).agg(F.sum("w").alias("in_w"))
@@ -83,27 +92,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
     back = edges.join(into.withColumnRenamed("h", "dst"), "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("t"), (F.col("w") / F.col("in_w")).alias("d"))
     sends = staged(forth.union(back).groupBy("src", "dst").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "hostedges")
     hosts = sends.select(F.col("src").alias("host")).union(sends.select("dst")).union(seeds.select("host")).distinct()
-    nodes = staged(hosts.join(seeds, "host", "left").fillna(0.0, ["good", "bad"]), "hosts")
-    ranks = nodes.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-
-    def one(ranks: DataFrame) -> DataFrame:
+    nodes = hosts.join(seeds, "host", "left").fillna(0.0, ["good", "bad"])
+    ranks = staged(nodes.select("host", "good", "bad", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "ranks")
+    gap = F.abs(F.col("distrust") - F.lit(ratio) * F.col("trust"))
+    both = (F.col("trust") > 0) & (F.col("distrust") > 0)  # once no host is reached anew, all others are decided
+    for _ in range(most_rounds):
         got = sends.join(ranks.select(F.col("host").alias("src"), "trust", "distrust"), "src").groupBy(F.col("dst").alias("host"))
         got = got.agg(*[F.sum((F.col(w) * F.col(r)).cast(EXACT)).cast("double").alias(w) for w, r in (("t", "trust"), ("d", "distrust"))])
         new = lambda seed, got: F.lit(1 - damping) * F.col(seed) + F.lit(damping) * F.coalesce(F.col(got), F.lit(0.0))
-        return nodes.join(got, "host", "left").select("host", new("good", "t").alias("trust"), new("bad", "d").alias("distrust"))
-
-    for _ in range(0, most_rounds, at_once):
-        for _ in range(at_once - 1):
-            ranks = one(ranks)
-        before = staged(ranks, "ranks")
-        ranks = staged(one(before), "ranks")
-        moved = ranks.join(before.select("host", F.col("trust").alias("a"), F.col("distrust").alias("b")), "host").agg(F.sum(F.abs(F.col("trust") - F.col("a")) + F.abs(F.col("distrust") - F.col("b")))).first()[0]
-        if (moved or 0.0) < tolerance:
+        old = ranks
+        was = old.select("host", "good", "bad", F.col("trust").alias("trust0"), F.col("distrust").alias("distrust0"))
+        ranks = staged(was.join(got, "host", "left").select("host", "good", "bad", new("good", "t").alias("trust"), new("bad", "d").alias("distrust"), "trust0", "distrust0"), "ranks")
+        drop_one(old)
+        fresh = ((F.col("trust") > 0) & (F.col("trust0") == 0)) | ((F.col("distrust") > 0) & (F.col("distrust0") == 0))
+        r = ranks.agg(F.sum(F.abs(F.col("trust") - F.col("trust0"))).alias("t"), F.sum(F.abs(F.col("distrust") - F.col("distrust0"))).alias("d"), F.count_if(fresh).alias("fresh"), F.min(F.when(both, gap)).alias("gap")).first()
+        rest = ((r.d or 0.0) + ratio * (r.t or 0.0)) * damping / (1 - damping)
+        if rest < tolerance or (not r.fresh and (r.gap is None or r.gap > rest)):
             break
-    return ranks
+    return ranks.select("host", "trust", "distrust")
 
 
-def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, ratio: float = 1.0, parents: bool = True, damping: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
+def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, ratio: float = 1.0, parents: bool = True, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
     """pages with host, path, rule and verdict."""
     pages = with_columns_free(pages, "host", "path", "rule", "verdict", "_rule", "_blocked")
     url = F.col(url_col).cast("string")
@@ -114,7 +123,7 @@ def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=
     seeds = seeds.select("host", *[(F.col(c) / F.lit(total[c] or 1.0)).alias(c) for c in ("good", "bad")])
     links = staged(host_links(named.select("host", F.col(html_col).cast("string").alias("html"))), "links")
     edges = staged(with_parents(links, seeds), "edges") if parents else links
-    ranks = propagate(edges, seeds, damping, tolerance)
+    ranks = propagate(edges, seeds, damping, ratio, tolerance)
     bad = ranks.filter(F.col("distrust") > F.lit(ratio) * F.col("trust")).select("host", F.lit(True).alias("_blocked"))
     out = named.join(bad, "host", "left").withColumn("verdict", F.coalesce("_rule.verdict", F.when(F.col("_blocked"), "block").otherwise("allow"))).withColumn("rule", F.col("_rule.rule"))
     return out.select(*pages.columns, "host", "path", "rule", "verdict")
