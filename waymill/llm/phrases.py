@@ -23,6 +23,7 @@ repeated rows count again; other columns are ignored; an empty table gives an em
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,30 +68,34 @@ def places(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def passes(filter_: np.ndarray | None, h: np.ndarray) -> np.ndarray:
+    """Which hashes have all of their bits; most others are told by the first."""
+    out = np.zeros(len(h), bool)
     if filter_ is None:
-        return np.zeros(len(h), bool)
-    at = places(h, 64 * len(filter_))
-    return (filter_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).all(1)
+        return out
+    left, step = np.arange(len(h)), h >> np.uint64(32) | np.uint64(1)
+    for i in range(4):
+        at = h[left] + step[left] * np.uint64(i) & np.uint64(64 * len(filter_) - 1)
+        left = left[filter_[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0]
+    out[left] = True
+    return out
 
 
 class Counted:
     """Counts of one language in a task."""
 
     def __init__(self, lang: str):
-        self.lang, self.vocabulary, self.ids, self.size = lang, {BREAK: 0}, [], 0
+        self.lang, self.ids = lang, []
+        self.vocabulary: dict[bytes, int] = defaultdict()
+        self.vocabulary.default_factory = self.vocabulary.__len__  # a new word gets the next number
+        self.vocabulary[BREAK] = 0
 
     def add(self, words: list[bytes]) -> None:
-        v = self.vocabulary
-        for w in words:
-            if w not in v:
-                v[w] = len(v)
-        self.ids.append(np.fromiter(map(v.__getitem__, words), np.int64, len(words)))
-        self.size += len(words)
+        self.ids.append(np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words)))
 
     def phrases(self, most_words: int, singles: bool, now: np.ndarray | None = None, later: np.ndarray | None = None, before: np.ndarray | None = None) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
         """(phrases, counts, whether later lets their subphrases pass) of each length, for those that now lets pass and before
         does not; words, and their number as the empty phrase, if singles."""
-        ids, words = np.concatenate(self.ids), list(self.vocabulary)
+        ids, words = np.concatenate(self.ids).astype(np.int64), list(self.vocabulary)
         if singles:
             n = np.bincount(ids, minlength=len(words))
             n[0] = len(ids) - n[0]
@@ -108,9 +113,9 @@ class Counted:
         for k in range(2, most_words + 1):
             at = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0))
             head, tail, last = code[at], code[at + 1], ids[at + k - 1]
-            key = 2 * (head * len(words) + last) + (late[head] & late[tail])
-            new = ~(done[head] & done[tail])
-            found, many = np.unique(key[new], return_counts=True)
+            key = lambda some: head[some] * len(words) + last[some]  # noqa: E731, B023
+            new = np.flatnonzero(~(done[head] & done[tail]))
+            found, many = np.unique(2 * key(new) + (late[head[new]] & late[tail[new]]), return_counts=True)
             for i in range(0, len(found), SLICE):
                 some = found[i : i + SLICE]
                 told = np.column_stack((members[some // 2 // len(words)], some // 2 % len(words)))
@@ -121,7 +126,7 @@ class Counted:
             on = np.flatnonzero(passes(now, mixed(h[head], own[last])))
             if not len(on):
                 return
-            kept, which = np.unique(key[on] // 2, return_inverse=True)
+            kept, which = np.unique(key(on), return_inverse=True)
             members = np.column_stack((members[kept // len(words)], kept % len(words)))
             h = mixed(h[kept // len(words)], own[kept % len(words)])
             late, done = passes(later, h), passes(before, h)
