@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -73,7 +74,7 @@ class Encoder:
         self.tails = {p: self.edge(p, 1) for p in reached}
         self.starts = {p: self.edge(p, 0) for p in reached}
         self.compatible: dict[int, bool] = {}
-        self.met: dict[str, tuple[int, ...]] = {}
+        self.met = Met(self.stretch)
 
     def merged(self, text: str, split: dict[str, tuple[str, str]] | None = None) -> list[str]:
         """The pieces of a text by merging: the best rank first, leftmost of equals. split takes what was merged from what."""
@@ -143,7 +144,7 @@ class Encoder:
             end = at + length[piece]
             good = closed is None or not closed[end >> 3] >> (end & 7) & 1
             if good and last >= 0:
-                key = last * self.size + piece
+                key = last << 32 | piece
                 good = compatible.get(key)
                 if good is None:
                     good = self.fits(last, piece)
@@ -188,16 +189,21 @@ class Encoder:
         whole = self.sp.normalize(text or "")
         if not self.alone:
             return list(self.stretch(whole)) if whole else []
-        ids: list[int] = []
-        met = self.met
-        for s in STRETCH.findall(whole):
-            got = met.get(s)
-            if got is None:
-                got = self.stretch(s)
-                if len(s) <= CACHED and len(met) < CACHE:
-                    met[s] = got
-            ids += got
-        return ids
+        return list(chain.from_iterable(map(self.met.__getitem__, STRETCH.findall(whole))))
+
+
+class Met(dict):
+    """The ids of stretches that a task has met; others are worked out, and kept while there is room."""
+
+    def __init__(self, work):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        got = self.work(text)
+        if len(text) <= CACHED and len(self) < CACHE:
+            self[text] = got
+        return got
 
 
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -236,13 +242,21 @@ def model_bytes(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> b
         stream.close()
 
 
+def _values(column: pa.Array) -> list:
+    """A column as Python values; lists of numbers are cut from one flat list."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, ends = column.values.tolist() if column.values.null_count else column.values.to_numpy().tolist(), column.offsets.to_numpy().tolist()
+    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def _mapped(shared, tool, work, kind):
     """Replaces the last column by what work gives, with the tool of the model, for each of its values."""
 
     def run(batches):
         own = _of_model(tool, shared)
         for b in batches:
-            new = pa.array([work(own, v) for v in b.column(b.num_columns - 1).to_pylist()], kind)
+            new = pa.array([work(own, v) for v in _values(b.column(b.num_columns - 1))], kind)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], new], names=b.schema.names)
 
     return run
