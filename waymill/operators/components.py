@@ -5,18 +5,24 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; a folder of this machine is set only under a local master."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a folder of this machine is set only under a local master."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("spark.checkpoint.dir names no folder: set it to one that all executors share")
         context.setCheckpointDir(named or f"file://{tempfile.gettempdir()}/waymill-checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("rollout_queries", "trajectory_queries", "sampling_queries", "catalog_queries", "scoring_queries", "text_queries", "curation_queries", "report_queries", "check_queries", "spec_queries", "submission_queries", "grounding_queries", "audit_queries")
+MODULES = ("rollout_queries", "trajectory_queries", "sampling_queries", "catalog_queries", "scoring_queries", "text_queries", "curation_queries", "report_queries", "check_queries", "spec_queries", "submission_queries", "grounding_queries", "audit_queries", "gate_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -47,8 +47,9 @@ def ingest(rows: DataFrame, fault, good_path: str, reject_path: str, checkpoint:
     row. Batches are written by their id as a partition and replace it, so that a batch that is run again adds nothing."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        marked = batch.withColumns({"fault": fault, "batch_id": F.lit(batch_id)})
+        marked = batch.withColumns({"fault": fault, "batch_id": F.lit(batch_id)}).persist()  # the source is read once
         for part, path in ((marked.filter("fault is null").drop("fault"), good_path), (marked.filter("fault is not null"), reject_path)):
             part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        marked.unpersist()
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**trigger).start()
