@@ -246,3 +246,50 @@ def test_gates(spark):
     assert got == {("a", "all_ok"): True, ("a", "most"): True, ("a", "rows"): True, ("a", "accepted"): True, ("b", "all_ok"): False, ("b", "most"): False, ("b", "rows"): False, ("b", "accepted"): False}
     assert {(r.gate, r.passed) for r in gates.gate_table(df.filter("k = 'a'"), [gates.Gate("h", "rows", F.count("*"), "eq", 9, hard=False)]).collect()} == {("rows", False), ("accepted", True)}
     assert [r.passed for r in gates.gate_table(df.limit(0), own[:2]).collect()] == [False, False, False]
+
+
+def test_required_keys_come_first(spark):
+    """Order of keys in tools and in arguments, and unknown tools, in rows that are fine otherwise."""
+    from waymill.operators import rows as rows_
+
+    tool = lambda props, required: json.dumps({"name": "find", "parameters": {"properties": {p: {} for p in props}, "required": required}})
+    good = tool("abc", ["a", "b"])
+    body = '{"response_version": "r3", "valid_action": %s, "remaining_steps": 3, "tool_result": {}}'
+
+    def row(k, tools, name, args, mode="react", mask=(True, True)):
+        said = lambda n, a: ("assistant", "x", None, [(n, a)])
+        messages = [("system", "s", None, []), ("user", "q", None, []), said(name, args), ("tool", body % str(mask[0]).lower(), None, []), said("find", '{"a": 1, "b": 2}')]
+        return (k, "v3", "delta", "r3", mode, "text", False, list(mask), tools, messages)
+
+    given = [
+        row(0, [good], "find", '{"a": 1, "b": 2, "c": 3}'), row(1, [good], "find", '{"b": 1, "a": 2}'), row(2, [good], "find", '{"a": 1}'), row(3, [good], "other", '{"a": 1}'), row(4, [good], "other", "{}", "react_recovery", (False, True)),
+        row(5, [tool("bac", ["a", "b"])], "find", '{"a": 1, "b": 2}'), row(6, ["search"], "other", "{}"), row(7, [tool("abc", [])], "find", "{}"),
+    ]
+    df = spark.createDataFrame(given, f"k int, format_version string, tool_response_mode string, response_version string, supervision_mode string, user_content_format string, enable_thinking boolean, loss_mask array<boolean>, tools array<string>, messages {rows_.MESSAGES}")
+    got = {r.k: r.fault for r in rows_.first_fault(df).collect()}
+    assert got == {0: None, 1: "arguments_order", 2: "arguments_order", 3: "unknown_tool", 4: None, 5: "tools_order", 6: None, 7: None}
+
+
+def test_base_checks_are_no_rules_to_mine(spark):
+    from waymill.operators import specs
+
+    df = spark.createDataFrame([("result=(day_count(plan)==3)",), ("result = (people_count(plan) == 2)",), ("result=(other(plan)==2)",), ("total_cost<=5",)], "r string")
+    assert [x.f for x in df.select(specs.mine_constraints(F.col("r"))["form"].alias("f")).collect()] == ["base_check", "base_check", "quarantine", "total_budget"]
+
+
+def test_report_operators(spark):
+    from waymill.operators import reports
+
+    texts = [("价格更低，移除", True), ("标价高于它，移除", True), ("价格更低", False), ("移除", False), (None, False)]
+    got = spark.createDataFrame(texts, "t string, w boolean").select("w", reports.price_comparison(F.col("t")).alias("g")).collect()
+    assert all(r.g == r.w for r in got)
+    times = [("00:00", True), ("21:00", True), ("09:00", True), ("08:00", False), ("24:00", False), ("9:00", False), ("09:30", False), (None, False)]
+    assert all(r.g == r.w for r in spark.createDataFrame(times, "t string, w boolean").select("w", reports.is_coarse(F.col("t")).alias("g")).collect())
+    steps = [(1, k, *x) for k, x in enumerate([("save_candidate", 5, None, None, None, None), ("list_candidates", None, None, None, None, None), ("remove_candidate", 5, None, None, None, "价格更低，移除"), ("remove_candidate", 6, None, None, None, "x"), ("search_nearby", None, None, 7, None, None), ("search_intercity_transport", None, None, None, None, None)])]
+    found = rows(reports.action_violations(spark.createDataFrame(steps, "task_id int, step int, tool string, entity_id int, at_time string, radius int, top_k int, content string")))
+    assert found == [(1, v, 1) for v in ("coarse_time", "radius", "removed_unreviewed", "removed_unsaved", "removed_without_price", "top_k")]
+    whole = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "i int, h string")
+    parts = whole.filter("i < 3").withColumn("part", F.lit("train")).unionByName(whole.filter("i > 1").withColumn("part", F.lit("test")))
+    table = {r.gate: r.passed for r in reports.split_gates(whole, parts, "i", "h").collect()}
+    assert table == {"repeated_id": True, "repeated_hash": True, "id_in_two_parts": False, "hash_in_two_parts": False, "in_no_part": True, "not_in_the_whole": True, "accepted": False}
+    assert {r.gate: r.passed for r in reports.split_gates(whole, parts.filter("part = 'test' or i = 1"), "i", "h").collect()}["accepted"]

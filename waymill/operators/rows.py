@@ -47,11 +47,22 @@ def _message_fault(m: Column, mode: Column, response_mode: Column, response_vers
     return F.when(m["reasoning"].isNotNull(), "reasoning").when(m["role"] == "assistant", assistant).when(m["role"] == "tool", tool)
 
 
+def _first(keys: Column, required: Column) -> Column:
+    """Whether the required keys come first, in their order."""
+    return (F.size(required) == 0) | F.coalesce(F.slice(keys, 1, F.greatest(F.size(required), F.lit(1))) == required, F.lit(False))
+
+
+def _required(tool: Column) -> Column:
+    return F.coalesce(F.from_json(F.get_json_object(tool, "$.parameters.required"), "array<string>"), F.array().cast("array<string>"))
+
+
 def first_fault(rows: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
     """rows with fault: the code of the first rule that a row breaks, null if it breaks none.
 
     Columns: format_version, tool_response_mode, response_version, supervision_mode, user_content_format (strings),
-    enable_thinking (boolean), loss_mask (array<boolean>), tools (array), messages (see MESSAGES).
+    enable_thinking (boolean), loss_mask (array<boolean>), tools (array), messages (see MESSAGES). Where tools are JSON objects
+    (name, parameters with properties and required), rows of the current version must have required keys first, in their order,
+    in the tools' properties and in the arguments of calls, and call no unknown tool but in masked turns of recovery rows.
     """
     p = protocol
     c = F.col
@@ -69,6 +80,17 @@ def first_fault(rows: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
     alternates = F.forall(turns, lambda i: F.get(m, i)["role"] == F.when(i % 2 == 0, "assistant").otherwise("tool"))
     steps = F.filter(turns, lambda i: (i % 2 == 0) & (i + 1 < n))
     disagrees = F.exists(steps, lambda i: ~F.get(mask, F.floor((i - 2) / 2).cast("int")).eqNullSafe(F.coalesce(F.get_json_object(F.get(m, i + 1)["content"], "$.valid_action") == "true", F.lit(False))))
+    schemas = F.filter(c("tools").cast("array<string>"), lambda t: _json(t, "{"))
+    tools_disorder = F.exists(schemas, lambda t: ~_first(F.coalesce(F.json_object_keys(F.get_json_object(t, "$.parameters.properties")), F.array().cast("array<string>")), _required(t)))
+
+    def call_fault(x: Column, i: Column) -> Column:
+        call = F.get(x["calls"], F.lit(0))
+        tool = F.get(F.filter(schemas, lambda t: F.get_json_object(t, "$.name") == call["name"]), F.lit(0))
+        keys = F.coalesce(F.json_object_keys(call["arguments"]), F.array().cast("array<string>"))
+        excused = mode.isin("react_recovery", "action_selective") & F.get(mask, i).eqNullSafe(F.lit(False))
+        return F.when(tool.isNull(), F.when(~F.coalesce(excused, F.lit(False)), "unknown_tool")).when(~_first(keys, _required(tool)), "arguments_order")
+
+    by_call = F.when(current & (F.size(schemas) > 0), F.get(F.array_compact(F.transform(said, call_fault)), F.lit(0)))
     rules = [
         ("version", is_not(version.isin(*p.versions))), ("no_messages", m.isNull() | c("tools").isNull()), ("thinking", is_not(c("enable_thinking") == F.lit(False))),
         ("response_mode", is_not(c("tool_response_mode").isin("delta", "snapshot"))), ("response_version", is_not(c("response_version").isin(*p.responses))),
@@ -77,7 +99,7 @@ def first_fault(rows: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
         ("user_format", version.isin(*p.user_text) & is_not(c("user_content_format") == p.user_format)), ("user_empty", version.isin(*p.user_text) & is_not(F.trim(user) != "")),
         ("user_json", version.isin(*p.user_text) & (_json(user, "{") | _json(user, "["))),
         ("mask", current & (mask.isNull() | (F.size(mask) != F.size(said)) | F.exists(mask, lambda x: x.isNull()))), ("mask_terminal", current & is_not(F.get(mask, F.size(mask) - 1))),
-        ("mask_clean", current & mode.isin("action_only", "react") & F.exists(mask, lambda x: ~x)), (by_message, by_message.isNotNull()), ("alternation", is_not(alternates)),
+        ("mask_clean", current & mode.isin("action_only", "react") & F.exists(mask, lambda x: ~x)), ("tools_order", current & tools_disorder), (by_message, by_message.isNotNull()), (by_call, by_call.isNotNull()), ("alternation", is_not(alternates)),
         ("nothing_visible", mode.isin("react", "react_recovery") & ~F.exists(said, lambda x: F.trim(x["content"]) != "")),
         ("mask_disagrees", current & (mode != "action_selective") & disagrees),
     ]

@@ -23,18 +23,16 @@ def largest_remainder(counts: DataFrame, strata: list[str], total: int, seed: st
 def least_ranked(df: DataFrame, strata: list[str], key: str, quotas: DataFrame, seed: str, chosen: str = "_chosen") -> DataFrame:
     """Adds chosen: whether a row is among the quota (columns strata, quota) of the least hash ranks of its stratum.
 
-    Rows are counted by the first three digits of their hash; whole buckets below the quota are in, and only the bucket in
-    which it ends is ranked, so no task orders a stratum.
+    Rows are counted by the first three digits of their hash and ranked inside such a bucket, in one pass; whole buckets below
+    the quota are in, so no task orders a stratum.
     """
     own = df.withColumn("_h", stable_rank(seed, F.col(key))).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
     w = Window.partitionBy(*strata).orderBy("_b")  # 4,096 rows of a stratum at most
     counts = own.groupBy(*strata, "_b").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(w))
     ends = counts.join(quotas.select(*strata, "quota"), strata).filter("_upto - _n < quota").select(*strata, "_b", (F.col("quota") - (F.col("_upto") - F.col("_n"))).alias("_left"), "_n")
     held = own.join(ends, [*strata, "_b"], "left")
-    edge = held.filter("_left < _n").withColumn("_r", F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", key)))
-    inside = held.filter("_left is null or _left >= _n").withColumn("_r", F.lit(0))
-    both = edge.unionByName(inside)
-    return both.withColumn(chosen, F.coalesce(F.col("_r") <= F.col("_left"), F.lit(False))).drop("_h", "_b", "_left", "_n", "_r")
+    ranked = held.withColumn("_r", F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", key)))
+    return ranked.withColumn(chosen, F.coalesce(F.col("_r") <= F.col("_left"), F.lit(False))).drop("_h", "_b", "_left", "_n", "_r")
 
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, holdout: int, seed: str) -> DataFrame:

@@ -78,17 +78,19 @@ RULES = [
     ("hotel_budget", r"hotel_cost\s*/\s*people_count\(plan\)\s*/\s*\(day_count\(plan\)-1\)\s*<=\s*(\d+(?:\.\d+)?)"),
     ("time_window", r"result\s*=\s*\((go_start_time|go_end_time|return_start_time|back_end_time)\s*(<=|>=)\s*['\"](\d{2}:\d{2})['\"]\)"),
 ]
+#: Rule text that says again what a task's own fields say; no constraint comes of it.
+BASE_CHECK = r"result\s*=\s*\((?:day_count|people_count)\(plan\)\s*==\s*\d+\)"
 #: Kind, scope and basis of what each form says.
 MEANS = {"per_person_budget": ("total_budget", "trip", "per_person"), "total_budget": ("total_budget", "trip", None), "food_budget": ("category_budget", "restaurant", "per_person_per_activity"), "hotel_budget": ("category_budget", "accommodation", "per_person_per_night"), "time_window": ("time_window", "intercity_transport", None)}
 
 
 def mine_constraints(rule: Column) -> Column:
-    """A struct of form, kind, scope, operator, value, basis, leg and field from a rule text; form is quarantine, and the rest
-    null, if no form fits."""
+    """A struct of form, kind, scope, operator, value, basis, leg and field from a rule text; form is base_check for a check of
+    days or people, quarantine if no form fits, and the rest is null then."""
     pattern = dict(RULES)["time_window"]
     part = lambda i: F.regexp_extract(rule, pattern, i)
     null = F.lit(None).cast("string")
-    out = F.struct(F.lit("quarantine").alias("form"), *[null.alias(n) for n in ("kind", "scope", "operator", "value", "basis", "leg", "field")])
+    out = F.struct(F.when(rule.rlike(BASE_CHECK), "base_check").otherwise("quarantine").alias("form"), *[null.alias(n) for n in ("kind", "scope", "operator", "value", "basis", "leg", "field")])
     for form, pat in reversed(RULES):
         kind, scope, basis = MEANS[form]
         timed = form == "time_window"

@@ -49,12 +49,12 @@ def x13(t):
     return similarity.near_duplicates(c, "id", "text")
 
 
-@QUERIES.add("x13_shingle_jaccard", """WITH u AS (SELECT text, min(conv_id * 10000 + turn) AS id FROM conversations WHERE role = 'user' AND length(text) < 150 GROUP BY text), s AS (SELECT DISTINCT id, substr(text, CAST(i AS BIGINT), 4) AS g FROM u, unnest(range(1, length(text) - 2)) r(i)), z AS (SELECT id, count(*) AS n FROM s GROUP BY id)
-SELECT a.id AS a, b.id AS b, round(count(*) / (za.n + zb.n - count(*)), 6) AS jaccard FROM s a JOIN s b ON a.g = b.g AND a.id < b.id JOIN z za ON za.id = a.id JOIN z zb ON zb.id = b.id GROUP BY a.id, b.id, za.n, zb.n HAVING count(*) * 100 >= 15 * (za.n + zb.n - count(*))""")
+@QUERIES.add("x13_shingle_jaccard", """WITH u AS (SELECT text, min(conv_id * 10000 + turn) AS id FROM conversations WHERE role = 'user' AND length(text) >= 4 GROUP BY text), s AS (SELECT DISTINCT id, substr(text, CAST(i AS BIGINT), 4) AS g FROM u, unnest(range(1, length(text) - 2)) r(i)), z AS (SELECT id, count(*) AS n FROM s GROUP BY id)
+SELECT a.id AS a, b.id AS b, round(count(*) / (za.n + zb.n - count(*)), 6) AS jaccard FROM s a JOIN s b ON a.g = b.g AND a.id < b.id JOIN z za ON za.id = a.id JOIN z zb ON zb.id = b.id GROUP BY a.id, b.id, za.n, zb.n HAVING count(*) * 100 >= 50 * (za.n + zb.n - count(*))""")
 def x13_jaccard(t):
-    """Pairs of different short user turns whose 4-character shingles have a Jaccard similarity of 0.15 or more, by rare prefixes."""
-    c = t("conversations").filter("role = 'user' and length(text) < 150").groupBy("text").agg(F.min(F.col("conv_id") * 10_000 + F.col("turn")).alias("id"))
-    return similarity.jaccard_pairs(c, "id", "text", percent=15)
+    """Pairs of different user turns whose 4-character shingles have a Jaccard similarity of 0.5 or more, by rare prefixes."""
+    c = t("conversations").filter("role = 'user'").groupBy("text").agg(F.min(F.col("conv_id") * 10_000 + F.col("turn")).alias("id"))
+    return similarity.jaccard_pairs(c, "id", "text", percent=50)
 
 
 @QUERIES.add("x14_opening_concentration", "SELECT lang, max(n) AS most, CAST(sum(n) AS BIGINT) AS total, round(max(n) / sum(n), 6) AS share FROM (SELECT lang, substr(text, 1, 20) AS opening, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang")
@@ -147,9 +147,12 @@ f AS (SELECT *, regexp_matches(text, '(?i)\\b(result shows|results show|was foun
 
 def rationales(t):
     """Answers as rationales; the numbers of a conversation's earlier turns are the seen ones."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    c = t("conversations").withColumn("seen", F.flatten(F.collect_list(F.regexp_extract_all("text", F.lit("([0-9]+)"))).over(w)))
-    return c.filter("role = 'assistant'").select("conv_id", "turn", "text", texts.rationale_errors(F.col("text"), F.col("seen"), F.array(F.lit("a"))).alias("errors"))
+    c = t("conversations").withColumn("own", F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9]+)"))))
+    number = c.select("conv_id", "turn", F.explode("own").alias("x"))
+    first = number.groupBy("conv_id", "x").agg(F.min("turn").alias("first"))  # once a number, however often it is said
+    known = number.distinct().join(first, ["conv_id", "x"]).filter("first < turn").groupBy("conv_id", "turn").agg(F.collect_set("x").alias("seen"))
+    a = c.filter("role = 'assistant'").join(known, ["conv_id", "turn"], "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
+    return a.select("conv_id", "turn", "text", texts.rationale_errors(F.col("text"), F.col("seen"), F.array(F.lit("a"))).alias("errors"))
 
 
 @QUERIES.add("x18_rationale_validation", f"WITH {X18} SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN a THEN 'length' END, CASE WHEN b THEN 'unseen_number' END, CASE WHEN d THEN 'premature_result' END, CASE WHEN c THEN 'missing_word' END], lambda x: x IS NOT NULL), ',') AS errors FROM f")
