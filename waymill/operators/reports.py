@@ -80,7 +80,7 @@ def dataset_report(samples: DataFrame, calls: DataFrame) -> DataFrame:
 def behaviour_table(trajectories: DataFrame, ends: list[str]) -> DataFrame:
     """(model, n, mean, p90, one share for each end): steps and how trajectories of a model end. trajectories: model, steps,
     ended."""
-    spread = nearest_rank(trajectories, "steps", {"p90": 0.9}, ["model"]).select("model", F.round("mean", 6).alias("mean"), "p90")
+    spread = nearest_rank(trajectories, "steps", {"p90": 0.9}, ["model"]).select("model", F.round("mean", 4).alias("mean"), "p90")
     shares = [F.round(F.count(F.when(F.col("ended") == e, 1)) / F.count("*"), 6).alias(f"share_{e}") for e in ends]
     return trajectories.groupBy("model").agg(F.count("*").alias("n"), *shares).join(spread, "model", "left")
 

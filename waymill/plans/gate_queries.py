@@ -57,13 +57,13 @@ def trajectories(t):
     return g.agg(F.max_by("event_type", "step").alias("family"), F.count("*").alias("steps"), F.min_by("props", "step").alias("question"), F.count(F.when(F.col("event_type") == "error", 1)).alias("warnings"))
 
 
-@QUERIES.add("a13_family_report", f"{FAMILIES} SELECT family, count(*) AS n, min(steps) AS min_steps, CAST(sum(steps) AS DOUBLE) / count(*) AS mean_steps, {RANK.format(q=0.5)} AS p50, {RANK.format(q=0.9)} AS p90, max(steps) AS max_steps, round(count(DISTINCT question) / count(*), 6) AS unique_share, sum(warnings)::BIGINT AS warnings, min(user_id) AS example_id, arg_min(question, user_id) AS example FROM g GROUP BY family")
+@QUERIES.add("a13_family_report", f"{FAMILIES} SELECT family, count(*) AS n, min(steps) AS min_steps, round(CAST(sum(steps) AS DOUBLE) / count(*), 4) AS mean_steps, {RANK.format(q=0.5)} AS p50, {RANK.format(q=0.9)} AS p90, max(steps) AS max_steps, round(count(DISTINCT question) / count(*), 6) AS unique_share, sum(warnings)::BIGINT AS warnings, min(user_id) AS example_id, arg_min(question, user_id) AS example FROM g GROUP BY family")
 def a13(t):
     r = reports.family_report(trajectories(t))
-    return r.select("family", "n", F.col("min").alias("min_steps"), F.col("mean").alias("mean_steps"), "p50", "p90", F.col("max").alias("max_steps"), "unique_share", "warnings", F.col("example.task_id").alias("example_id"), F.col("example.question").alias("example"))
+    return r.select("family", "n", F.col("min").alias("min_steps"), F.round("mean", 4).alias("mean_steps"), "p50", "p90", F.col("max").alias("max_steps"), "unique_share", "warnings", F.col("example.task_id").alias("example_id"), F.col("example.question").alias("example"))
 
 
-@QUERIES.add("e5_behaviour_shares", f"{FAMILIES} SELECT user_id % 3 AS model, count(*) AS n, round(count(*) FILTER (WHERE family = 'purchase') / count(*), 6) AS share_purchase, round(count(*) FILTER (WHERE family = 'error') / count(*), 6) AS share_error, round(count(*) FILTER (WHERE family = 'view') / count(*), 6) AS share_view, round(CAST(sum(steps) AS DOUBLE) / count(*), 6) AS mean, {RANK.format(q=0.9)} AS p90 FROM g GROUP BY 1")
+@QUERIES.add("e5_behaviour_shares", f"{FAMILIES} SELECT user_id % 3 AS model, count(*) AS n, round(count(*) FILTER (WHERE family = 'purchase') / count(*), 6) AS share_purchase, round(count(*) FILTER (WHERE family = 'error') / count(*), 6) AS share_error, round(count(*) FILTER (WHERE family = 'view') / count(*), 6) AS share_view, round(CAST(sum(steps) AS DOUBLE) / count(*), 4) AS mean, {RANK.format(q=0.9)} AS p90 FROM g GROUP BY 1")
 def e5(t):
     return reports.behaviour_table(trajectories(t).select((F.col("task_id") % 3).alias("model"), "steps", F.col("family").alias("ended")), ["purchase", "error", "view"])
 

@@ -49,12 +49,12 @@ def x13(t):
     return similarity.near_duplicates(c, "id", "text")
 
 
-@QUERIES.add("x13_shingle_jaccard", """WITH u AS (SELECT text, min(conv_id * 10000 + turn) AS id FROM conversations WHERE role = 'user' AND length(text) >= 4 GROUP BY text), s AS (SELECT DISTINCT id, substr(text, CAST(i AS BIGINT), 4) AS g FROM u, unnest(range(1, length(text) - 2)) r(i)), z AS (SELECT id, count(*) AS n FROM s GROUP BY id)
-SELECT a.id AS a, b.id AS b, round(count(*) / (za.n + zb.n - count(*)), 6) AS jaccard FROM s a JOIN s b ON a.g = b.g AND a.id < b.id JOIN z za ON za.id = a.id JOIN z zb ON zb.id = b.id GROUP BY a.id, b.id, za.n, zb.n HAVING count(*) * 100 >= 50 * (za.n + zb.n - count(*))""")
+@QUERIES.add("x13_shingle_jaccard", """WITH u AS (SELECT text, min(conv_id * 10000 + turn) AS id FROM conversations WHERE role <> 'system' AND length(text) >= 4 GROUP BY text), s AS (SELECT DISTINCT id, substr(text, CAST(i AS BIGINT), 4) AS g FROM u, unnest(range(1, length(text) - 2)) r(i)), z AS (SELECT id, count(*) AS n FROM s GROUP BY id)
+SELECT a.id AS a, b.id AS b, round(count(*) / (za.n + zb.n - count(*)), 6) AS jaccard FROM s a JOIN s b ON a.g = b.g AND a.id < b.id JOIN z za ON za.id = a.id JOIN z zb ON zb.id = b.id GROUP BY a.id, b.id, za.n, zb.n HAVING count(*) * 100 >= 25 * (za.n + zb.n - count(*))""")
 def x13_jaccard(t):
-    """Pairs of different user turns whose 4-character shingles have a Jaccard similarity of 0.5 or more, by rare prefixes."""
-    c = t("conversations").filter("role = 'user'").groupBy("text").agg(F.min(F.col("conv_id") * 10_000 + F.col("turn")).alias("id"))
-    return similarity.jaccard_pairs(c, "id", "text", percent=50)
+    """Pairs of different turns of users and assistants whose 4-character shingles have a Jaccard similarity of 0.25 or more, by rare prefixes."""
+    c = t("conversations").filter("role <> 'system'").groupBy("text").agg(F.min(F.col("conv_id") * 10_000 + F.col("turn")).alias("id"))
+    return similarity.jaccard_pairs(c, "id", "text", percent=25)
 
 
 @QUERIES.add("x14_opening_concentration", "SELECT lang, max(n) AS most, CAST(sum(n) AS BIGINT) AS total, round(max(n) / sum(n), 6) AS share FROM (SELECT lang, substr(text, 1, 20) AS opening, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang")
