@@ -552,6 +552,7 @@ def test_toxicity(spark):
     r = [x for x in toxicity.query(docs(spark, texts), labels).collect() if x.held_out]
     assert len(r) > 40 and all(x.predicted == int(x.doc_id % 4 == 0) and 0 <= x.score <= 1 for x in r)
     m = toxicity.Model({"vexur": 1.0})
+    assert m.features("vexur you")[0] == m.features("you vexur")[0] == m.features("you vexur you")[0]
     assert m.features("you vexur")[0] > m.features("vexur")[0] > m.features("not vexur")[0]
     assert m.features("he said vexur")[0] < m.features("he is vexur")[0]
     assert len(toxicity.query(docs(spark, EDGE), labels).collect()) == len(EDGE)
@@ -559,18 +560,63 @@ def test_toxicity(spark):
 
 def test_composed_grammar_equals_its_machines_one_by_one():
     r = random.Random(5)
+    single = [toxicity.machine(toxicity.SYMBOLS, step) for step in toxicity.MACHINES.values()]
     for _ in range(300):
         word = [r.choice(range(6)) for _ in range(30)]
-        state, states = 0, [0, 0, 0, 0]
+        state, states = 0, [0] * len(single)
         for a in word:
-            state, factor = toxicity.GRAMMAR[state][a]
+            state, factor = toxicity.GRAMMAR[0][state][a]
             one = 1.0
-            for k, m in enumerate((toxicity.negation, toxicity.report, toxicity.target, toxicity.again)):
+            for k, m in enumerate(single):
                 states[k], x = m[states[k]][a]
                 one *= x
             assert abs(factor - one) < 1e-12
 
 
+#: 1 for a text that is toxic, 0 for one that is not for its negation, report, missing target or other sense alone.
+CLAUSES = """1 You are an idiot.
+0 You are not an idiot.
+0 He said that you are an idiot.
+1 You are a worthless loser and a moron.
+0 Nobody here is a loser.
+0 You are never stupid.
+1 They are scum and trash.
+0 The paper wrote that they are scum.
+1 I will kill you.
+0 Kill the process and start it again.
+0 I will not kill you.
+0 She claims that he will kill her.
+1 We will hurt you and beat him.
+0 Beat the eggs and burn the sugar.
+0 We will never hurt you.
+1 Your pathetic plan shows how stupid you are.
+0 Your plan is neither stupid nor pathetic.
+1 Shoot them all, stab them, strangle them.
+0 Shoot the film at noon, attack the next task.
+0 The witness told that someone will stab him.
+1 Ich werde dich töten.
+0 Ich werde dich nicht töten.
+0 Die Schädlinge töten wir im Herbst.
+1 Je vais te tuer.
+0 Il dit que tu vas la tuer.
+0 Tuer le temps en silence.
+1 Voy a matar a ustedes.
+0 No voy a matar a ustedes.
+0 Matar el tiempo en casa.""".splitlines()
+
+
+def test_each_transducer_decides_verdicts(spark):
+    """With stems and curve as learned from the given labels: all clauses right, and each of three transducers needed for several."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(~toxicity.held_out()).select("doc_id", "toxic")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id").filter("text is not null and toxic is not null").select("text", "toxic").collect()
+    m = toxicity.learn(sorted((r.text, r.toxic) for r in rows))
+    right = lambda m: {c for c in CLAUSES if (m.score(c[2:]) >= 0.5) == (c[0] == "1")}
+    assert right(m) == set(CLAUSES)
+    lost = {off: len(CLAUSES) - len(right(toxicity.Model(m.stems, m.curve, toxicity.grammar((off,))))) for off in ("negation", "report", "target")}
+    assert min(lost.values()) >= 4, lost
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     rows = QUERIES["op9_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()

@@ -3,9 +3,11 @@
 Three layers of transducers are composed. The lexical layer turns a word into a symbol with a weight: INSULT (a trie of
 learned word stems), THREAT, TARGET, NEGATION and REPORT (fixed word lists); all other words are skipped. The grammar layer
 is the product of small transducers over these symbols: a negation before an insult or threat damps it for a few words, a
-report (said, wrote, called) damps what follows it in the clause, a target near an insult or threat raises it, and two
-insults in a clause raise each other. A clause's weight is the sum along its path; a document is scored from its heaviest
-clause, the sum of all and that sum by length, by a logistic curve.
+report (said, wrote, called) damps what follows it in the clause, a target near an insult raises it and makes a threat of
+what alone is hardly one (to kill a process, to kill you), and two insults in a clause raise each other. Targets may stand on either side, so
+their transducer reads the clause from both ends, and a word is raised once if either reading finds one. A clause's weight
+is the sum along its path; a document is scored from its heaviest clause, the sum of all and that sum by length, by a logistic
+curve.
 
 Insult stems and the curve are learned from a bounded sample of labelled rows (``per_class`` of each label at most, those
 with the smallest hash, near copies taken once): a stem counts if it is so often in toxic and so seldom in other documents
@@ -36,15 +38,18 @@ from waymill.llm.common import with_columns_free, without
 WORD_OR_STOP = re.compile(r"[^\W\d_]+|[.!?;:\n|]")
 
 #: Fixed word lists of the grammar, in English, French, German and Spanish.
-THREAT = frozenset("kill murder hurt destroy shoot stab beat tuer frapper détruire töten umbringen schlagen matar golpear".split())
-TARGET = frozenset("you your yourself he she they them him her their tu toi vous ton votre elle ils du dich dir euch ihr sie tú usted ustedes ellos ella".split())
-NEGATION = frozenset("not never no none without isn aren wasn don doesn nicht kein keine nie ohne pas jamais sans ne nunca sin".split())
-REPORT = frozenset("said says wrote writes called reported claims claimed quoted dit écrit appelé sagte schrieb nannte dijo escribió llamó".split())
+THREAT = frozenset("""kill kills killing murder hurt hurts destroy shoot stab stabs beat punch strangle burn hunt attack smash tuer tuerai frapper frapperai détruire
+étrangler brûler töten töte umbringen schlagen schlage verletzen erschießen verprügeln vernichten matar mataré golpear golpearé herir destruir quemar""".split())
+TARGET = frozenset("""you your yours yourself he him his himself she her hers herself they them their everyone tu te toi vous ton ta tes votre vos elle elles ils lui leur
+du dich dir dein deine euch eure ihr ihm ihn ihnen sie tú ti tuyo usted ustedes ellos ellas""".split())
+NEGATION = frozenset("not never no none nobody without neither nor cannot isn aren wasn weren don doesn didn won wouldn nicht kein keine keinen nie niemals niemand ohne pas jamais sans aucun aucune personne nunca jamás sin ningún ninguna nadie".split())
+REPORT = frozenset("said says say wrote writes write called calls reported reports claims claimed quoted quotes alleged told tells dit disait écrit appelé prétend raconte sagte sagt schrieb schreibt nannte behauptet erzählte dijo dice escribió llamó afirma contó".split())
 INSULT, SYM_THREAT, SYM_TARGET, SYM_NEG, SYM_REPORT = range(5)
 SYMBOL = {w: s for s, words in ((SYM_THREAT, THREAT), (SYM_TARGET, TARGET), (SYM_NEG, NEGATION), (SYM_REPORT, REPORT)) for w in words}
-#: Words for which a negation holds, and by what the grammar multiplies.
-REACH = 3
-DAMP_NEG, DAMP_REPORT, RAISE_TARGET, RAISE_AGAIN, W_THREAT = 0.3, 0.5, 1.3, 1.2, 0.8
+#: Words for which a negation holds and a target is near, and by what the grammar multiplies; what a threat weighs alone, and
+#: what one word of a clause weighs at most.
+REACH, NEAR = 4, 4
+DAMP_NEG, DAMP_REPORT, RAISE_TARGET, MAKES_THREAT, RAISE_AGAIN, W_THREAT, MOST = 0.15, 0.15, 1.3, 6.0, 1.2, 0.15, 1.6
 
 STEM = (3, 9)
 #: What the curve leans to without evidence: heaviest clause, logarithm of the sum, sum for 100 words.
@@ -81,17 +86,36 @@ def compose(one: dict, two: dict) -> dict:
 SKIP = 5  # any other word
 SYMBOLS = range(6)
 HEAVY = (INSULT, SYM_THREAT)
-negation = machine(SYMBOLS, lambda s, a: (REACH, 1.0) if a == SYM_NEG else (max(0, s - 1), DAMP_NEG if s and a in HEAVY else 1.0))
-report = machine(SYMBOLS, lambda s, a: (1, 1.0) if a == SYM_REPORT else (s, DAMP_REPORT if s and a in HEAVY else 1.0))
-target = machine(SYMBOLS, lambda s, a: (4, 1.0) if a == SYM_TARGET else (max(0, s - 1), RAISE_TARGET if s and a in HEAVY else 1.0))
-again = machine(SYMBOLS, lambda s, a: (1, RAISE_AGAIN if s else 1.0) if a in HEAVY else (s, 1.0))
-GRAMMAR = compose(compose(negation, report), compose(target, again))
+MACHINES = {
+    "negation": lambda s, a: (REACH, 1.0) if a == SYM_NEG else (max(0, s - 1), DAMP_NEG if s and a in HEAVY else 1.0),
+    "report": lambda s, a: (1, 1.0) if a == SYM_REPORT else (s, DAMP_REPORT if s and a in HEAVY else 1.0),
+    "again": lambda s, a: (1, RAISE_AGAIN if s else 1.0) if a in HEAVY else (s, 1.0),
+}
+
+
+def near(s: int, a: int) -> tuple[int, float]:
+    """Counts down from a target; the factor is that of an insult or threat which the machine reads while one is near."""
+    return (NEAR, 1.0) if a == SYM_TARGET else (max(0, s - 1), (RAISE_TARGET if a == INSULT else MAKES_THREAT) if s and a in HEAVY else 1.0)
+
+
+def grammar(off: tuple[str, ...] = ()) -> tuple[dict, dict]:
+    """The product of the transducers that read forwards, and the one of targets, read from both ends; those named in off (also
+    target) are left out."""
+    forth = machine(SYMBOLS, lambda s, a: (0, 1.0))
+    for name, step in MACHINES.items():
+        if name not in off:
+            forth = compose(forth, machine(SYMBOLS, step))
+    return forth, machine(SYMBOLS, (lambda s, a: (0, 1.0)) if "target" in off else near)
+
+
+GRAMMAR = grammar()
 
 
 @dataclass
 class Model:
     stems: dict[str, float]  # insult stem -> weight
     curve: tuple[float, ...] = (-4.0, *CURVE)  # at zero, and by feature
+    grammar: tuple[dict, dict] = GRAMMAR
 
     def __post_init__(self):
         self.trie: dict = {}
@@ -115,9 +139,25 @@ class Model:
         s = SYMBOL.get(word, SKIP)
         return s, W_THREAT if s == SYM_THREAT else 0.0
 
+    def weigh(self, clause: list[tuple[int, float]]) -> float:
+        """The weight of a clause: along its path, with the targets that either reading finds."""
+        forth, side = self.grammar
+        state, ahead, out = 0, 0, []
+        for s, x in clause:
+            state, factor = forth[state][s]
+            ahead, raised = side[ahead][s]
+            out.append((x * factor, raised))
+        behind, total = 0, 0.0
+        for (s, x), (w, raised) in zip(reversed(clause), reversed(out), strict=True):
+            behind, again = side[behind][s]
+            if x:
+                total += min(w * max(raised, again), MOST)
+        return total
+
     def scan(self, text: str | None) -> tuple[list[tuple[float, int, int]], int]:
         """(weight, start, end) of the clauses with any weight, and the number of words."""
-        state, weight, start, last, words, out = 0, 0.0, 0, 0, 0, []
+        clause: list[tuple[int, float]] = []
+        heavy, start, last, words, out = False, 0, 0, 0, []
         known, symbol = self.known, self.symbol
         for m in WORD_OR_STOP.finditer((text or "").lower()):
             w = m[0]
@@ -126,18 +166,17 @@ class Model:
                 got = (-1, 0.0) if not w[0].isalpha() else symbol(w)
                 if len(known) < 200_000:  # a cache, no limit on the words
                     known[w] = got
-            s, x = got
-            if s < 0:
-                if weight:
-                    out.append((weight, start, last))
-                state, weight, start = 0, 0.0, m.end()
+            if got[0] < 0:
+                if heavy:
+                    out.append((self.weigh(clause), start, last))
+                clause, heavy, start = [], False, m.end()
             else:
-                state, factor = GRAMMAR[state][s]
-                weight += x * factor
+                clause.append(got)
+                heavy = heavy or got[1] > 0
                 last = m.end()
                 words += 1
-        if weight:
-            out.append((weight, start, last))
+        if heavy:
+            out.append((self.weigh(clause), start, last))
         return out, words
 
     def features(self, text: str | None) -> tuple[float, float, float]:
