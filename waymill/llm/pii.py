@@ -4,7 +4,7 @@ The patterns give the base spans, which always stay. The tagger is trained in nu
 bounded sample of documents where they stand, and set among ordinary text in forms that the patterns miss (spelled
 separators, missing plus signs, dotted cards, addresses of other words), beside number-like strings that are none. A fifth
 kind, secret (a credential), has no base pattern and is only ever tagged; its labels are the quoted values after a name such
-as token. A tagged span has to pass the checks of its kind (``valid``: Luhn, parts up to 255, numbers of digits), so it holds
+as token, and its spans stand in a column of their own. A tagged span has to pass the checks of its kind (``valid``: Luhn, parts up to 255, numbers of digits), so it holds
 a digit, an @ or a written at (" at ", "(at)", "[at]") before a domain: windows without such a mark can add nothing and are
 left out, all others are scored. Windows overlap by half; the scores of a character are averaged over its windows, by
 distance from their edges, and the whole stretch that the windows cover is then decoded at once by Viterbi, so that no
@@ -439,7 +439,8 @@ def written(spans) -> str:
 
 
 #: The columns that are added.
-NEW = (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans")
+NEW = (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "secrets")
+TEXTS = ("base_sha256", "spans", "secrets")
 
 
 def _find(model):
@@ -450,13 +451,15 @@ def _find(model):
             keep = [i for i in range(b.num_columns) if i != at]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
             digest = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *counts, digest, pa.array([written(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64())], names=[*(b.schema.names[i] for i in keep), *NEW])
+            own, secrets = ([[s for s in spans if (s[0] < len(KINDS)) == personal] for _, spans in found] for personal in (True, False))
+            new = [pa.array([written(s) for s in own], pa.string()), pa.array([len(s) for s in own], pa.int64()), pa.array([written(s) for s in secrets], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *counts, digest, *new], names=[*(b.schema.names[i] for i in keep), *NEW])
 
     return run
 
 
 def find_personal_data(docs: DataFrame, keep: list[str], text_col: str = "text", sample_rows: int = 1500, windows: int = 6000) -> DataFrame:
-    """The columns to keep of docs, the base counts, their digest, all spans as text, and their number.
+    """The columns to keep of docs, the base counts, their digest, all personal spans as text, their number, and credentials apart.
 
     The tagger learns from about sample_rows documents at most that hold a digit, those with the smallest hash.
     """
@@ -469,7 +472,7 @@ def find_personal_data(docs: DataFrame, keep: list[str], text_col: str = "text",
     x, y = training_windows(texts, windows)
     model = Tagger().fit(x, y) if len(x) else None
     src = docs.select(*without(keep, *NEW, "_text"), text.alias("_text"))
-    schema = src.drop("_text").withColumns({c: F.lit("" if c in ("base_sha256", "spans") else 0).cast("string" if c in ("base_sha256", "spans") else "long") for c in NEW}).schema
+    schema = src.drop("_text").withColumns({c: F.lit("" if c in TEXTS else 0).cast("string" if c in TEXTS else "long") for c in NEW}).schema
     return src.mapInArrow(_find(spark.sparkContext.broadcast(model)), schema)
 
 
