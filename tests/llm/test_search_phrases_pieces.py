@@ -131,9 +131,9 @@ def test_a_phrase_is_counted_once_a_shard_wherever_it_becomes_active():
     for _ in range(3):
         c.add(phrases.words_of("a b c. a b"))
     full = np.full(16, 2**64 - 1, np.uint64)
-    first = {p: n for ps, ns, _ in c.phrases(3, True, full) for p, n in zip(ps, ns.tolist(), strict=True)}
+    first = {p: n for ps, ns, _ in c.phrases(3, True, full) for p, n in zip(ps.to_pylist(), ns.tolist(), strict=True)}
     assert first == {b"": 15, b"a": 6, b"b": 6, b"c": 3, b"a b": 6, b"b c": 3, b"a b c": 3}
-    assert {p for ps, *_ in c.phrases(3, False, full, full, full) for p in ps} == set()
+    assert {p for ps, *_ in c.phrases(3, False, full, full, full) for p in ps.to_pylist()} == set()
 
 
 def test_scores_beyond_64_bits(spark):

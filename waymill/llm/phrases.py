@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,19 +91,20 @@ class Counted:
         self.vocabulary[BREAK] = 0
 
     def add(self, words: list[bytes]) -> None:
-        self.ids.append(np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words)))
+        own = pa.array(words, pa.binary()).dictionary_encode()
+        numbers = np.fromiter(map(self.vocabulary.__getitem__, own.dictionary.to_pylist()), np.int32, len(own.dictionary))
+        self.ids.append(numbers[own.indices.to_numpy()])
 
-    def phrases(self, most_words: int, singles: bool, now: np.ndarray | None = None, later: np.ndarray | None = None, before: np.ndarray | None = None) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    def phrases(self, most_words: int, singles: bool, now: np.ndarray | None = None, later: np.ndarray | None = None, before: np.ndarray | None = None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         """(phrases, counts, whether later lets their subphrases pass) of each length, for those that now lets pass and before
         does not; words, and their number as the empty phrase, if singles."""
         ids, words = np.concatenate(self.ids).astype(np.int64), list(self.vocabulary)
+        told_as = pa.array([b"", *words[1:]], pa.binary())
         if singles:
             n = np.bincount(ids, minlength=len(words))
             n[0] = len(ids) - n[0]
-            words[0] = b""
             for i in range(0, len(words), SLICE):
-                yield words[i : i + SLICE], n[i : i + SLICE], np.zeros(len(n[i : i + SLICE]), bool)
-            words[0] = BREAK
+                yield told_as[i : i + SLICE], n[i : i + SLICE], np.zeros(len(n[i : i + SLICE]), bool)
         if now is None:
             return
         own = word_hashes(self.lang, words)
@@ -119,8 +121,7 @@ class Counted:
             for i in range(0, len(found), SLICE):
                 some = found[i : i + SLICE]
                 told = np.column_stack((members[some // 2 // len(words)], some // 2 % len(words)))
-                cols = [[words[w] for w in c] for c in told.T.tolist()]
-                yield [b" ".join(p) for p in zip(*cols, strict=True)], many[i : i + SLICE], some % 2 > 0
+                yield pc.binary_join_element_wise(*(told_as.take(pa.array(c)) for c in told.T), b" "), many[i : i + SLICE], some % 2 > 0
             if k == most_words:
                 return
             on = np.flatnonzero(passes(now, mixed(h[head], own[last])))
@@ -140,17 +141,19 @@ def _count(most_words: int, singles: bool, filters, since: int, step: int):
     def flushed(held: dict[str, Counted]):
         for c in held.values():
             for phrases, n, late in c.phrases(most_words, singles, *filters.value):
-                start = np.where(late, since, 0 if singles and phrases and b" " not in phrases[-1] else step)
-                yield pa.record_batch([pa.array([c.lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(start, pa.int32())], names=["lang", "phrase", "n", "since"])
+                start = np.where(late, since, 0 if singles and b" " not in phrases[-1].as_py() else step)
+                yield pa.record_batch([pa.repeat(c.lang, len(phrases)), phrases.cast(pa.string()), pa.array(n, pa.int64()), pa.array(start, pa.int32())], names=["lang", "phrase", "n", "since"])
 
     def run(batches):
         held: dict[str, Counted] = {}
         size = 0
         for b in batches:
+            by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                by_lang.setdefault(lang, []).extend(words_of(text))
+            for lang, words in by_lang.items():
                 if lang not in held:
                     held[lang] = Counted(lang)
-                words = words_of(text)
                 held[lang].add(words)
                 size += len(words)
                 if size >= CHUNK or len(held[lang].vocabulary) >= VOCABULARY:
