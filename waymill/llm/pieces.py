@@ -214,7 +214,8 @@ _held: dict[tuple[type, int], object] = {}
 def _of_model(kind, shared):
     key = kind, hash(shared.value)
     if key not in _held:
-        _held.clear()
+        for old in [k for k in _held if k[0] is kind]:  # one model of a kind; a worker may both encode and decode
+            del _held[old]
         _held[key] = kind(shared.value)
     return _held[key]
 
