@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -414,6 +415,25 @@ def test_suffix_ranks_equal_brute_force():
     assert got == {g: (min(v), len(v) > 1) for g, v in want.items()}
 
 
+def test_the_array_of_a_host_tells_shared_runs_by_its_neighbours():
+    """Heads of batches, merged in order and cut anywhere: LCPs as of strings, and each run of two distinct pages once."""
+    r = np.random.default_rng(2)
+    rows = sorted((int(r.integers(0, 3)), tuple(map(int, r.integers(0, 3, 4))), int(p)) for p in r.integers(-1, 4, 400))  # page -1: two distinct ones
+    host, words = np.array([h for h, *_ in rows], np.uint64), np.array([w for _, w, _ in rows], np.uint64)
+    lcp = htmltext.prefixes(host, words)
+    for (g, v, _), (h, w, _), n in zip(rows, rows[1:], lcp[1:], strict=False):
+        assert n == (0 if g != h else next((i for i in range(4) if v[i] != w[i]), 4))
+    pages = {}
+    for h, w, p in rows:
+        pages.setdefault((h, w), set()).update((p,) if p >= 0 else (-1, -2))
+    both = [k for k, v in pages.items() if len(v) > 1]
+    want = htmltext.hashed(np.array([h for h, _ in both], np.uint64), np.array([w for _, w in both], np.uint64)).view(np.int64)
+    for size in (1, 2, 7, 400):
+        cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batch = lambda c: pa.record_batch([pa.array([h for h, *_ in c]), pa.array([np.array(w, ">u8").tobytes() for _, w, _ in c]), pa.array([p if p >= 0 else None for *_, p in c], pa.int64())], names=["host", "head", "page"])
+        assert [x for b in htmltext._shared(4)(map(batch, cut)) for x in b.column(0).to_pylist()] == want.tolist()
+
+
 def test_sketches(spark):
     texts = [*EDGE[:10], prose(4, 900), prose(4, 450) + " " + prose(5, 450)]
     got = {r.doc_id: r for r in fingerprint.query(docs(spark, texts)).collect()}
