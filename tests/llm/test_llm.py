@@ -4,6 +4,7 @@ import functools
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -693,6 +694,17 @@ def test_near_copies_of_the_pipeline(spark, limits):
         assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, SF).collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize("most", [500_000, 90, 1, 0])
+def test_common_shingles_are_counted_over_all_texts(spark, most):
+    texts = [*EDGE, *(prose(300 + k, 30) + " " + prose(700 + k % 7, 9) + (" " + prose(800, 12)) * 2 for k in range(60))]
+    counts = Counter(h for t in texts for h in neardup.shingle_set(t).tolist())
+    least = next(n for n in range(3, 100) if sum(c >= n for c in counts.values()) <= most)
+    want = {h: n for h, n in counts.items() if n >= least}
+    h, n = neardup.common_shingles(docs(spark, texts).repartition(3), "text", most, at_once=500)
+    assert dict(zip(h.tolist(), n.tolist(), strict=True)) == want and h.tolist() == sorted(want)
+    assert (len(want) > 20) == (most >= 90)
+
+
 def test_bitmaps_refuse_no_similar_pair():
     r = np.random.default_rng(6)
     sets = []

@@ -3,7 +3,7 @@
 The fingerprints of op10 (4-word shingles, 4 bits) find copies with very few changes only. The search for the others is
 complete: two sets with similarity t share at least t of the larger one, so if the shingles of all sets stand in one
 order, the first n - ceil(t n) + 3 of each set of n have three in common (sets of fewer than four are equal or not similar).
-The order puts the shingles that are frequent in a sample last; any order gives the same links, this one makes few
+The order puts frequent shingles last, by their exact counts over all texts; any order gives the same links, this one makes few
 candidates. Sets that meet under three shingles, or under one at which more than ``pair_rows`` meet, are compared by size and by bitmaps: bit i says whether the set has an odd number of hashes that are i modulo the bitmap's size, so two
 bitmaps differ in no more bits than the sets do in elements, and none of the pairs sought is refused. Bitmaps have at least
 twice as many bits as the set has elements (``BITS`` times a power of two); of two sizes the larger is folded, half on half.
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymill.llm.common import staged
+from waymill.llm.common import drop_one, staged
 from waymill.llm.graph import connected_components
 from waymill.llm.simhash import fingerprint, link_fingerprints, merged, shingle_hashes
 
@@ -31,6 +31,8 @@ WIDTH = 5
 BITS = 1024
 #: Shingles of their prefixes that two similar sets share at least.
 MEET = 3
+#: Ranges of hashes (a power of two) by which shingles are dealt out to be counted.
+BUCKETS = 4096
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -82,18 +84,68 @@ def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))[:n]]
 
 
-def _hashes(batches):
-    for b in batches:
-        h = [shingle_set(t.as_py()) for t in b.column(0)]
-        yield pa.record_batch([pa.array(np.concatenate([*h, np.empty(0, np.uint64)]).view(np.int64))], names=["h"])
+def _hashes(at_once: int):
+    """(bucket, hashes, times): the shingles of some texts by the highest bits of their hashes, and how many of the texts hold each."""
 
+    def dealt(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted(h, np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKETS.bit_length() + 1))
+        some = np.flatnonzero(np.diff(edges, append=len(h)))
+        cut = lambda x, size: pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((size * np.append(edges[some], len(h))).astype(np.int32)), pa.py_buffer(x)])
+        return pa.record_batch([pa.array(some.astype(np.int32)), cut(h, 8), cut(n.astype(np.int32), 4)], names=["bucket", "hashes", "times"])
 
-def common_shingles(docs: DataFrame, text_col: str, sample_rows: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of shingles that three texts of a sample or more hold."""
-    text = F.col(text_col).cast("string")
-    share = min(1.0, sample_rows / max(1, docs.count()))
-    some = docs.select(text.alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = some.mapInArrow(_hashes, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(most).toArrow()
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held.append(shingle_set(t))
+                size += len(held[-1])
+                if size >= at_once:
+                    yield dealt(held)
+                    held, size = [], 0
+        if size:
+            yield dealt(held)
+
+    return run
+
+
+def _counts(batches):
+    """(h, n): the hashes that three texts or more hold. Rows come sorted by bucket; one may go on in the next batch."""
+
+    def counted(held):
+        h, at = np.unique(np.frombuffer(b"".join(x for x, _ in held), np.uint64), return_inverse=True)
+        n = np.bincount(at, np.frombuffer(b"".join(x for _, x in held), np.int32)).astype(np.int64)  # in doubles, exact below 2^53
+        often = n > 2
+        return pa.record_batch([pa.array(h[often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
+
+    bucket, held = None, []
+    for b in batches:
+        for k, *x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if k != bucket and held:
+                yield counted(held)
+                held = []
+            bucket = k
+            held.append(x)
+    if held:
+        yield counted(held)
+
+
+def common_shingles(docs: DataFrame, text_col: str, most: int, at_once: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of the shingles that the most texts hold, counted over all texts.
+
+    All from the least count (3 or more) on that at most ``most`` shingles reach; the others count as rare.
+    """
+    texts = docs.select(F.col(text_col).cast("string"))
+    dealt = texts.mapInArrow(_hashes(at_once), "bucket int, hashes binary, times binary").repartition("bucket").sortWithinPartitions("bucket")
+    counts = staged(dealt.mapInArrow(_counts, "h long, n long"), "shinglecounts")
+    least, so_far = None, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).limit(most).toLocalIterator():
+        so_far += r["count"]
+        if so_far > most:
+            break
+        least = r["n"]
+    rows = counts.filter(F.col("n") >= least if least else F.lit(False)).toArrow()
+    drop_one(counts)
     h, n = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -272,10 +324,13 @@ def link_sets(docs: DataFrame, own: DataFrame, text_col: str, pair_rows: int, ru
     return dealt.repartition("root", "part").sortWithinPartitions("root", "part", "set").mapInArrow(_compared, "a long, b long").distinct()
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, most_common: int = 500_000, pair_rows: int = 64, run_rows: int = 4096, chunk_rows: int = 2048, chunk_shingles: int = 1_000_000, most_broadcast: int = 200_000) -> DataFrame:
-    """(id_col, text_hash, component): every row of docs with its group; rows of one group are linked by steps."""
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int | None = None, most_common: int = 500_000, pair_rows: int = 64, run_rows: int = 4096, chunk_rows: int = 2048, chunk_shingles: int = 1_000_000, most_broadcast: int = 200_000) -> DataFrame:
+    """(id_col, text_hash, component): every row of docs with its group; rows of one group are linked by steps.
+
+    sample_rows: without effect; shingles are counted over all rows.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(common_shingles(docs, text_col, sample_rows, most_common))
+    shared = spark.sparkContext.broadcast(common_shingles(docs, text_col, most_common))
     text = F.col(text_col).cast("string")
     src = docs.select(id_col, F.xxhash64(text).alias("text_hash"), text.alias("_text"))
     schema = src.drop("_text").withColumns({c: F.lit(0).cast("long") for c in ("fp", "set", "n")} | {"keys": F.array(F.lit(0).cast("long")), "bits": F.lit(b"")}).schema
