@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,21 @@ def test_a_phrase_is_counted_once_a_shard_wherever_it_becomes_active():
     assert {p for ps, *_ in c.phrases(3, False, full, full, full) for p in ps.to_pylist()} == set()
 
 
+def test_words_and_hashes_at_once_equal_those_one_by_one():
+    texts = [*TEXTS, "A.b,,c\x0b\x0cd \t e\r\nf", "x" * 300 + "é" * 300, "ÀB\xa0c\x85d", "end."]
+    assert phrases.listed(texts).to_pylist() == [w for t in texts for w in phrases.words_of(t)]
+    rows = [(lang, p) for p in ("a", "a b", "a b c", "é ß", "b", "c a b a") for lang in ("en", "fr", "und")]
+    want = []
+    for lang, p in rows:
+        own = phrases.word_hashes(lang, p.encode().split(b" "))
+        h = own[:1]
+        for i in range(1, len(own)):
+            h = phrases.mixed(h, own[i : i + 1])
+        want += h.tolist()
+    assert phrases.phrase_hashes(pa.array([a for a, _ in rows]), pa.array([b for _, b in rows])).tolist() == want
+    assert len(phrases.phrase_hashes(pa.array([], pa.string()), pa.array([], pa.string()))) == 0
+
+
 def test_scores_beyond_64_bits(spark):
     """Counts of ten billions: products pass 64 bits and stay exact."""
     rows = [("en", "x y", 10_000_000_019), ("en", "x", 30_000_000_077), ("en", "y", 20_000_000_089), ("en", "", 50_000_000_171)]

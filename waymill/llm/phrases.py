@@ -23,7 +23,6 @@ repeated rows count again; other columns are ignored; an empty table gives an em
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +39,8 @@ UND = "und"
 PIECES = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 #: Stands between pieces; no byte of UTF-8.
 BREAK = b"\xff"
-#: Words and distinct words that a task counts before it hands its counts on.
-CHUNK, VOCABULARY = 1_000_000, 200_000
+#: Words, and bytes of words, that a task counts before it hands its counts on.
+CHUNK, CHUNK_BYTES = 1_000_000, 16 << 20
 #: Phrases of one batch to Spark.
 SLICE = 1 << 15
 
@@ -51,6 +50,16 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(PIECES).replace(b"\n", b" \xff ").split() + [BREAK]
 
 
+def listed(texts: list[str | None]) -> pa.Array:
+    """words_of the texts, one after the other, cut from their bytes at once."""
+    joined = "\n".join(map(str, (t or "" for t in texts))).encode("utf-8", "surrogatepass").translate(PIECES)
+    b = np.frombuffer((joined + b"\n").replace(b"\n", b" \xff "), np.uint8)
+    word = (b != 32) & (b != 9)
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    offsets = np.concatenate(([0], np.cumsum(edges[1::2] - edges[::2]))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b[word])])
+
+
 def mixed(h: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The hash of a phrase, from those of all words but the last and of the last one."""
     x = h * np.uint64(0x9E3779B97F4A7C15) + (last ^ last >> np.uint64(31)) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -62,6 +71,26 @@ def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
+def phrase_hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
+    """The hashes of phrases, with those of their words taken once a language."""
+    out = np.empty(len(phrases), np.uint64)
+    langs = langs.dictionary_encode()
+    number = langs.indices.to_numpy()
+    for k, lang in enumerate(langs.dictionary.to_pylist()):
+        rows = np.flatnonzero(number == k)
+        lists = pc.split_pattern(phrases.take(pa.array(rows)).cast(pa.binary()), b" ")
+        words = lists.flatten().dictionary_encode()
+        own = word_hashes(lang, words.dictionary.to_pylist())[words.indices.to_numpy()]
+        size = pc.list_value_length(lists).to_numpy()
+        first = np.cumsum(size) - size
+        h = own[first]
+        for i in range(1, int(size.max(initial=1))):
+            some = np.flatnonzero(size > i)
+            h[some] = mixed(h[some], own[first[some] + i])
+        out[rows] = h
+    return out
+
+
 def places(h: np.ndarray, bits: int) -> np.ndarray:
     """The four bits of each hash in a filter of that many (a power of two)."""
     step = h >> np.uint64(32) | np.uint64(1)
@@ -85,21 +114,17 @@ class Counted:
     """Counts of one language in a task."""
 
     def __init__(self, lang: str):
-        self.lang, self.ids = lang, []
-        self.vocabulary: dict[bytes, int] = defaultdict()
-        self.vocabulary.default_factory = self.vocabulary.__len__  # a new word gets the next number
-        self.vocabulary[BREAK] = 0
+        self.lang, self.words = lang, [pa.array([BREAK], pa.binary())]  # BREAK gets the number 0
 
-    def add(self, words: list[bytes]) -> None:
-        own = pa.array(words, pa.binary()).dictionary_encode()
-        numbers = np.fromiter(map(self.vocabulary.__getitem__, own.dictionary.to_pylist()), np.int32, len(own.dictionary))
-        self.ids.append(numbers[own.indices.to_numpy()])
+    def add(self, words: pa.Array | list[bytes]) -> None:
+        self.words.append(words if isinstance(words, pa.Array) else pa.array(words, pa.binary()))
 
     def phrases(self, most_words: int, singles: bool, now: np.ndarray | None = None, later: np.ndarray | None = None, before: np.ndarray | None = None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         """(phrases, counts, whether later lets their subphrases pass) of each length, for those that now lets pass and before
         does not; words, and their number as the empty phrase, if singles."""
-        ids, words = np.concatenate(self.ids).astype(np.int64), list(self.vocabulary)
-        told_as = pa.array([b"", *words[1:]], pa.binary())
+        numbered = pa.concat_arrays(self.words).dictionary_encode()
+        ids, words = numbered.indices.to_numpy()[1:].astype(np.int64), numbered.dictionary
+        told_as = pa.concat_arrays([pa.array([b""], pa.binary()), words[1:]])
         if singles:
             n = np.bincount(ids, minlength=len(words))
             n[0] = len(ids) - n[0]
@@ -107,7 +132,7 @@ class Counted:
                 yield told_as[i : i + SLICE], n[i : i + SLICE], np.zeros(len(n[i : i + SLICE]), bool)
         if now is None:
             return
-        own = word_hashes(self.lang, words)
+        own = word_hashes(self.lang, words.to_pylist())
         h, members = own, np.arange(len(words))[:, None]
         live, late, done = (passes(f, h) for f in (now, later, before))
         live[0] = False
@@ -146,19 +171,19 @@ def _count(most_words: int, singles: bool, filters, since: int, step: int):
 
     def run(batches):
         held: dict[str, Counted] = {}
-        size = 0
+        size = room = 0
         for b in batches:
-            by_lang: dict[str, list[bytes]] = {}
+            by_lang: dict[str, list[str]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).extend(words_of(text))
-            for lang, words in by_lang.items():
+                by_lang.setdefault(lang, []).append(text)
+            for lang, texts in by_lang.items():
                 if lang not in held:
                     held[lang] = Counted(lang)
-                held[lang].add(words)
-                size += len(words)
-                if size >= CHUNK or len(held[lang].vocabulary) >= VOCABULARY:
+                held[lang].add(words := listed(texts))
+                size, room = size + len(words), room + words.nbytes
+                if size >= CHUNK or room >= CHUNK_BYTES:
                     yield from flushed(held)
-                    held, size = {}, 0
+                    held, size, room = {}, 0, 0
         yield from flushed(held)
 
     return run
@@ -169,14 +194,7 @@ def _bits(bits: int):
 
     def run(batches):
         for b in batches:
-            hashes = []
-            for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = word_hashes(lang, phrase.encode("utf-8", "surrogatepass").split(b" "))
-                h = own[:1]
-                for i in range(1, len(own)):
-                    h = mixed(h, own[i : i + 1])
-                hashes.append(h)
-            at = places(np.concatenate(hashes), bits).ravel() if hashes else np.empty(0, np.uint64)
+            at = places(phrase_hashes(b.column(0), b.column(1)), bits).ravel()
             yield pa.record_batch([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "bits"])
 
     return run
