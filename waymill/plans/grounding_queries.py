@@ -68,8 +68,8 @@ r AS (SELECT doc_id, substr(text, 1, a_from) || 'first clause' || substr(text, a
 
 @QUERIES.add("x21_span_repair", X21)
 def x21(t):
-    """Two of three mentions of each document get a new clause."""
+    """Two of three mentions of each document get a new clause; a stretch that both would replace stays between them, as in the SQL."""
     mentions = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(s).alias("start"), F.lit(e).alias("end")) for k, (s, e) in SPANS.items()])
     clauses = F.create_map(F.lit("a"), F.lit("first clause"), F.lit("b"), F.lit("second clause"))
-    d = t("documents").filter(F.char_length("text") >= 80).select("doc_id", texts.patch_clauses(F.col("text"), mentions, clauses, ",.;!?:\n").alias("r"))
+    d = t("documents").filter(F.char_length("text") >= 80).select("doc_id", texts.patch_clauses(F.col("text"), mentions, clauses, ",.;!?:\n", keep_shared=True).alias("r"))
     return d.select("doc_id", F.md5("r.text").alias("repaired_md5"), F.char_length("r.text").cast("long").alias("n_chars"), F.col("r.conflict").alias("conflict"))
